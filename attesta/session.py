@@ -35,8 +35,24 @@ def build_session(master: str | None = None, cores: int = 8, app: str = "attesta
     return builder.getOrCreate()
 
 
+SMALL_INPUT = 256 * 1024 * 1024
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread_small(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """A small file often is one row group, which one task would process alone: spread its rows.
+
+    Inputs above SMALL_INPUT bytes have enough row groups and are read in place, without a shuffle.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_INPUT:
+        return df
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
