@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import credits as cr
 from ..functions.text import (
@@ -136,26 +140,24 @@ def sheet_chunks(rows: DataFrame) -> DataFrame:
     return word_windows(text.filter(F.length("text") > 0), keep)
 
 
-def json_text(flat: Column) -> Column:
-    """Ordered array<struct<path, value>> of leaf values -> 'path: value | path: value'.
+@F.pandas_udf(StringType())
+def json_text(docs: pd.Series) -> pd.Series:
+    """JSON document -> 'path: value | path: value'; a nested object is led by its own path, list items are not."""
 
-    Nested keys repeat their prefix, as 'a: a.b: 1'; list items carry no key of their own.
-    """
-    def label(e: Column) -> Column:
-        return F.concat(F.array_join(F.transform(e["path"], lambda p: F.concat(p, F.lit(": "))), ""), e["value"])
+    def flat(node, path: str) -> str:
+        if isinstance(node, list):
+            return " | ".join(flat(v, f"{path}[{i}]") for i, v in enumerate(node))
+        if isinstance(node, dict):
+            named = ((f"{path}.{k}" if path else k, v) for k, v in node.items())
+            return " | ".join(f"{p}: {flat(v, p)}" for p, v in named)
+        return str(node)
 
-    return F.array_join(F.transform(flat, label), " | ")
+    return docs.map(lambda d: None if d is None else flat(json.loads(d), ""))
 
 
-def leaf_paths(doc: Column, schema_keys: list[str]) -> Column:
-    """Leaves of a flat JSON object as array<struct<path, value>>, in key order; missing keys dropped."""
-    leaves = F.array(
-        *[
-            F.struct(F.array(F.lit(k)).alias("path"), F.get_json_object(doc, f"$.{k}").alias("value"))
-            for k in schema_keys
-        ]
-    )
-    return F.filter(leaves, lambda e: e["value"].isNotNull())
+def json_chunks(docs: DataFrame, keep: list[str], column: str = "data") -> DataFrame:
+    """Word windows over the flattened JSON of each document."""
+    return word_windows(docs.withColumn("text", json_text(column)), keep)
 
 
 def table_chunks(tables: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import credits as cr
 from ..functions.text import (
     BULLET, OPTION_HEADER, POINTS_LINE, RATING_LINE, SECTION_LINES, clean_line, first_match, parse_points, strip_bullet,
 )
+from ..session import written
 from .skew import running
 
 # ---- fixed values: category lines and header lines --------------------------------------------
@@ -64,6 +65,7 @@ def classified_lines(lines: DataFrame) -> DataFrame:
         "marker", F.when(~is_head & ~F.col("line").rlike(POINTS_LINE) & ~F.col("line").rlike(RATING_LINE),
                          first_match(F.col("line"), SECTION_LINES))
     )
+    plain = written(plain)  # patterns are matched once; the steps below read a few columns each
     first = running(
         plain, doc, blocks, order,
         sums={"credit_no": is_head.cast("int"), "section_no": F.col("marker").isNotNull().cast("int")},
@@ -81,15 +83,19 @@ def classified_lines(lines: DataFrame) -> DataFrame:
         .when((F.col("state") == "requirements") & F.col("line").rlike(OPTION_HEADER), "option")
         .otherwise("content")
     )
-    staged = first.withColumn("kind", kind)
+    staged = written(first.withColumn("kind", kind))
     # an open option stays open until the next credit, whatever sections come in between
-    opened = (
-        F.when(is_head, F.struct(F.lit(0).cast("long").alias("page"), F.lit(0).cast("long").alias("line_no")))
-        .when(F.col("kind") == "option", F.struct(F.col("page").cast("long"), F.col("line_no").cast("long")))
+    def place(page: Column, line_no: Column) -> Column:
+        return F.struct(page.cast("long").alias("page"), line_no.cast("long").alias("line_no"))
+
+    opened = F.when(is_head, place(F.lit(0), F.lit(0))).when(
+        F.col("kind") == "option", place(F.col("page"), F.col("line_no"))
     )
     second = running(staged, doc, blocks, order, lasts={"option_at": opened})
+    in_page = Window.partitionBy("doc_id", "page").orderBy("line_no")
+    second = second.withColumn("ends_page", F.lead("line_no").over(in_page).isNull())
     return second.withColumn("option_at", F.when(F.col("option_at.page") > 0, F.col("option_at"))).select(
-        "doc_id", "page", "line_no", "line", "kind", "head", "category", "credit_no", "section_no",
+        "doc_id", "page", "line_no", "line", "kind", "head", "category", "credit_no", "section_no", "ends_page",
         F.nullif("state", F.lit("")).alias("section"), "option_at",
     )
 
@@ -134,11 +140,8 @@ def parse_credits(lines: DataFrame) -> DataFrame:
         *collected,
         option_rows.alias("option_rows"),
         intent_rows.alias("intent_rows"),
-    )
-    # pages: the start page, and every page at whose end the credit is still open
-    ends = (
-        c.groupBy("doc_id", "page").agg(F.max("credit_no").alias("credit_no"))
-        .groupBy("doc_id", "credit_no").agg(F.collect_set("page").alias("end_pages"))
+        # pages: the start page, and every page at whose end the credit is still open
+        F.collect_set(F.when(F.col("ends_page") | (F.col("kind") == "header"), F.col("page"))).alias("pages"),
     )
     last_block = F.array_max(F.transform("intent_rows", lambda r: r["section_no"]))
     intent = F.when(
@@ -159,7 +162,7 @@ def parse_credits(lines: DataFrame) -> DataFrame:
     )
     from_category = F.regexp_extract("h.category", r"\(([^()]*)\)[^()]*$", 1)
     points = parse_points(F.col("points_raw"))
-    record = grouped.join(ends, ["doc_id", "credit_no"], "left").select(
+    record = grouped.select(
         "doc_id", "credit_no",
         F.col("h.category").alias("category"),
         F.coalesce(F.col("h.code"), F.nullif(from_category, F.lit(""))).alias("credit_code"),
@@ -169,9 +172,7 @@ def parse_credits(lines: DataFrame) -> DataFrame:
         points["lo"].alias("points_min"), points["hi"].alias("points_max"),
         *[f for f in LINE_FIELDS.values() if f != "documentation"],
         "rating_system",
-        F.array_sort(
-            F.array_union(F.array("h.page"), F.coalesce("end_pages", F.array().cast("array<int>")))
-        ).alias("pages"),
+        F.array_sort("pages").alias("pages"),
     )
     return with_quality(record)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import html_title, strip_html
 from ..operators.chunking import (
-    chunk_extractions, chunk_id_collisions, exact_duplicates, heading_chunks, json_text, leaf_paths, metadata_chunks,
+    chunk_extractions, chunk_id_collisions, exact_duplicates, heading_chunks, json_text, metadata_chunks,
     page_chunks, sheet_chunks, summary_chunks, table_chunks, word_windows,
 )
 from ..sources.readers import split_page_marks
@@ -153,20 +153,18 @@ def html_page_chunks(spark, sf):
 
 
 @query(
-    "json_chunks",
-    """SELECT event_id, 'event_id: ' || event_id || ' | event_type: ' || event_type || ' | props: ' || 'props.k: ' || json_extract_string(props, '$.k') AS text FROM events""",
+    "json_text_events",
+    """SELECT event_id, 'event_id: ' || event_id || ' | detail: detail.type: ' || event_type || ' | detail.props: detail.props.k: ' || json_extract_string(props, '$.k')
+  || ' | tags: ' || event_type || ' | tags[1].u: ' || user_id AS text FROM events""",
 )
-def json_chunks(spark, sf):
-    doc = F.to_json(F.struct("event_id", "event_type"))
-    flat = F.concat(
-        leaf_paths(doc, ["event_id", "event_type"]),
-        F.array(
-            F.struct(
-                F.array(F.lit("props"), F.lit("props.k")).alias("path"), F.get_json_object("props", "$.k").alias("value")
-            )
-        ),
+def json_text_events(spark, sf):
+    e = table(spark, sf, "events")
+    doc = F.concat(
+        F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "detail": {"type": "'), F.col("event_type"),
+        F.lit('", "props": '), F.col("props"), F.lit('}, "tags": ["'), F.col("event_type"), F.lit('", {"u": '),
+        F.col("user_id").cast("string"), F.lit("}]}"),
     )
-    return table(spark, sf, "events").select("event_id", json_text(flat).alias("text"))
+    return e.select("event_id", json_text(doc).alias("text"))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,10 +64,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="attesta-ckpt-"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so a lost executor costs no recomputation."""
+def written(df: DataFrame) -> DataFrame:
+    """Write df once as Parquet in the shared checkpoint folder and read it back.
+
+    For results that several later steps read: each of them scans only its own columns, and a lost
+    executor costs no recomputation.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def measured(df: DataFrame) -> DataFrame:
