@@ -51,7 +51,7 @@ def value_counts(arr: Column, key: str = "term") -> Column:
             ),
         )
 
-    return bind(F.array_sort(arr), runs)
+    return bind(F.sort_array(arr), runs)
 
 
 def md5_hex(c: Column, n: int) -> Column:

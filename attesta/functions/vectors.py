@@ -50,10 +50,17 @@ def hashed_vector(toks: Column) -> Column:
 
 
 def sparse_dot(a: Column, b: Column) -> Column:
-    """Dot product of two sparse vectors held in one row (array<struct<dim, w>>)."""
-    return bind(
-        F.map_from_entries(b),
-        lambda m: F.aggregate(
-            a, F.lit(0.0), lambda acc, e: acc + e["w"] * F.coalesce(F.try_element_at(m, e["dim"]), F.lit(0.0))
+    """Dot product of two sparse vectors held in one row (array<struct<dim, w>>, dims unique in each).
+
+    Both are sorted together, so a shared dimension shows as two neighbours.
+    """
+    start = F.struct(F.lit(-1).alias("dim"), F.lit(0.0).alias("w"), F.lit(0.0).alias("s"))
+    return F.aggregate(
+        F.sort_array(F.concat(a, b)),
+        start,
+        lambda acc, e: F.struct(
+            e["dim"].alias("dim"), e["w"].alias("w"),
+            (acc["s"] + F.when(e["dim"] == acc["dim"], e["w"] * acc["w"]).otherwise(F.lit(0.0))).alias("s"),
         ),
+        lambda acc: acc["s"],
     )

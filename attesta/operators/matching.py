@@ -19,15 +19,14 @@ def contains_join(hay: DataFrame, hay_id: str, hay_text: str, needles: DataFrame
     containment test into an equi-join.
     """
     keyed = needles.filter(F.length(needle) > 0).withColumn("_needle", F.lower(needle))
-    lengths = keyed.agg(F.collect_set(F.length("_needle"))).scalar()
-    low = F.lower(hay_text)
-    pieces = F.flatten(
-        F.transform(
-            F.filter(lengths, lambda n: n <= F.length(low)),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda p: F.substr(low, p, n)),
-        )
+    lengths = keyed.agg(F.collect_set(F.length("_needle"))).scalar()  # as many as there are lengths
+    wide = hay.select(hay_id, F.lower(hay_text).alias("_low"), lengths.alias("_lengths"))
+    low = F.col("_low")
+    pieces = wide.select(hay_id, "_low", F.explode("_lengths").alias("_n")).filter(F.col("_n") <= F.length(low))
+    starts = F.sequence(F.lit(1), F.length(low) - F.col("_n") + 1)
+    cut = pieces.select(
+        hay_id, F.explode(F.array_distinct(F.transform(starts, lambda p: F.substr(low, p, F.col("_n"))))).alias("_needle")
     )
-    cut = hay.select(hay_id, F.explode(F.array_distinct(pieces)).alias("_needle"))
     return cut.join(keyed, "_needle").drop("_needle")
 
 
