@@ -137,4 +137,6 @@ def read_sheets(spark: SparkSession, root: str) -> DataFrame:
 
 def capped_rows(rows: DataFrame, limit: int = SHEET_ROWS) -> DataFrame:
     w = Window.partitionBy("source_file", "sheet_name").orderBy("_at")
-    return rows.withColumn("row_index", F.row_number().over(w) - 1).filter(F.col("row_index") < limit).drop("_at")
+    # the limit is applied before the shuffle, so a very long sheet sends few rows
+    first = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
+    return first.withColumn("row_index", F.col("_n") - 1).drop("_at", "_n")
