@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # (?U): \w and \s must be Unicode-aware, or accented words fall apart.
-NOT_WORD = r"(?U)[^\w\s-]"
+TOKEN = r"(?U)[a-z0-9\w-]{2,}"
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -23,8 +23,7 @@ def words(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased words of two or more characters; hyphens stay inside words."""
-    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), NOT_WORD, " ")
-    return F.filter(F.split(plain, SPACES), lambda t: F.length(t) >= 2)
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 def bind(value: Column, body) -> Column:

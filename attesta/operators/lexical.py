@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, value_counts
-from ..session import measured
+from ..session import measured, written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
 @dataclass
 class LexicalIndex:
-    """postings(source, chunk_id, term, tf, dl); terms(source, term, df); stats(source, n_docs, avgdl, mean_idf)."""
+    """postings(source, chunk_id, term, tf, dl); terms(source, term, df, cf); stats(source, n_docs, avgdl, mean_idf)."""
 
     postings: DataFrame
     terms: DataFrame
@@ -33,27 +33,34 @@ def idf(n: Column, df: Column, mean_idf: Column) -> Column:
 
 
 def lexical_index(chunks: DataFrame, text: Column | None = None) -> LexicalIndex:
-    """Index of chunks(source, chunk_id, text). Term counts are made inside the row, without a shuffle."""
+    """Index of chunks(source, chunk_id, text).
+
+    Term counts are made inside the row, without a shuffle. The vocabulary is counted in one pass and
+    written once; the row without a term carries the number of chunks and words of the source.
+    """
     toks = chunks.select("source", "chunk_id", tokens(F.col("text") if text is None else text).alias("toks"))
-    postings = toks.select(
-        "source", "chunk_id", F.size("toks").alias("dl"), F.explode(value_counts(F.col("toks"))).alias("t")
-    ).select("source", "chunk_id", F.col("t.term").alias("term"), F.col("t.n").alias("tf"), "dl")
-    terms = (
-        toks.select("source", F.explode(F.array_distinct("toks")).alias("term"))
-        .groupBy("source", "term")
-        .agg(F.count(F.lit(1)).alias("df"))
+    counted = value_counts(F.col("toks"))
+    postings = toks.select("source", "chunk_id", F.size("toks").alias("dl"), F.explode(counted).alias("t")).select(
+        "source", "chunk_id", F.col("t.term").alias("term"), F.col("t.n").alias("tf"), "dl"
+    )
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("toks").alias("n")))
+    vocabulary = written(
+        toks.select("source", F.explode(F.concat(counted, whole)).alias("t"))
+        .groupBy("source", "t.term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("t.n").alias("cf"))
     )
-    sizes = toks.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_docs"), (F.sum(F.size("toks")) / F.count(F.lit(1))).alias("avgdl")
+    terms = vocabulary.filter(F.col("term").isNotNull())
+    sizes = vocabulary.filter(F.col("term").isNull()).select(
+        "source", F.col("df").alias("n_docs"), (F.col("cf") / F.col("df")).alias("avgdl")
     )
     # mean idf over the vocabulary, from the small histogram of document frequencies
     histogram = terms.groupBy("source", "df").agg(F.count(F.lit(1)).alias("n_terms"))
-    means = (
+    stats = (
         histogram.join(sizes, "source")
-        .groupBy("source")
+        .groupBy("source", "n_docs", "avgdl")
         .agg((F.sum(F.col("n_terms") * raw_idf(F.col("n_docs"), F.col("df"))) / F.sum("n_terms")).alias("mean_idf"))
     )
-    return LexicalIndex(postings, terms, sizes.join(means, "source", "left"))
+    return LexicalIndex(postings, terms, stats)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

@@ -36,9 +36,14 @@ def passages(spark: SparkSession, sf: str) -> DataFrame:
 PASSAGES_SQL = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
 
 
+# a value of each row, not a constant: a join on a constant would be planned as a product
+def _all() -> Column:
+    return F.when(F.col("doc_id").isNotNull(), F.lit("all"))
+
+
 def whole_documents(spark: SparkSession, sf: str, source: Column | None = None) -> DataFrame:
     return table(spark, sf, "documents").select(
-        (F.lit("all") if source is None else source).alias("source"), F.col("doc_id").alias("chunk_id"), "text"
+        (_all() if source is None else source).alias("source"), F.col("doc_id").alias("chunk_id"), "text"
     )
 
 
@@ -59,7 +64,7 @@ def window_chunks(spark: SparkSession, sf: str, source: Column | None = None) ->
     docs = table(spark, sf, "documents").select("doc_id", "lang", F.col("source").alias("credit_id"), "text")
     w = word_windows(docs, ["doc_id", "lang", "credit_id"])
     return w.select(
-        (F.lit("all") if source is None else source).alias("source"),
+        (_all() if source is None else source).alias("source"),
         F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"),
         "text", "credit_id", F.upper("lang").alias("credit_code"), F.concat(F.lit("Credit "), "credit_id").alias("credit_name"),
         F.col("lang").alias("category"), _section(F.col("lang")).alias("section"),

@@ -12,7 +12,7 @@ from ..operators.expansion import expand_queries, query_features, with_domain_wo
 from ..operators.fusion import hybrid_search, rrf, rrf_two_lists, score_filter, weighted_fusion
 from ..operators.grouping import credit_relevance, group_by_credit, near_duplicates_in_table, pick_sections
 from ..operators.lexical import bm25_search, idf, lexical_index
-from ..session import table
+from ..session import table, written
 from . import sqltext as q
 from .inputs import (
     PASSAGES_SQL, TOPIC_QUERIES_SQL, WHOLE_DOCUMENTS_SQL, WINDOW_CHUNKS_SQL, passages, topic_queries,
@@ -214,7 +214,7 @@ def near_dup_two_keys(spark, sf):
 
 
 def _hits_with_meta(spark, sf):
-    chunks = window_chunks(spark, sf)
+    chunks = written(window_chunks(spark, sf))
     hits = bm25_search(topic_queries(spark, sf), lexical_index(chunks), 20)
     return chunks.drop("source", "pages").join(hits.drop("source"), "chunk_id")
 

@@ -12,7 +12,7 @@ from ..plans.index import search_index, with_all_source
 from ..plans.search import (
     analyze_projects, credit_queries, guidance, merge_second_source, route_sources, search, source_labels,
 )
-from ..session import measured, table
+from ..session import measured, table, written
 from . import sqltext as q
 from .chunks import HTML_SQL, page_texts
 from .inputs import TOPIC_QUERIES_SQL, WINDOW_CHUNKS_SQL, passages, topic_queries, window_chunks
@@ -53,7 +53,7 @@ found AS MATERIALIZED (SELECT * FROM grp WHERE rank <= {k})"""
 
 
 def _index(spark, sf):
-    return search_index(window_chunks(spark, sf))
+    return search_index(written(window_chunks(spark, sf)))
 
 
 FULL = f"WITH {search_sql(TOPIC_QUERIES_SQL, 5)}"
@@ -151,7 +151,7 @@ WORDED_CHUNKS_SQL = WINDOW_CHUNKS_SQL.replace(
 )
 def document_analyze(spark, sf):
     chunks = window_chunks(spark, sf).withColumn("text", _worded(F.col("text")))
-    a = analyze_projects(nation_projects(spark, sf), search_index(chunks.drop("credit_code")), 3)
+    a = analyze_projects(nation_projects(spark, sf), search_index(written(chunks.drop("credit_code"))), 3)
     return a.select(
         "project_id", "credit_code", F.coalesce("chunk_id", F.lit("-")).alias("chunk_id"), F.coalesce("score", F.lit(0.0)).alias("score"),
         F.coalesce("rank", F.lit(0)).alias("rank"), "compliance_status",
@@ -170,7 +170,7 @@ def marked(text):
 
 def _lexical_hits(spark, sf, k):
     """Top k windows per passage with metadata and marked texts."""
-    chunks = window_chunks(spark, sf)
+    chunks = written(window_chunks(spark, sf))
     hits = measured(bm25_search(topic_queries(spark, sf), lexical_index(chunks), k))
     return chunks.join(hits, ["source", "chunk_id"]).withColumn("text", marked(F.col("text")))
 
