@@ -58,6 +58,7 @@ def dedupe_stream(chunks: DataFrame, time: str = "ts", lateness: str = "1 hour")
     return chunks.withWatermark(time, lateness).dropDuplicatesWithinWatermark(["chunk_hash"])
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATEST = "project_id LONG, n_updates LONG, total_points DOUBLE"
 
 
@@ -85,8 +86,9 @@ class _LatestScore(StatefulProcessor):
 def latest_scores(updates: DataFrame) -> DataFrame:
     """Stream of updates(project_id, update_no, points) -> newest score per project after each batch.
 
-    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    Several state variables per key need the RocksDB state store, which is set for the session here.
     """
+    updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return updates.groupBy("project_id").transformWithStateInPandas(
         statefulProcessor=_LatestScore(), outputStructType=LATEST, outputMode="Update", timeMode="None"
     )

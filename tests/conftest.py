@@ -11,14 +11,8 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    from pyspark.sql import SparkSession
-
     from attesta.session import build_session
 
-    SparkSession.builder.config(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     s = build_session("local[8]", 4, "tests")
     s.sparkContext.setLogLevel("ERROR")
     return s
