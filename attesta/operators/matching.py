@@ -38,8 +38,8 @@ def keyword_lookup(queries: DataFrame, table: DataFrame, default: str) -> DataFr
     hits = contains_join(queries, "query_id", "text", table.filter(F.col("keyword") != default), "keyword")
     hits = hits.select("query_id", *table.columns)
     rest = queries.select("query_id").join(hits.select("query_id"), "query_id", "left_anti")
-    fallback = rest.withColumn("keyword", F.lit(default)).join(table, "keyword")
-    return hits.unionByName(fallback.select(*hits.columns))
+    row = table.filter(F.col("keyword") == default).agg(F.first(F.struct(*table.columns))).scalar()
+    return hits.unionByName(rest.withColumn("_d", row).filter(F.col("_d").isNotNull()).select("query_id", "_d.*"))
 
 
 def match_credit(targets: DataFrame, catalogue: DataFrame) -> DataFrame:

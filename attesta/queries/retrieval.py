@@ -107,7 +107,7 @@ def dense_topk_grid(spark, sf):
 def cosine_to_centroid(spark, sf):
     cents = label_centroids(spark, sf).withColumnRenamed("embedding", "cv")
     e = table(spark, sf, "embeddings")
-    return e.join(F.broadcast(cents), F.col("label") == F.col("query_id")).select(
+    return e.join(cents, F.col("label") == F.col("query_id")).select(
         "vec_id", F.round(cosine(F.col("embedding"), F.col("cv")), 6).alias("cosine")
     )
 
