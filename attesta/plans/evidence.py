@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import bind, compact, or_none, tokens
 from ..functions.vectors import cosine, hashed_vector, sparse_dot
 from ..operators.matching import exact_templates, nearest_names, template_dictionary
+from ..session import measured
 
 POSITIVE, AVERAGE = 0.42, 0.32
 
@@ -18,8 +19,11 @@ def decisions(evidence: DataFrame, retrieved: DataFrame, positive: float = POSIT
     evidence(evidence_id, query_id, vector, has_text); retrieved(query_id, rank, text, vector, source),
     a few rows per query. Every evidence row gets one decision.
     """
-    packed = retrieved.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "vector", "text", "source"))).alias("ctx")
+    # one row per query; measured, so that a query with very much evidence is not shuffled to one task
+    packed = measured(
+        retrieved.groupBy("query_id").agg(
+            F.array_sort(F.collect_list(F.struct("rank", "vector", "text", "source"))).alias("ctx")
+        )
     )
     like = sparse_dot if "struct" in dict(evidence.dtypes)["vector"] else cosine
     scored = evidence.join(packed, "query_id", "left").withColumn(
