@@ -137,8 +137,13 @@ HEADING_LINES = [
 
 
 def first_match(c: Column, rules: list[tuple[str, str]]) -> Column:
-    """Label of the first rule whose pattern matches, else null."""
-    return F.coalesce(*[F.when(c.rlike(p), F.lit(label)) for label, p in rules])
+    """Label of the first rule whose pattern matches, else null. All patterns start with (?i)^.
+
+    One combined pattern sorts out the many lines that match no rule.
+    """
+    head = "(?i)^"
+    any_rule = head + "(?:" + "|".join(p.removeprefix(head) for _, p in rules) + ")"
+    return F.when(c.rlike(any_rule), F.coalesce(*[F.when(c.rlike(p), F.lit(label)) for label, p in rules]))
 
 
 def strip_bullet(c: Column) -> Column:

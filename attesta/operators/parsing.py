@@ -49,7 +49,8 @@ def _header(line: Column) -> Column:
             ),
         )
 
-    return F.coalesce(parts(CODE_HEADER, 1, 2, 3), parts(BARE_HEADER, None, 1, 2), parts(NUMBERED_HEADER, 1, 3, 4))
+    found = F.coalesce(parts(CODE_HEADER, 1, 2, 3), parts(BARE_HEADER, None, 1, 2), parts(NUMBERED_HEADER, 1, 3, 4))
+    return F.when(line.rlike(r"(?i)^(?:[A-Z]{2}\s*[0-9]*\s*)?(?:Credit|Prerequisite)"), found)
 
 
 def classified_lines(lines: DataFrame) -> DataFrame:
