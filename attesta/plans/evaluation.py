@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import or_none
 
-# ---- fixed values: evaluation queries with expected topics --------------------------------------
+# ---- fixed values: evaluation queries ------------------------------------------------------------
+# with expected topics and source; queries about one particular building are left to the caller
 EVALUATION_QUERIES = [
     ("energy efficiency requirements", ["energy", "efficiency", "ASHRAE", "performance"], "credits"),
     ("water efficiency LEED credits", ["water", "efficiency", "WE", "fixtures"], "credits"),
-    ("SEA Building Addition project", ["SEA", "building", "addition", "project"], "all"),
     ("cooling tower water treatment", ["cooling", "tower", "water", "treatment"], "all"),
     ("integrative process worksheet", ["integrative", "process", "worksheet", "IP"], "all"),
     ("LEED v4.1 BD+C credits", ["LEED", "v4.1", "BD+C", "credits"], "credits"),
     ("sustainable materials", ["materials", "sustainable", "MR", "recycled"], "credits"),
     ("indoor air quality", ["air", "quality", "EQ", "ventilation"], "credits"),
     ("site selection criteria", ["site", "selection", "SS", "location"], "credits"),
-    ("UT Austin campus buildings", ["UT", "Austin", "campus", "buildings"], "all"),
 ]
-# -------------------------------------------------------------------------------------------------
+BASIC_QUERIES = [
+    "energy efficiency requirements", "water conservation credits", "indoor air quality", "sustainable materials",
+    "renewable energy", "transit access", "bicycle facilities", "parking reduction", "heat island reduction", "light pollution",
+]
+CREDIT_QUERIES = [
+    "EA Credit Optimize Energy Performance", "WE Credit Water Use Reduction", "EQ Credit Indoor Air Quality Assessment",
+    "MR Credit Building Product Disclosure", "LT Credit Access to Quality Transit", "SS Credit Heat Island Reduction",
+    "IN Credit Innovation", "RP Credit Regional Priority",
+]
+COMPLIANCE_QUERIES = [
+    "What documentation is required for LEED credits?", "How to calculate energy performance metrics?",
+    "What are the prerequisites for certification?", "How to achieve innovation credits?",
+    "What is the minimum energy performance requirement?", "How to document water use reduction?",
+    "What are the requirements for indoor environmental quality?", "How to calculate renewable energy credits?",
+]
+# --------------------------------------------------------------------------------------------------
+SMOKE_QUERIES = BASIC_QUERIES + CREDIT_QUERIES + COMPLIANCE_QUERIES
+
+
+def smoke_queries(spark: SparkSession) -> DataFrame:
+    """(query_id, text) of the queries without expected topics."""
+    return spark.createDataFrame(list(enumerate(SMOKE_QUERIES)), "query_id long, text string")
 
 
 def hit_relevance(text: Column, topics: Column, code: Column, category: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import result_key, tokens
 from ..operators.lexical import bm25_search, lexical_index
-from ..plans.evaluation import evaluation_summary, query_relevance, retrieval_quality, verdicts
+from ..plans.evaluation import (
+    SMOKE_QUERIES, evaluation_summary, query_relevance, retrieval_quality, smoke_queries, verdicts,
+)
 from ..plans.evidence import citation_blocks, citations, context_blocks, key_facts, prompts
 from ..plans.index import search_index, with_all_source
 from ..plans.search import (
@@ -311,6 +313,20 @@ def retrieval_quality_query(spark, sf):
     return retrieval_quality(asked, measured(search(asked, _index(spark, sf), 5)))
 
 
+SMOKE_SQL = "q(query_id, text) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(SMOKE_QUERIES)) + ")"
+
+
+@query(
+    "smoke_suite",
+    f"WITH {search_sql(SMOKE_SQL, 3, chunks=WORDED_CHUNKS_SQL)} SELECT query_id::BIGINT AS query_id, chunk_id, score, rank FROM found",
+)
+def smoke_suite(spark, sf):
+    """The fixed evaluation queries over all documents, three results each."""
+    chunks = window_chunks(spark, sf).withColumn("text", _worded(F.col("text")))
+    hits = search(smoke_queries(spark), search_index(written(chunks)), 3)
+    return hits.select("query_id", "chunk_id", "score", "rank")
+
+
 @query(
     "two_source_results",
     f"""WITH {lexical_hits_sql(3)}, {HTML_SQL}, wc AS (SELECT 'web' AS source, page_id AS chunk_id, text FROM ht), {q.bm25(3, 'q', 'wc', 'w_')}

@@ -13,7 +13,7 @@ from attesta.operators.chunking import (
 from attesta.operators.expansion import expand_queries, search_queries, with_domain_word, with_synonyms
 from attesta.operators.parsing import classified_lines, parse_credits
 from attesta.operators.skew import join_to_unique, running
-from attesta.plans.evaluation import EVALUATION_QUERIES, query_relevance
+from attesta.plans.evaluation import EVALUATION_QUERIES, SMOKE_QUERIES, query_relevance
 from attesta.plans.evidence import decisions, fill_template, key_facts
 from attesta.plans.training import citation_rows, evidence_rows, qa_pairs
 from attesta.sources.schemas import CREDIT
@@ -185,7 +185,7 @@ def test_relevance_rules(spark):
     hits = spark.createDataFrame([(1, 1, "energy use", "EA", None), (2, 1, "t", None, None)], "query_id long, rank int, text string, credit_code string, category string")
     got = {r["query_id"]: r["relevance"] for r in query_relevance(q, hits).collect()}
     assert got == {1: 0.7, 2: 0.5, 3: 0.0}
-    assert len(EVALUATION_QUERIES) == 10
+    assert len(EVALUATION_QUERIES) == 8 and len(SMOKE_QUERIES) == 26
 
 
 def test_credit_sections_skip_empty_lists(spark):
