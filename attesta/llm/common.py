@@ -67,3 +67,10 @@ def _pieces(cols: list[list]) -> Iterator[list[list]]:
         held += size
     if n > start:
         yield [c[start:] for c in cols]
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import documents
+from . import bpe, langid, line_dedup, mixing, simhash
+from .common import documents, remainder, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,3 +28,26 @@ def query(name: str, sql: str | None = None):
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf), shingle=4, distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op5_bpe_round_trip")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf), tokenizer_path())
+
+
+@query("op7_line_dedup", line_dedup.SQL.format(ratio=0.1, min_pages=5))
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(documents(spark, sf), ratio=0.1, min_pages=5).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    docs = documents(spark, sf)
+    found = langid.identify(docs, langid.fit(docs, ~held_out), keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op10_source_mixing", mixing.SQL)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf)).select("doc_id", "source", "copy", "mix_order")
