@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, mixing, simhash
+from . import bpe, langid, line_dedup, mixing, simhash, spotsigs, toxicity
 from .common import documents, remainder, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,11 +30,25 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    docs = documents(spark, sf)
+    lexicon = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), ~held_out)
+    scored = toxicity.toxicity(docs, lexicon)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits", "n_words")
+
+
 @query("op5_bpe_round_trip")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(documents(spark, sf), tokenizer_path())
 
 
+@query("op6_spot_signatures", spotsigs.SQL)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return spotsigs.compare(documents(spark, sf))
+
+
 @query("op7_line_dedup", line_dedup.SQL.format(ratio=0.1, min_pages=5))
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.drop_boilerplate(documents(spark, sf), ratio=0.1, min_pages=5).select("doc_id", "n_lines", "n_dropped", "text")
