@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, mixing, simhash, spotsigs, toxicity
+from . import bpe, hamming, langid, line_dedup, mixing, simhash, spotsigs, toxicity
 from .common import documents, remainder, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_hamming_topk", hamming.SQL)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    codes = vectors.select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.search(codes, codes.filter(F.col("id") % 20 == 0), k=10)
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf), shingle=4, distance=4)
