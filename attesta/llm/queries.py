@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming, langid, line_dedup, mixing, simhash, spotsigs, toxicity
+from . import bpe, hamming, langid, line_dedup, mixing, repeats, simhash, spotsigs, toxicity
 from .common import documents, remainder, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,11 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.drop_boilerplate(documents(spark, sf), ratio=0.1, min_pages=5).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+@query("op8_repeated_strings")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf), length=400).drop("kept")
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 5) == 0
