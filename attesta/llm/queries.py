@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming, langid, line_dedup, mixing, repeats, simhash, spotsigs, toxicity
+from . import bpe, hamming, langid, line_dedup, mixing, ppm, repeats, simhash, spotsigs, toxicity
 from .common import documents, remainder, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,14 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits", "n_words")
 
 
+@query("op4_ppm_scores")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    # equal ids are on the same side
+    scored = ppm.score(documents(spark, sf), ~held_out)
+    return scored.withColumn("held_out", held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op5_bpe_round_trip")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(documents(spark, sf), tokenizer_path())
