@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # (?U): \w and \s must be Unicode-aware, or accented words fall apart.
-TOKEN = r"(?U)[a-z0-9\w-]{2,}"
+TOKEN = r"(?U)[\w-]{2,}"
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -166,10 +166,7 @@ def result_key(chunk_id, credit_id, section, page_start, page_end, text, rank, s
             page_start.cast("string"), F.lit("-"), F.coalesce(page_end.cast("string"), F.lit("None")),
         ),
     )
-    # the key is defined on the first 200 characters
-    by_text = F.when(
-        or_none(text).isNotNull(), F.concat(F.lit("text_hash:"), md5_hex(F.substring(text, 1, 200), 16))
-    )
+    by_text = F.when(or_none(text).isNotNull(), F.concat(F.lit("text_hash:"), F.md5(text.cast("binary"))))
     by_place = F.concat(F.lit("rank:"), rank.cast("string"), F.lit("::score:"), score.cast("string"))
     return F.coalesce(
         F.concat(F.lit("chunk_id:"), or_none(chunk_id.cast("string"))), by_credit, by_text, by_place

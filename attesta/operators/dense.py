@@ -19,11 +19,13 @@ DIGITS = 6
 
 
 def _matrix(column) -> np.ndarray:
-    """Arrow list column -> float64 matrix with rows of unit length."""
+    """Arrow list column -> float64 matrix with rows of unit length; no nulls, all of one width."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    m = flat.reshape(len(column), -1)
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(m) % len(column) or set(np.diff(column.offsets.to_numpy())) - {len(m) // len(column)}:
+        raise ValueError("vectors of different widths")
+    m = m.reshape(len(column), -1)
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
@@ -72,9 +74,11 @@ def dense_topk(
 ) -> DataFrame:
     """Exact cosine top-k. queries(query_id, embedding), corpus(vec_id, embedding).
 
-    Up to `max_broadcast` queries are sent to every task and the corpus is read in place. More queries
+    Rows with a null id or vector, or with a null in the vector, take no part. Up to `max_broadcast` queries are sent to every task and the corpus is read in place. More queries
     than that take the grid plan, whose blocks have a fixed size.
     """
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda v: v.isNull())
+    queries, corpus = queries.filter(whole & F.col("query_id").isNotNull()), corpus.filter(whole & F.col("vec_id").isNotNull())
     head = queries.select("query_id", "embedding").limit(max_broadcast + 1).toArrow()
     if head.num_rows > max_broadcast:
         partial = _grid(queries, corpus, k, max_broadcast)

@@ -66,12 +66,13 @@ def weighted_fusion(
 def rrf(lists: DataFrame, by: list[str], key: str = "chunk_id", k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of lists(by..., list_no, key, score, rank).
 
-    A key repeated in one list counts each time. A query with one list only is returned unchanged.
+    A key repeated in one list counts each time. A query for which one list only was asked is returned
+    unchanged: `n_lists` says how many were; without that column the lists that have rows count. The
+    output has `one_list`.
     """
     w = Window.partitionBy(*by)
-    counted = lists.withColumn(
-        "one_list", F.min("list_no").over(w) == F.max("list_no").over(w)
-    )
+    single = F.col("n_lists") == 1 if "n_lists" in lists.columns else F.min("list_no").over(w) == F.max("list_no").over(w)
+    counted = lists.withColumn("one_list", single)
     per_key = counted.groupBy(*by, key).agg(
         F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))), 9).alias("rrf_score"),
         F.max("score").alias("original_score"),
@@ -82,7 +83,7 @@ def rrf(lists: DataFrame, by: list[str], key: str = "chunk_id", k: int = RRF_K)
         "score", F.when(F.col("one_list"), F.col("original_score")).otherwise(F.col("rrf_score"))
     )
     order = [F.when(~F.col("one_list"), F.col("score")).desc(), F.col("first")]
-    return _ranked(fused, by, order).drop("first", "one_list")
+    return _ranked(fused, by, order).drop("first")
 
 
 def rrf_two_lists(dense: DataFrame, lexical: DataFrame, by: list[str], key: str = "chunk_id", k: int = RRF_K) -> DataFrame:
@@ -107,12 +108,17 @@ def hybrid_search(queries: DataFrame, dense_fn, lexical_fn, k: int = 10, method:
 
 
 def score_filter(hits: DataFrame, by: list[str], k: int, threshold: float = 0.3) -> DataFrame:
-    """Rows above the threshold; a query without any keeps its first 2k rows instead. Ranks start at 1."""
+    """Rows above the threshold; a query without any keeps its first 2k rows instead. Ranks start at 1.
+
+    The threshold is one for similarities: rows of several fused lists (`one_list` false), whose scores
+    are sums of inverse ranks, all stay.
+    """
     w = Window.partitionBy(*by)
+    fused = ~F.col("one_list") if "one_list" in hits.columns else F.lit(False)
     return (
         hits.withColumn("_best", F.max("score").over(w))
         .filter(
-            (F.col("score") > threshold)
+            fused | (F.col("score") > threshold)
             | (~F.coalesce(F.col("_best") > threshold, F.lit(False)) & (F.col("rank") <= 2 * k))
         )
         .drop("_best")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, value_counts
-from ..session import measured, written
+from ..session import written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -72,11 +72,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def term_weights(queries: DataFrame, index: LexicalIndex) -> DataFrame:
-    """Query terms with their idf. Kept in memory once: its size follows the queries, not the corpus,
-    and the measured size lets Spark choose between a broadcast and a shuffle join with the postings."""
+    """Query terms with their idf. Written once: its size follows the queries, not the corpus,
+    and its size as written lets Spark choose between a broadcast and a shuffle join with the postings."""
     terms = query_terms(queries)
     on = [c for c in ("source", "term") if c in terms.columns]
-    return measured(
+    return written(
         index.terms.join(terms, on)
         .join(index.stats, "source")
         .select(

@@ -137,36 +137,44 @@ def metres_between(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Co
     return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def stops_near_sites(sites: DataFrame, stops: DataFrame, radius_m: float, max_lat: float = 60.0) -> DataFrame:
+def stops_near_sites(sites: DataFrame, stops: DataFrame, radius_m: float) -> DataFrame:
     """Trips of the stops within `radius_m` of each site: (site_id, n_stops, total_trips, weekend_trips).
 
-    sites(site_id, lat, lon), |lat| <= max_lat; stops(lat, lon, frequency, weekend). Sites and stops
-    that share a place are merged before the join, so a crowded place costs one row on each side;
-    grid cells as wide as the radius limit the candidates, and salts split a crowded cell.
+    sites(site_id, lat, lon); stops(lat, lon, frequency, weekend). Sites and stops that share a place
+    are merged before the join, so a crowded place costs one row on each side. Grid cells limit the
+    candidates: bands of latitude as high as the radius, each cut into so many cells of longitude that
+    a cell is as wide as the radius at the band's far edge; they wrap at the date line, and a band at
+    a pole is one cell. Salts split a crowded cell. A place without coordinates is near nothing.
     """
-    import math
+    step = radius_m / 111_000.0
+
+    def n_cells(band: Column) -> Column:
+        edge = F.greatest(F.abs(band * step), F.abs((band + 1) * step)) + step
+        # 1.6 covers the arc of longitude that a chord spans near a pole
+        return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(F.least(edge, F.lit(90.0)))) / (1.6 * step)))
+
+    def cell(lon: Column, band: Column) -> Column:
+        return F.floor((F.pmod(lon + 180.0, F.lit(360.0))) / 360.0 * n_cells(band))
 
-    step_lat = radius_m / 111_000.0
-    step_lon = step_lat / math.cos(math.radians(max_lat))
     places = stops.groupBy("lat", "lon").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("frequency").alias("trips"),
         F.sum(F.when(F.col("weekend"), F.col("frequency")).otherwise(0)).alias("weekend_trips"),
-    ).select(
+    ).withColumn("cy", F.floor(F.col("lat") / step)).select(
         F.col("lat").alias("slat"), F.col("lon").alias("slon"), "n", "trips", "weekend_trips",
-        F.floor(F.col("lat") / step_lat).alias("cy"), F.floor(F.col("lon") / step_lon).alias("cx"),
+        "cy", F.pmod(cell(F.col("lon"), F.col("cy")), n_cells(F.col("cy"))).alias("cx"),
         F.pmod(F.xxhash64("lat", "lon"), F.lit(8)).alias("salt"),
     )
     spots = sites.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("_n"))
     around = F.sequence(F.lit(-1), F.lit(1))
+    own = F.floor(F.col("lat") / step)
+    cells = spots.withColumn("cy", F.explode(F.transform(around, lambda d: own + d))).withColumn("_cells", n_cells(F.col("cy"))).withColumn(
+        "_at", cell(F.col("lon"), F.col("cy"))
+    )
     cells = (
-        spots.withColumn("dy", F.explode(around))
-        .withColumn("dx", F.explode(around))
+        cells.withColumn("cx", F.explode(F.array_distinct(F.transform(around, lambda d: F.pmod(F.col("_at") + d, F.col("_cells"))))))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-        .select(
-            "lat", "lon", (F.floor(F.col("lat") / step_lat) + F.col("dy")).alias("cy"),
-            (F.floor(F.col("lon") / step_lon) + F.col("dx")).alias("cx"), F.col("salt").cast("long").alias("salt"),
-        )
+        .select("lat", "lon", "cy", "cx", F.col("salt").cast("long").alias("salt"))
     )
     near = cells.join(places, ["cy", "cx", "salt"]).filter(
         metres_between(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")) <= radius_m

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import bind, compact, or_none, tokens
 from ..functions.vectors import cosine, hashed_vector, sparse_dot
 from ..operators.matching import exact_templates, nearest_names, template_dictionary
-from ..session import measured
+from ..operators.skew import join_to_unique
+from ..session import written
 
 POSITIVE, AVERAGE = 0.42, 0.32
 
@@ -19,14 +20,14 @@ def decisions(evidence: DataFrame, retrieved: DataFrame, positive: float = POSIT
     evidence(evidence_id, query_id, vector, has_text); retrieved(query_id, rank, text, vector, source),
     a few rows per query. Every evidence row gets one decision.
     """
-    # one row per query; measured, so that a query with very much evidence is not shuffled to one task
-    packed = measured(
-        retrieved.groupBy("query_id").agg(
-            F.array_sort(F.collect_list(F.struct("rank", "vector", "text", "source"))).alias("ctx")
-        )
+    # one row per query, a few hits each; a query with very much evidence has its rows salted
+    packed = retrieved.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "vector", "text", "source"))).alias("ctx")
     )
+    asked = evidence.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_evidence"))
+    packed = written(packed.join(asked, "query_id"))
     like = sparse_dot if "struct" in dict(evidence.dtypes)["vector"] else cosine
-    scored = evidence.join(packed, "query_id", "left").withColumn(
+    scored = join_to_unique(evidence, packed, "query_id", "n_evidence", ["evidence_id"], how="left").withColumn(
         "scores", F.transform("ctx", lambda r: F.round(like(F.col("vector"), r["vector"]), 6))
     )
     usable = F.coalesce(F.col("has_text") & (F.size("ctx") > 0), F.lit(False))
@@ -146,7 +147,7 @@ def key_facts(hits: DataFrame) -> DataFrame:
         F.flatten(F.transform("top", lambda x: key_sentences(x["text"]))).alias("key_points"),
         F.array_distinct(
             F.filter(
-                F.transform(F.slice("r", 2, 1_000_000), lambda x: x["credit"]),
+                F.transform(F.slice("r", F.lit(2), F.size("r")), lambda x: x["credit"]),
                 lambda c: c.isNotNull() & ~c.eqNullSafe(first["credit"]),
             )
         ).alias("related_credits"),

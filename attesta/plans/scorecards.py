@@ -125,8 +125,13 @@ def location_scores(sites: DataFrame) -> DataFrame:
 
 
 def compliance_summary(projects: DataFrame, scores: DataFrame) -> DataFrame:
-    """projects(project_id, n_targets) x scores(project_id, credit, points) -> totals and advice per project."""
-    per = scores.groupBy("project_id").agg(
+    """projects(project_id, n_targets) x scores(project_id, credit, points[, score_no]) -> totals and advice per project.
+
+    Of a credit scored several times the last score counts: the highest score_no, or without one the most points.
+    """
+    last = F.col("score_no") if "score_no" in scores.columns else F.col("points")
+    once = scores.groupBy("project_id", "credit").agg(F.max_by("points", F.struct(last, "points")).alias("points"))
+    per = once.groupBy("project_id").agg(
         F.count_if(F.col("points") > 0).alias("credits_achieved"), F.sum("points").alias("total_points"),
         F.map_from_entries(
             F.array_sort(F.collect_list(F.when(F.col("points") > 0, F.struct("credit", "points"))))

@@ -12,7 +12,7 @@ from ..operators.expansion import search_queries, with_domain_word, with_synonym
 from ..operators.fusion import rrf, rrf_two_lists, score_filter, weighted_fusion
 from ..operators.grouping import dedupe_and_group
 from ..operators.lexical import bm25_search
-from ..session import measured
+from ..session import written
 from .index import SearchIndex
 
 # ---- fixed values: words that mark recommendation and guidance sentences -----------------------
@@ -47,24 +47,28 @@ def hybrid_hits(
 
 
 def candidates(
-    queries: DataFrame, index: SearchIndex, k: int, expand: bool = True, max_subqueries: int = 6, **fusion
+    queries: DataFrame, index: SearchIndex, k: int, expand: bool = True, max_subqueries: int = 6, depth: int | None = None, **fusion
 ) -> DataFrame:
-    """Fused candidates over all sub-queries and sources: (query_id, source, chunk_id, score, rank)."""
+    """Fused candidates over all sub-queries and sources: (query_id, source, chunk_id, score, rank, one_list).
+
+    `depth` is the length of each list that is fused, 3k by default.
+    """
     if expand:
         subs = search_queries(queries, max_subqueries=max_subqueries)
     else:
         subs = queries.withColumn("sub_no", F.lit(1)).withColumnRenamed("text", "sub_query")
-    asked = subs.select(
-        F.struct("query_id", "sub_no").alias("query_id"), F.col("sub_query").alias("text"),
+    n_lists = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    asked = subs.withColumn("n_lists", n_lists).select(
+        F.struct("query_id", "sub_no", "n_lists").alias("query_id"), F.col("sub_query").alias("text"),
         *([F.posexplode("used_sources").alias("src_no", "source")] if "used_sources" in subs.columns else []),
     )
-    per_source = hybrid_hits(asked.drop("src_no"), index, min(3 * k, 20), **fusion)
+    per_source = hybrid_hits(asked.drop("src_no"), index, depth or 3 * k, **fusion)
     if "src_no" in asked.columns:
         per_source = per_source.join(asked.select("query_id", "source", "src_no"), ["query_id", "source"])
     else:
         per_source = per_source.withColumn("src_no", F.lit(0))
     flat = per_source.select(
-        F.col("query_id.query_id").alias("query_id"), F.col("query_id.sub_no").alias("list_no"),
+        F.col("query_id.query_id").alias("query_id"), F.col("query_id.sub_no").alias("list_no"), F.col("query_id.n_lists").alias("n_lists"),
         "source", "chunk_id", "score", "src_no", "rank",
     )
     # a sub-query's list is its sources one after the other
@@ -72,10 +76,10 @@ def candidates(
     lists = flat.withColumn("rank", F.row_number().over(place)).withColumn(
         "hit", F.struct("source", "chunk_id")
     )
-    fused = rrf(lists.select("query_id", "list_no", "hit", "score", "rank"), ["query_id"], "hit")
+    fused = rrf(lists.select("query_id", "list_no", "n_lists", "hit", "score", "rank"), ["query_id"], "hit")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
     return fused.select(
-        "query_id", "hit.source", "hit.chunk_id", "score", F.row_number().over(order).alias("rank")
+        "query_id", "hit.source", "hit.chunk_id", "score", F.row_number().over(order).alias("rank"), "one_list"
     )
 
 
@@ -85,7 +89,7 @@ def search(
 ) -> DataFrame:
     """queries(query_id, text[, used_sources]) -> ranked chunks with their metadata, at most k per query."""
     hits = candidates(queries, index, k, **options)
-    kept = measured(score_filter(hits, ["query_id"], k, threshold))
+    kept = written(score_filter(hits, ["query_id"], k, threshold).drop("one_list"))
     found = index.chunks.join(kept, ["source", "chunk_id"])
     if not group:
         w = Window.partitionBy("query_id").orderBy("rank")

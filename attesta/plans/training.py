@@ -29,8 +29,7 @@ def credit_mentions(pages: DataFrame, text: str = "text") -> DataFrame:
     return pages.select("source_file", "page", F.posexplode(found).alias("mention_no", "m")).select(
         "source_file", "page", "mention_no", F.col("m.code").alias("credit_code"), F.col("m.kind").alias("credit_type"),
         F.trim(F.regexp_replace("m.name", r"(?U)^\s+|\s+$", "")).alias("credit_name"),
-        # answers quote at most 500 characters
-        F.substring(F.trim("m.about"), 1, 500).alias("description"),
+        F.trim("m.about").alias("description"),
     )
 
 
@@ -48,8 +47,10 @@ def qa_pairs(pages: DataFrame) -> DataFrame:
 def evidence_rows(pages: DataFrame) -> DataFrame:
     """Lines of 20 or more characters that read like a requirement, labelled supported."""
     lines = pages.select(
-        "source_file", "page", F.substring("text", 1, 500).alias("credit_context"),
-        F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
+        "source_file", "page", F.split("text", "\n").alias("lines"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
+    ).withColumn(
+        # the line with those before and after it
+        "credit_context", F.array_join(F.slice("lines", F.greatest(F.col("line_no"), F.lit(1)), F.when(F.col("line_no") == 0, 2).otherwise(3)), "\n"),
     ).withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
     return lines.filter((F.length("line") >= 20) & contains_any(F.col("line"), REQUIREMENT_WORDS)).select(
         "source_file", "page", "line_no", F.col("line").alias("evidence_text"), "credit_context",

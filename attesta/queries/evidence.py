@@ -10,7 +10,7 @@ from ..operators.lexical import bm25_search, lexical_index
 from ..operators.matching import exact_templates, nearest_names, template_dictionary
 from ..plans.evidence import decisions, templates, text_evidence
 from ..plans.training import benchmark_summary, citation_rows, evidence_rows, qa_pairs, with_split
-from ..session import measured, table
+from ..session import table, written
 from . import sqltext as q
 from .credits import PART_SQL, part_credits
 from .inputs import PASSAGES_SQL, WHOLE_DOCUMENTS_SQL, passages, whole_documents
@@ -41,7 +41,7 @@ FROM ev LEFT JOIN ag USING (evidence_id) LEFT JOIN chunks ON chunk_id = best""",
 def evidence_decision(spark, sf):
     """Conversation turns as evidence against the passages' best documents; some turns are blank."""
     docs = whole_documents(spark, sf)
-    hits = measured(bm25_search(passages(spark, sf), lexical_index(docs), 4))
+    hits = written(bm25_search(passages(spark, sf), lexical_index(docs), 4))
     found = docs.join(hits, ["source", "chunk_id"]).withColumn("vector", hashed_vector(tokens(F.col("text"))))
     ev = table(spark, sf, "conversations").select(
         F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("evidence_id"),
@@ -123,7 +123,7 @@ QA_SQL = r"""ml AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(1
 mp AS (SELECT source AS source_file, doc_id AS page, string_agg(CASE WHEN (i + doc_id) % 2 = 0 THEN 'EA Credit ' || upper(lang) || ': ' || s ELSE replace(s, ':', ' ') END, chr(10) ORDER BY i) AS text FROM ml GROUP BY ALL),
 mm AS (SELECT source_file, page, regexp_extract_all(text, '(?i)([A-Z]{1,2})\s+(Credit|Prerequisite)\s+([^:]+):\s*(.+)', 1) AS a, regexp_extract_all(text, '(?i)([A-Z]{1,2})\s+(Credit|Prerequisite)\s+([^:]+):\s*(.+)', 2) AS b,
  regexp_extract_all(text, '(?i)([A-Z]{1,2})\s+(Credit|Prerequisite)\s+([^:]+):\s*(.+)', 3) AS c, regexp_extract_all(text, '(?i)([A-Z]{1,2})\s+(Credit|Prerequisite)\s+([^:]+):\s*(.+)', 4) AS d FROM mp),
-mx AS (SELECT source_file, page, unnest(a) AS a, unnest(b) AS b, trim(unnest(c)) AS c, substr(trim(unnest(d)), 1, 500) AS d FROM mm),
+mx AS (SELECT source_file, page, unnest(a) AS a, unnest(b) AS b, trim(unnest(c)) AS c, trim(unnest(d)) AS d FROM mm),
 qa AS (SELECT source_file, page, a || ' ' || b || ': ' || c AS t, d, unnest(['What is ', 'What are the requirements for ', 'How do I achieve ', 'Tell me about ', '']) AS pre, unnest(['?', '?', '?', '', ' requirements']) AS suf FROM mx),
 qb AS (SELECT source_file, page, pre || t || suf AS question, t || chr(10) || chr(10) || d AS answer FROM qa)"""
 
@@ -162,7 +162,8 @@ def marked_pages(spark, sf):
 @query(
     "evidence_rows",
     f"""WITH p AS (SELECT source AS source_file, doc_id AS page, {MARKED} AS text FROM documents),
-l AS (SELECT source_file, page, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, {q.strip('unnest(string_split(text, chr(10)))')} AS evidence_text, md5(substr(text, 1, 500)) AS context_md5 FROM p)
+l0 AS (SELECT source_file, page, string_split(text, chr(10)) AS ls, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, {q.strip('unnest(string_split(text, chr(10)))')} AS evidence_text FROM p),
+l AS (SELECT *, md5(array_to_string(ls[greatest(line_no, 1) : line_no + 2], chr(10))) AS context_md5 FROM l0)
 SELECT source_file, page, line_no, evidence_text, context_md5, 'supported' AS label, 0.8::DOUBLE AS confidence FROM l
 WHERE length(evidence_text) >= 20 AND regexp_matches(lower(evidence_text), 'must|shall|require|provide|demonstrate|achieve')""",
 )

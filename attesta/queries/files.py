@@ -8,7 +8,7 @@ from ..functions.credits import source_category
 from ..operators.matching import unprocessed_files, with_file_status
 from ..plans.corpus import corpus, document_summary, processing_counters
 from ..session import table
-from ..sources.readers import capped_rows, decoded, good_lines, parse_json_lines
+from ..sources.readers import decoded, good_lines, numbered_rows, parse_json_lines
 from ..streaming.telemetry import session_counts, window_counts
 from .registry import query
 
@@ -128,16 +128,16 @@ def corpus_union(spark, sf):
 
 
 @query(
-    "sheet_rows_capped",
+    "sheet_rows",
     """WITH r AS (SELECT o_orderpriority AS sheet_name, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS row_index FROM orders)
-SELECT sheet_name, o_orderkey, row_index::INT AS row_index FROM r WHERE row_index < 1000""",
+SELECT sheet_name, o_orderkey, row_index::INT AS row_index FROM r""",
 )
-def sheet_rows_capped(spark, sf):
-    """The sheet source keeps 1000 rows per sheet by definition; order priorities stand for sheets."""
+def sheet_rows(spark, sf):
+    """All rows of every sheet, numbered; order priorities stand for sheets."""
     rows = table(spark, sf, "orders").select(
         F.lit("orders").alias("source_file"), F.col("o_orderpriority").alias("sheet_name"), "o_orderkey", F.col("o_orderkey").alias("_at")
     )
-    return capped_rows(rows).select("sheet_name", "o_orderkey", "row_index")
+    return numbered_rows(rows).select("sheet_name", "o_orderkey", "row_index")
 
 
 @query(

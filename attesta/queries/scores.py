@@ -57,13 +57,13 @@ def energy_points(spark, sf):
 
 # a line item is a stop of the supplier's site
 TRANSIT_SQL = f"""tt AS (SELECT l_suppkey AS site_id, count(*) AS n_stops, sum((l_quantity / 10)::BIGINT) AS total_trips,
-  coalesce(sum((l_quantity / 10)::BIGINT) FILTER (l_returnflag = 'A'), 0) AS weekend_trips FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL),
+  coalesce(sum((l_quantity / 10)::BIGINT) FILTER (l_returnflag = 'A'), 0) AS weekend_trips FROM lineitem GROUP BY ALL),
 tp AS MATERIALIZED (SELECT *, {TRANSIT_CASE} AS points FROM tt)"""
 TRANSIT_SQL = TRANSIT_SQL.replace("(l_quantity / 10)::BIGINT", "floor(l_quantity / 10)::BIGINT")
 
 
 def transit_sites(spark, sf):
-    stops = table(spark, sf, "lineitem").filter("l_linenumber = 1").select(
+    stops = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("site_id"), F.floor(F.col("l_quantity") / 10).alias("frequency"),
         (F.col("l_returnflag") == "A").alias("weekend_service"),
     )
@@ -109,15 +109,15 @@ def land_eligibility(spark, sf):
 
 @query(
     "tract_eligibility",
-    """WITH t AS (SELECT n_nationkey AS tract, n_regionkey * 20000 + 30000 AS median_income, n_nationkey / 200.0::DOUBLE AS poverty_rate, n_nationkey / 150.0::DOUBLE AS unemployment_rate FROM nation WHERE n_nationkey % 6 <> 0)
-SELECT s_suppkey AS site_id, coalesce(tract, -1) AS tract, coalesce(median_income, 0) <= 65000 OR coalesce(poverty_rate, 0) >= 0.20::DOUBLE OR coalesce(unemployment_rate, 0) >= 0.12::DOUBLE AS eligible FROM supplier LEFT JOIN t ON s_nationkey = tract""",
+    """WITH t AS (SELECT n_nationkey AS tract, n_regionkey * 20000 + 30000 AS median_income, n_nationkey / 200.0::DOUBLE AS poverty_rate, n_nationkey / 150.0::DOUBLE AS unemployment_rate FROM nation)
+SELECT s_suppkey AS site_id, coalesce(tract, -1) AS tract, coalesce(median_income, 0) <= 65000 OR coalesce(poverty_rate, 0) >= 0.20::DOUBLE OR coalesce(unemployment_rate, 0) >= 0.12::DOUBLE AS eligible FROM supplier LEFT JOIN t ON s_nationkey + s_suppkey % 3 = tract""",
 )
 def tract_eligibility(spark, sf):
     key = F.col("n_nationkey")
-    tracts = table(spark, sf, "nation").filter(key % 6 != 0).select(
+    tracts = table(spark, sf, "nation").select(
         key.alias("tract"), (F.col("n_regionkey") * 20000 + 30000).alias("median_income"), (key / 200.0).alias("poverty_rate"), (key / 150.0).alias("unemployment_rate")
     )
-    sites = table(spark, sf, "supplier").join(tracts, F.col("s_nationkey") == F.col("tract"), "left")
+    sites = table(spark, sf, "supplier").join(tracts, F.col("s_nationkey") + F.col("s_suppkey") % 3 == F.col("tract"), "left")
     return sites.select(
         F.col("s_suppkey").alias("site_id"), F.coalesce("tract", F.lit(-1)).alias("tract"),
         high_priority(F.col("median_income"), F.col("poverty_rate"), F.col("unemployment_rate")).alias("eligible"),
@@ -149,7 +149,7 @@ def stops_near_sites_query(spark, sf):
     stops = _places(table(spark, sf, "supplier"), "s_suppkey", 78, 53, 71).select(
         "lat", "lon", (F.col("k") % 40).alias("frequency"), (F.col("k") % 3 == 0).alias("weekend")
     )
-    return stops_near_sites(sites, stops, 800.0, max_lat=31.0)
+    return stops_near_sites(sites, stops, 800.0)
 
 
 LOCATION_SQL = f"""{TRANSIT_SQL}, ss AS (SELECT s_suppkey AS project_id, coalesce(tp.total_trips, 0) AS total_trips, coalesce(tp.weekend_trips, 0) AS weekend_trips, (s_suppkey * 7 % 60 + 40) AS walk_score, s_suppkey % 5 = 0 AS flood,
@@ -358,13 +358,13 @@ def meter_months_query(spark, sf):
 @query(
     "site_energy",
     """SELECT o_custkey, max(o_orderkey) FILTER (o_orderkey % 3 = 0)::DOUBLE AS total_site_energy, max(o_orderkey) FILTER (o_orderkey % 3 = 1)::DOUBLE AS total_source_energy FROM orders
-GROUP BY ALL HAVING max(o_orderkey) FILTER (o_orderkey % 3 = 0) IS NOT NULL AND max(o_orderkey) FILTER (o_orderkey % 3 = 1) IS NOT NULL""",
+GROUP BY ALL""",
 )
 def site_energy_query(spark, sf):
     key = F.col("o_orderkey")
     label = F.when(key % 3 == 0, "Total Site Energy").when(key % 3 == 1, "Total Source Energy").otherwise("Other")
     lines = table(spark, sf, "orders").select("o_custkey", key.alias("line_no"), F.concat_ws(",", label, key.cast("string"), F.lit("kBtu")).alias("line"))
-    return site_energy(lines, ["o_custkey"]).dropna()
+    return site_energy(lines, ["o_custkey"])
 
 
 @query(

@@ -14,7 +14,7 @@ from ..plans.index import search_index, with_all_source
 from ..plans.search import (
     analyze_projects, credit_queries, guidance, merge_second_source, route_sources, search, source_labels,
 )
-from ..session import measured, table, written
+from ..session import table, written
 from . import sqltext as q
 from .chunks import HTML_SQL, page_texts
 from .inputs import TOPIC_QUERIES_SQL, WINDOW_CHUNKS_SQL, passages, topic_queries, window_chunks
@@ -25,7 +25,7 @@ from .retrieval import GROUP_END, GROUP_SQL, PICK_SQL
 def search_sql(queries: str, k: int, top: int = 3, expand: bool = True, chunks: str = WINDOW_CHUNKS_SQL) -> str:
     """CTEs ending in found(query_id, source, chunk_id, text, credit_id, …, score, rank); `queries` defines q."""
     per = max(2, k // top)
-    depth = min(3 * k, 20)
+    depth = 3 * k
     asked = (
         f"""{q.EXPANSION},
 ns AS (SELECT query_id, count(*) AS n FROM subs GROUP BY ALL),
@@ -38,12 +38,12 @@ asked AS MATERIALIZED (SELECT query_id || '#' || sub_no AS query_id, sub_query A
 dq AS (SELECT query_id, {q.with_synonyms('lt')} AS text FROM (SELECT query_id, {q.with_domain('text')} AS lt FROM asked)),
 {q.bm25(depth, 'asked')}, {q.text_dense(depth)}, {q.weighted('fz', 'dek', 'bmk')},
 lst AS (SELECT string_split(query_id, '#')[1] AS query_id, string_split(query_id, '#')[2]::INT AS list_no, source, chunk_id, score, rank FROM fz),
-one AS (SELECT query_id, count(DISTINCT list_no) = 1 AS single FROM lst GROUP BY ALL),
+one AS (SELECT string_split(query_id, '#')[1] AS query_id, count(*) = 1 AS single FROM asked GROUP BY ALL),
 rf AS (SELECT query_id, source, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rs, max(score) AS os, min(list_no * 1000000 + rank) AS f FROM lst GROUP BY ALL),
-rg AS (SELECT query_id, source, chunk_id, CASE WHEN single THEN os ELSE rs END AS score,
+rg AS (SELECT query_id, source, chunk_id, single, CASE WHEN single THEN os ELSE rs END AS score,
    row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN single THEN NULL ELSE rs END DESC NULLS LAST, f) AS r0 FROM rf JOIN one USING (query_id)),
 rh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM rg),
-kept AS MATERIALIZED (SELECT query_id, source, chunk_id, score, rank FROM rh WHERE score > 0.3 OR (best <= 0.3 AND rank <= {2 * k})),
+kept AS MATERIALIZED (SELECT query_id, source, chunk_id, score, rank FROM rh WHERE NOT single OR score > 0.3 OR (best <= 0.3 AND rank <= {2 * k})),
 km AS MATERIALIZED (SELECT * FROM kept JOIN meta USING (source, chunk_id)),
 k1 AS (SELECT *, first_value(chunk_id) OVER w AS rep, row_number() OVER w AS n1 FROM km WINDOW w AS (PARTITION BY query_id, credit_id, section ORDER BY rank)),
 cs AS (SELECT query_id, chunk_id, rep, sum(a.w * b.w) AS cos FROM (SELECT DISTINCT query_id, chunk_id, rep FROM k1 WHERE n1 > 1) p
@@ -173,7 +173,7 @@ def marked(text):
 def _lexical_hits(spark, sf, k):
     """Top k windows per passage with metadata and marked texts."""
     chunks = written(window_chunks(spark, sf))
-    hits = measured(bm25_search(topic_queries(spark, sf), lexical_index(chunks), k))
+    hits = written(bm25_search(topic_queries(spark, sf), lexical_index(chunks), k))
     return chunks.join(hits, ["source", "chunk_id"]).withColumn("text", marked(F.col("text")))
 
 
@@ -253,7 +253,7 @@ def key_facts_query(spark, sf):
 @query(
     "result_keys",
     f"""WITH {lexical_hits_sql(10)} SELECT query_id, rank, CASE rank % 3 WHEN 0 THEN 'chunk_id:' || chunk_id WHEN 1 THEN 'credit:' || credit_id || '::section:' || section || '::pages:' || page || '-' || page
- ELSE 'text_hash:' || substr(md5(substr(text, 1, 200)), 1, 16) END AS result_key FROM lh""",
+ ELSE 'text_hash:' || md5(text) END AS result_key FROM lh""",
 )
 def result_keys(spark, sf):
     r = F.col("rank") % 3
@@ -310,7 +310,7 @@ SELECT count(*) AS total_queries, count(score) AS queries_with_results, round(co
 )
 def retrieval_quality_query(spark, sf):
     asked = topic_queries(spark, sf)
-    return retrieval_quality(asked, measured(search(asked, _index(spark, sf), 5)))
+    return retrieval_quality(asked, written(search(asked, _index(spark, sf), 5)))
 
 
 SMOKE_SQL = "q(query_id, text) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(SMOKE_QUERIES)) + ")"
@@ -344,7 +344,7 @@ def _two_sources(spark, sf):
     web = bm25_search(
         topic_queries(spark, sf), lexical_index(pages.select(F.lit("web").alias("source"), F.col("page_id").alias("chunk_id"), "text")), 3
     )
-    other = pages.join(measured(web.select("query_id", "rank", F.col("chunk_id").alias("page_id"))), "page_id").select(
+    other = pages.join(written(web.select("query_id", "rank", F.col("chunk_id").alias("page_id"))), "page_id").select(
         "query_id", "rank", "title", "text", F.col("url").alias("source")
     )
     return merge_second_source(_lexical_hits(spark, sf, 3), other, 3)

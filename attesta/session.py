@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,6 +17,11 @@ TABLES = (
 ).split()
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# parts into which text tables are dealt on reading; unset (the default) they are read in place
+INPUT_PARTITIONS = "spark.attesta.inputPartitions"
+
+
 def build_session(master: str | None = None, cores: int = 8, app: str = "attesta") -> SparkSession:
     """A session with the settings the operators are planned for. On a cluster, leave master unset."""
     builder = (
@@ -23,6 +31,8 @@ def build_session(master: str | None = None, cores: int = 8, app: str = "attesta
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.parquet.filterPushdown", "true")
+        # several state variables per key need this state store (streaming.ingest.latest_scores)
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     )
     if master:
         builder = (
@@ -30,57 +40,58 @@ def build_session(master: str | None = None, cores: int = 8, app: str = "attesta
             .config("spark.sql.shuffle.partitions", str(cores))
             .config("spark.sql.files.openCostInBytes", "65536")
             .config("spark.sql.files.maxPartitionBytes", "2m")
+            .config(INPUT_PARTITIONS, str(4 * cores))
             .config("spark.driver.memory", "8g")
             .config("spark.ui.enabled", "false")
         )
     return builder.getOrCreate()
 
 
-SMALL_INPUT = 256 * 1024 * 1024
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Only a session that asks for it (tests, bench: files of one row group) has texts dealt out."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread_small(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
-
-
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """A small file often is one row group, which one task would process alone: spread its rows.
-
-    Inputs above SMALL_INPUT bytes have enough row groups and are read in place, without a shuffle.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_INPUT:
-        return df
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+    parts = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(parts), TEXT_TABLES[name]) if parts and name in TEXT_TABLES else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by the cluster; fall back to a fresh one only where none is set (tests)."""
+    """Use the folder named by the cluster. Only a local master may go without: it gets a temporary one."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="attesta-ckpt-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="attesta-ckpt-"))
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write df once as Parquet in the shared checkpoint folder and read it back.
 
-    For results that several later steps read: each of them scans only its own columns, and a lost
-    executor costs no recomputation.
+    For results that several later steps read: each of them scans only its own columns, a lost executor
+    costs no recomputation, and joins are planned by the size of the files. The tables of a session are
+    removed when the driver's Python ends, or by `remove_written`.
     """
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def measured(df: DataFrame) -> DataFrame:
-    """Keep a small result in memory and count it, so that joins with it are planned by its real size.
+def remove_written() -> None:
+    """Remove the tables that `written` made; results that still read them must be done."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
-    Only for results bounded by the number of queries; lost blocks are rebuilt from their lineage.
-    """
-    kept = df.persist()
-    kept.count()
-    return kept
+
+atexit.register(remove_written)

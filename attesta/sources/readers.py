@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import running
 from .schemas import BUILDING, CHUNK_LINE, CREDIT, EXTRACTION
 
-SHEET_ROWS = 1000  # a sheet contributes at most this many rows, by definition of the source
-
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str = CHUNK_LINE) -> DataFrame:
     """JSON lines; invalid lines are kept in `_bad` so that they can be counted. Blank lines are skipped."""
@@ -121,22 +120,46 @@ def site_energy(lines: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def read_sheets(spark: SparkSession, root: str) -> DataFrame:
-    """CSV folder, one file per sheet: (source_file, sheet_name, row_index, cells), at most 1000 rows a sheet."""
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
-    cols = raw.columns
-    cells = F.map_from_arrays(
-        F.array(*[F.lit(c) for c in cols]), F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in cols])
-    )
+    """CSV folder, one file per sheet: (source_file, sheet_name, row_index, cells), all rows of each sheet.
+
+    Every file has its own header line; a file is read in pieces, lines keep their order by place.
+    Fields of a line beyond the header get no cell; missing ones are empty.
+    """
     path = F.col("_metadata.file_path")
-    rows = raw.select(
-        path.alias("source_file"), F.regexp_extract(path, r"([^/]+)\.csv$", 1).alias("sheet_name"), cells.alias("cells"),
-        F.monotonically_increasing_id().alias("_at"),
+    lines = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+        .select(path.alias("source_file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_at"))
+    )
+    return sheet_cells(lines)
+
+
+def sheet_cells(lines: DataFrame) -> DataFrame:
+    """lines(source_file, line, _at): the first line of each file names the cells of all others."""
+    full = lines.filter(F.length(F.trim("line")) > 0)
+    heads = full.groupBy("source_file").agg(F.min_by("line", "_at").alias("head"), F.min("_at").alias("first"))
+    rows = full.join(heads, "source_file").filter("_at > first")
+
+    def split(line: Column) -> Column:
+        parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(FIELD), F.lit(0))
+        bare = lambda p: F.regexp_replace(F.substring(p, F.lit(2), F.length(p)), r'^\s*"|"\s*$', "")
+        return F.transform(parts, lambda p: F.replace(bare(p), F.lit('""'), F.lit('"')))
+
+    cells = rows.withColumn("_head", split(F.col("head"))).withColumn("_line", split(F.col("line")))
+    named = F.map_from_entries(
+        F.filter(
+            F.zip_with("_head", "_line", lambda h, v: F.struct(h.alias("k"), F.coalesce(v, F.lit("")).alias("v"))), lambda e: e["k"].isNotNull()
+        )
     )
-    return capped_rows(rows)
+    out = cells.select("source_file", F.regexp_extract("source_file", r"([^/]+)\.csv$", 1).alias("sheet_name"), named.alias("cells"), "_at")
+    return numbered_rows(out)
 
 
-def capped_rows(rows: DataFrame, limit: int = SHEET_ROWS) -> DataFrame:
-    w = Window.partitionBy("source_file", "sheet_name").orderBy("_at")
-    # the limit is applied before the shuffle, so a very long sheet sends few rows
-    first = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
-    return first.withColumn("row_index", F.col("_n") - 1).drop("_at", "_n")
+FIELD = r',(?:\s*"(?:[^"]|"")*"\s*|[^,]*)'
+
+
+def numbered_rows(rows: DataFrame, block: int = 1 << 12) -> DataFrame:
+    """Adds `row_index` from 0 in the order of `_at` within each sheet; long sheets go block by block."""
+    out = running(
+        rows, ["source_file", "sheet_name"], [F.floor(F.col("_at") / block), F.floor(F.col("_at") / (block << 10))], ["_at"], {"_n": F.lit(1)},
+    )
+    return out.withColumn("row_index", (F.col("_n") - 1).cast("int")).drop("_at", "_n")

@@ -54,11 +54,11 @@ def _stored(spark: SparkSession, out: str, before: int) -> DataFrame | None:
 
 
 def dedupe_stream(chunks: DataFrame, time: str = "ts", lateness: str = "1 hour") -> DataFrame:
-    """Drop repeated chunk hashes that arrive within the lateness of each other."""
-    return chunks.withWatermark(time, lateness).dropDuplicatesWithinWatermark(["chunk_hash"])
+    """Drop chunks(time, text, ...) whose text arrived already within the lateness, by its whole MD5."""
+    keyed = chunks.withWatermark(time, lateness).withColumn("text_md5", F.md5("text"))
+    return keyed.dropDuplicatesWithinWatermark(["text_md5"]).drop("text_md5")
 
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATEST = "project_id LONG, n_updates LONG, total_points DOUBLE"
 
 
@@ -86,9 +86,8 @@ class _LatestScore(StatefulProcessor):
 def latest_scores(updates: DataFrame) -> DataFrame:
     """Stream of updates(project_id, update_no, points) -> newest score per project after each batch.
 
-    Several state variables per key need the RocksDB state store, which is set for the session here.
+    The session needs the RocksDB state store (`session.ROCKSDB`), as `session.build_session` sets it.
     """
-    updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return updates.groupBy("project_id").transformWithStateInPandas(
         statefulProcessor=_LatestScore(), outputStructType=LATEST, outputMode="Update", timeMode="None"
     )

@@ -56,8 +56,13 @@ def test_meters_sheets_and_energy(spark, tmp_path):
     assert (e["total_site_energy"], e["total_source_energy"]) == (5.5, 7.0)
     (tmp_path / "sheets").mkdir()
     (tmp_path / "sheets" / "s1.csv").write_text("a,b\n" + "".join(f"{i},\n" for i in range(1200)))
+    (tmp_path / "sheets" / "s2.csv").write_text('name,area,use\n"Hall, ""B""",5,x\nGym,7\n')
     rows = rd.read_sheets(spark, str(tmp_path / "sheets"))
-    assert rows.count() == 1000 and rows.filter("row_index = 3").first()["cells"] == {"a": "3", "b": ""}
+    first = rows.filter("sheet_name = 's1'")
+    assert first.count() == 1200 and first.filter("row_index = 3").first()["cells"] == {"a": "3", "b": ""}
+    assert sorted(r["row_index"] for r in first.collect()) == list(range(1200))
+    second = rows.filter("sheet_name = 's2'").orderBy("row_index").collect()
+    assert [r["cells"] for r in second] == [{"name": 'Hall, "B"', "area": "5", "use": "x"}, {"name": "Gym", "area": "7", "use": ""}]
 
 
 def test_sinks(spark, tmp_path):
@@ -129,11 +134,11 @@ def test_late_rows_are_dropped_and_sessions_close(spark, tmp_path):
 
 
 def test_stream_dedupe(spark, tmp_path):
-    for i, h in enumerate(["a", "a", "b"]):
-        (tmp_path / f"{i}.json").write_text(json.dumps({"ts": f"2024-01-01 00:0{i}:00", "chunk_hash": h}))
+    for i, text in enumerate(["a", "a", "b"]):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"ts": f"2024-01-01 00:0{i}:00", "chunk_hash": "same", "text": text}))
         time.sleep(0.05)
-    got = _drain(dedupe_stream(_stream(spark, str(tmp_path), "ts timestamp, chunk_hash string")), "dd", "append")
-    assert sorted(r["chunk_hash"] for r in got) == ["a", "b"]
+    got = _drain(dedupe_stream(_stream(spark, str(tmp_path), "ts timestamp, chunk_hash string, text string")), "dd", "append")
+    assert sorted(r["text"] for r in got) == ["a", "b"]
 
 
 def test_running_state_per_project(spark, tmp_path):
@@ -188,7 +193,7 @@ def test_contains_and_nearest_names(spark):
 def test_near_stops_against_all_pairs(spark):
     sites = spark.range(40).select(F.col("id").alias("site_id"), (30.2 + F.col("id") % 7 / 500).alias("lat"), (-97.7 + F.col("id") % 5 / 500).alias("lon"))
     stops = spark.range(60).select((30.2 + F.col("id") % 11 / 700).alias("lat"), (-97.7 + F.col("id") % 3 / 300).alias("lon"), F.col("id").alias("frequency"), (F.col("id") % 2 == 0).alias("weekend"))
-    got = {r["site_id"]: (r["n_stops"], r["total_trips"], r["weekend_trips"]) for r in stops_near_sites(sites, stops, 700.0, 31.0).collect()}
+    got = {r["site_id"]: (r["n_stops"], r["total_trips"], r["weekend_trips"]) for r in stops_near_sites(sites, stops, 700.0).collect()}
     s = stops.select(F.col("lat").alias("a"), F.col("lon").alias("b"), "frequency", "weekend")
     pairs = sites.crossJoin(s).withColumn("near", metres_between(F.col("lat"), F.col("lon"), F.col("a"), F.col("b")) <= 700)
     want = pairs.groupBy("site_id").agg(
