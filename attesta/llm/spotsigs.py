@@ -19,15 +19,18 @@ ANCHORS = (
     "al como con del el ella ellos era esta este ha las lo los más no para pero por se si sin su sus también una unos y ya"
 ).split()
 CHAIN = 2
-_ANY = "|".join(sorted(set(ANCHORS)))
-RUN = f" (?:(?:{_ANY}) )*({_ANY}) "
 WORDS_OF = r"[^\p{L}\p{N}]+"
 
 
 def marked_words(text: Column) -> Column:
     """The content words in order; one after a run of anchors carries the last of them: 'of=house'."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), WORDS_OF, " "))
-    return F.split(F.trim(F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), RUN, " $1=")), " ")
+
+    def mark(before: Column, word: Column) -> Column:
+        return F.when(word.isin(ANCHORS), None).when(before.isin(ANCHORS), F.concat(before, F.lit("="), word)).otherwise(word)
+
+    marked = bind(F.split(plain, " "), lambda w: F.zip_with(F.concat(F.array(F.lit("")), w), w, mark))
+    return F.filter(marked, lambda w: w.isNotNull())
 
 
 def _number(text: Column) -> Column:
@@ -142,9 +145,16 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     )
 
 
+_IN = "(" + ", ".join(f"'{a}'" for a in sorted(set(ANCHORS))) + ")"
+
+
+def _sql_words(text: str) -> str:
+    return f"string_split(trim(regexp_replace(lower({text}), '{WORDS_OF}', ' ', 'g')), ' ')"
+
+
 def _sql_set(text: str) -> str:
-    words = f"string_split(trim(regexp_replace(' ' || trim(regexp_replace(lower({text}), '{WORDS_OF}', ' ', 'g')) || ' ', '{RUN}', ' \\1=', 'g')), ' ')"
-    return words
+    mark = f"list_transform({text}, lambda w, i: CASE WHEN w IN {_IN} THEN NULL WHEN i > 1 AND {text}[i - 1] IN {_IN} THEN {text}[i - 1] || '=' || w ELSE w END)"
+    return f"list_filter({mark}, lambda w: w IS NOT NULL)"
 
 
 _SIGS = """list_transform(list_filter(range(1, len({w})), lambda i: contains({w}[i], '=')), lambda i: substr(md5({w}[i] || ' ' || string_split({w}[i + 1], '=')[-1]), 1, 8))"""
@@ -159,7 +169,8 @@ SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT *, length(text) AS n_chars, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text FROM d),
 e AS (SELECT *, left(text, n_chars - n_chars // 2) || left(next_text, n_chars // 2) AS e FROM n),
-w AS (SELECT doc_id, n_chars, e, {_sql_set('text')} AS w1, {_sql_set('e')} AS w2, {_sql_set('next_text')} AS w3 FROM e),
+p AS MATERIALIZED (SELECT doc_id, n_chars, e, {_sql_words('text')} AS p1, {_sql_words('e')} AS p2, {_sql_words('next_text')} AS p3 FROM e),
+w AS MATERIALIZED (SELECT doc_id, n_chars, e, {_sql_set('p1')} AS w1, {_sql_set('p2')} AS w2, {_sql_set('p3')} AS w3 FROM p),
 s AS MATERIALIZED (SELECT doc_id, n_chars, e, {_sql_final('w1')} AS s1, {_sql_final('w2')} AS s2, {_sql_final('w3')} AS s3 FROM w)
 SELECT doc_id, n_chars, sha256(e) AS edited_sha256, array_to_string(s1, '') AS fingerprint, array_to_string(s2, '') AS edited_fingerprint,
   len(list_intersect(s1, s2)) / (len(s1) + len(s2) - len(list_intersect(s1, s2))) AS near_edited,
