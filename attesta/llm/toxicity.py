@@ -140,13 +140,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 30) ->
 
 def fit(
     docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", per_class: int = 20_000,
-    min_docs: int = 5, min_weight: float = 3.0, max_terms: int = 20_000, exceptions: tuple[str, ...] = (),
+    min_docs: int = 4, min_weight: float = 2.0, sureness: float = 1.5, max_terms: int = 20_000, exceptions: tuple[str, ...] = (),
 ) -> Lexicon:
     """A lexicon learned from the documents that `labels` (doc_id, toxic) marks and `train` admits.
 
     Of each class the `per_class` rows with the least hashed ids are the sample, a bound that does not
     grow with the data; their whole texts are used. A term weighs the logarithm of how many times
-    likelier it is in toxic documents, and has to be sure of `min_weight` (two standard errors off); phrases around a term that only clean documents hold become
+    likelier it is in toxic documents, and has to be sure of `min_weight` (`sureness` standard errors off); phrases around a term that only clean documents hold become
     exceptions, beside those given. Null labels, ids and texts are left out; without both classes the
     lexicon is empty and scores say so (0.5 at the most).
     """
@@ -162,7 +162,7 @@ def fit(
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     found = (
         _by_label(map_batches(rows, _counter("terms"), schema)).filter(F.col("bad") >= min_docs).withColumn("weight", weight)
-        .filter(F.col("weight") - 2 * error >= min_weight).orderBy(F.col("bad").desc(), "pattern").limit(max_terms)
+        .filter(F.col("weight") - sureness * error >= min_weight).orderBy(F.col("bad").desc(), "pattern").limit(max_terms)
     )
     lexicon = Lexicon(pruned({r["pattern"]: r["weight"] for r in found.select("pattern", "weight").collect()}), [f" {' '.join(folded(e.encode()))} " for e in exceptions])
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
