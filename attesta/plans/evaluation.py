@@ -34,10 +34,28 @@ COMPLIANCE_QUERIES = [
     "What is the minimum energy performance requirement?", "How to document water use reduction?",
     "What are the requirements for indoor environmental quality?", "How to calculate renewable energy credits?",
 ]
+DEPLOYMENT_QUERIES = [
+    "What are the requirements for energy efficiency credits?", "How do I achieve LEED points for water conservation?",
+    "What is required for indoor air quality credits?", "How to get points for sustainable materials?",
+    "What are the prerequisites for LEED certification?", "How to calculate energy performance metrics?",
+    "What documentation is needed for LEED credits?", "How to achieve innovation credits in LEED?",
+    "What are the requirements for location and transportation credits?", "How to implement renewable energy systems for LEED?",
+]
 # --------------------------------------------------------------------------------------------------
 SMOKE_QUERIES = BASIC_QUERIES + CREDIT_QUERIES + COMPLIANCE_QUERIES
 
 
+def deployment_queries(spark: SparkSession) -> DataFrame:
+    """(query_id, text) of the questions asked after an index is deployed."""
+    return spark.createDataFrame(list(enumerate(DEPLOYMENT_QUERIES)), "query_id long, text string")
+
+
+def evaluation_queries(spark: SparkSession) -> DataFrame:
+    """(query_id, text, expected_topics, sources) of the topic queries, each with the source it asks for."""
+    rows = [(i, text, topics, [source]) for i, (text, topics, source) in enumerate(EVALUATION_QUERIES)]
+    return spark.createDataFrame(rows, "query_id long, text string, expected_topics array<string>, sources array<string>")
+
+
 def smoke_queries(spark: SparkSession) -> DataFrame:
     """(query_id, text) of the queries without expected topics."""
     return spark.createDataFrame(list(enumerate(SMOKE_QUERIES)), "query_id long, text string")
