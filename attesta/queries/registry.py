@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from . import assistant, chunks, credits, evidence, files, retrieval, scores, searching  # noqa: F401
+    from . import assistant, chunks, credits, evidence, files, retrieval, roundtrips, scores, searching  # noqa: F401
