@@ -106,14 +106,20 @@ def _filled(c: Column) -> Column:
     return F.coalesce(F.size(c) > 0, F.lit(False))
 
 
+# ---- fixed values: texts of the validation --------------------------------------------------------
+NO_NAME, NO_CODE = "Missing credit name", "Missing credit code"
+BAD_POINTS, BAD_TYPE = "Invalid points range", "Invalid credit type"
+# -------------------------------------------------------------------------------------------------
+
+
 def validation_errors(name: Column, code: Column, category: Column, lo: Column, hi: Column, kind: Column) -> Column:
     """Points are compared only when both are present and non-zero."""
     return F.array_compact(
         F.array(
-            F.when(or_none(name).isNull(), F.lit("Missing credit name")),
-            F.when(or_none(code).isNull() & or_none(category).isNotNull(), F.lit("Missing credit code")),
-            F.when((lo != 0) & (hi != 0) & (lo > hi), F.lit("Invalid points range")),
-            F.when(~F.coalesce(kind.isin("Credit", "Prerequisite"), F.lit(False)), F.lit("Invalid credit type")),
+            F.when(or_none(name).isNull(), F.lit(NO_NAME)),
+            F.when(or_none(code).isNull() & or_none(category).isNotNull(), F.lit(NO_CODE)),
+            F.when((lo != 0) & (hi != 0) & (lo > hi), F.lit(BAD_POINTS)),
+            F.when(~F.coalesce(kind.isin("Credit", "Prerequisite"), F.lit(False)), F.lit(BAD_TYPE)),
         )
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import bind, md5_hex, value_counts
 
-HASH_DIMS = 65_536
+HASH_DIGITS = 5  # hexadecimal digits of a dimension: 2^20 of them
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,14 +31,14 @@ def l2_normalise(a: Column) -> Column:
     )
 
 
-def hash_dim(token: Column) -> Column:
-    """Dimension 0..65535 of a token."""
-    return F.conv(md5_hex(token, 4), 16, 10).cast("int")
+def hash_dim(token: Column, digits: int = HASH_DIGITS) -> Column:
+    """Dimension of a token: so many hexadecimal digits (at most 7) of its MD5."""
+    return F.conv(md5_hex(token, digits), 16, 10).cast("int")
 
 
-def hashed_vector(toks: Column) -> Column:
+def hashed_vector(toks: Column, digits: int = HASH_DIGITS) -> Column:
     """tokens -> array<struct<dim, w>>, sparse term counts scaled to unit length."""
-    counts = value_counts(F.transform(toks, hash_dim), key="dim")
+    counts = value_counts(F.transform(toks, lambda t: hash_dim(t, digits)), key="dim")
 
     def scaled(cs: Column) -> Column:
         length = F.sqrt(F.aggregate(cs, F.lit(0.0), lambda acc, e: acc + e["n"].cast("double") * e["n"]))

@@ -106,9 +106,9 @@ def verdicts(summary: DataFrame) -> DataFrame:
     """Pass marks: answers within 2 s, relevance above 0.6, success above 0.8."""
     return summary.withColumns(
         {
-            "time_verdict": F.when(F.col("average_response_time") < 2.0, "Good").otherwise("Consider optimization"),
-            "relevance_verdict": F.when(F.col("average_relevance") > 0.6, "Good").otherwise("Consider improving chunk quality"),
-            "success_verdict": F.when(F.col("success_rate") > 0.8, "Good").otherwise("Investigate API issues"),
+            "time_verdict": F.when(F.col("average_response_time") < 2.0, "met").otherwise("not met: above two seconds"),
+            "relevance_verdict": F.when(F.col("average_relevance") > 0.6, "met").otherwise("not met: at or below 0.6"),
+            "success_verdict": F.when(F.col("success_rate") > 0.8, "met").otherwise("not met: at or below 0.8"),
         }
     )
 

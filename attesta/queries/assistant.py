@@ -16,7 +16,7 @@ from .inputs import TOPIC_QUERIES_SQL, topic_queries, window_chunks
 from .registry import QUERIES, SQL, query
 from .searching import _index, _worded, search_sql
 
-DIM = "('0x' || substr(md5(term), 1, 4))::INT"
+DIM = "('0x' || substr(md5(term), 1, 5))::INT"
 
 
 @query(

@@ -24,10 +24,10 @@ MARKED = "replace(replace(replace(text, ' the ', ' must '), ' and ', ' should ')
     "evidence_decision",
     f"""WITH {WHOLE_DOCUMENTS_SQL}, {PASSAGES_SQL}, {q.bm25(4)},
 ev AS (SELECT conv_id || '/' || turn AS evidence_id, conv_id % 50 AS query_id, CASE WHEN turn % 6 = 5 THEN ' ' ELSE text END AS text FROM conversations),
-tk2 AS (SELECT evidence_id, ('0x' || substr(md5(term), 1, 4))::INT AS dim, count(*)::DOUBLE AS n FROM (SELECT evidence_id, unnest({q.toks('text')}) AS term FROM ev) GROUP BY ALL),
+tk2 AS (SELECT evidence_id, ('0x' || substr(md5(term), 1, 5))::INT AS dim, count(*)::DOUBLE AS n FROM (SELECT evidence_id, unnest({q.toks('text')}) AS term FROM ev) GROUP BY ALL),
 evv AS (SELECT evidence_id, dim, n / sqrt(sum(n * n) OVER (PARTITION BY evidence_id)) AS w FROM tk2),
 ids AS (SELECT DISTINCT chunk_id FROM bmk),
-dd0 AS (SELECT chunk_id, ('0x' || substr(md5(term), 1, 4))::INT AS dim, count(*)::DOUBLE AS n FROM (SELECT chunk_id, unnest(t) AS term FROM tk JOIN ids USING (chunk_id)) GROUP BY ALL),
+dd0 AS (SELECT chunk_id, ('0x' || substr(md5(term), 1, 5))::INT AS dim, count(*)::DOUBLE AS n FROM (SELECT chunk_id, unnest(t) AS term FROM tk JOIN ids USING (chunk_id)) GROUP BY ALL),
 dd AS (SELECT chunk_id, dim, n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)) AS w FROM dd0),
 prs AS (SELECT evidence_id, ev.query_id, ev.text AS etext, chunk_id, rank FROM ev JOIN bmk USING (query_id)),
 sc AS (SELECT evidence_id, chunk_id, round(sum(evv.w * dd.w), 6) AS s FROM prs JOIN evv USING (evidence_id) JOIN dd USING (chunk_id, dim) GROUP BY ALL),

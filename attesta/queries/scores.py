@@ -202,8 +202,8 @@ def supplier_summary(spark, sf):
 
 @query(
     "compliance_summary",
-    f"""WITH {SUMMARY_SQL} SELECT project_id, n_targets, credits_achieved, total_points, details, concat_ws(' ~ ', CASE WHEN total_points < 40 THEN 'Focus on energy efficiency improvements to increase points' END,
- CASE WHEN credits_achieved < n_targets THEN 'Review missing credits and implement required measures' END) AS recommendations FROM sn""",
+    f"""WITH {SUMMARY_SQL} SELECT project_id, n_targets, credits_achieved, total_points, details, concat_ws(' ~ ', CASE WHEN total_points < 40 THEN 'Below 40 points: the energy credits have most points left' END,
+ CASE WHEN credits_achieved < n_targets THEN 'Some target credits have no points yet' END) AS recommendations FROM sn""",
 )
 def compliance_summary_query(spark, sf):
     s = supplier_summary(spark, sf)
@@ -218,8 +218,8 @@ def compliance_summary_query(spark, sf):
 
 @query(
     "compliance_reports",
-    f"""WITH {SUMMARY_SQL}, r AS (SELECT *, concat_ws(chr(10), CASE WHEN total_points < 40 THEN '- Focus on energy efficiency improvements to increase points' END,
- CASE WHEN credits_achieved < n_targets THEN '- Review missing credits and implement required measures' END) AS recs FROM sn)
+    f"""WITH {SUMMARY_SQL}, r AS (SELECT *, concat_ws(chr(10), CASE WHEN total_points < 40 THEN '- Below 40 points: the energy credits have most points left' END,
+ CASE WHEN credits_achieved < n_targets THEN '- Some target credits have no points yet' END) AS recs FROM sn)
 SELECT project_id, '# LEED Certification Analysis Report' || chr(10) || chr(10) || '**Project:** ' || s_name || chr(10) || chr(10) || '## Compliance Summary' || chr(10)
  || '- Total Credits Analyzed: ' || n_targets || chr(10) || '- Credits Achieved: ' || credits_achieved || chr(10) || '- Total Points: ' || total_points || chr(10)
  || CASE WHEN details <> '' THEN chr(10) || '### Credit Details' || chr(10) || regexp_replace(replace(details, ', ', chr(10)), '([A-Za-z_]+)=(\\d+)', '- **\\1**: \\2 points', 'g') || chr(10) ELSE '' END

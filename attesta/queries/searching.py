@@ -287,9 +287,9 @@ def eval_relevance(spark, sf):
 r AS (SELECT query_id, n_results > 0 AND relevance > 0.2 AS success, relevance, coalesce(response_time, 0) AS response_time FROM ev LEFT JOIN rt USING (query_id)),
 s AS (SELECT count(*) AS total_queries, count(*) FILTER (success) AS successful_queries, round(count(*) FILTER (success) / count(*)::DOUBLE, 6) AS success_rate,
  round(coalesce(avg(relevance) FILTER (success), 0), 6) AS average_relevance, round(coalesce(avg(response_time) FILTER (success), 0), 6) AS average_response_time FROM r)
-SELECT *, CASE WHEN average_response_time < 2.0 THEN 'Good' ELSE 'Consider optimization' END AS time_verdict,
- CASE WHEN average_relevance > 0.6 THEN 'Good' ELSE 'Consider improving chunk quality' END AS relevance_verdict,
- CASE WHEN success_rate > 0.8 THEN 'Good' ELSE 'Investigate API issues' END AS success_verdict FROM s""",
+SELECT *, CASE WHEN average_response_time < 2.0 THEN 'met' ELSE 'not met: above two seconds' END AS time_verdict,
+ CASE WHEN average_relevance > 0.6 THEN 'met' ELSE 'not met: at or below 0.6' END AS relevance_verdict,
+ CASE WHEN success_rate > 0.8 THEN 'met' ELSE 'not met: at or below 0.8' END AS success_verdict FROM s""",
 )
 def eval_summary(spark, sf):
     """Response times come from the query log: mean event value per user, a user standing for a query."""

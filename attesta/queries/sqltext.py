@@ -48,7 +48,7 @@ def bm25(k: int, q: str = "q", chunks: str = "chunks", p: str = "") -> str:
 
 def text_dense(k: int, q: str = "dq", chunks: str = "chunks", p: str = "") -> str:
     """CTEs ending in {p}dek(query_id, source, chunk_id, score, rank) over hashed text vectors."""
-    dim = "('0x' || substr(md5(term), 1, 4))::INT"
+    dim = "('0x' || substr(md5(term), 1, 5))::INT"
     return f"""
 {p}dv0 AS MATERIALIZED (SELECT source, chunk_id, {dim} AS dim, count(*)::DOUBLE AS n
    FROM (SELECT source, chunk_id, unnest({toks('text')}) AS term FROM {chunks}) GROUP BY ALL),
