@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from ..plans.assistant import analyze_evidence
 from ..operators.lexical import bm25_search, lexical_index
 from ..plans.evaluation import DEPLOYMENT_QUERIES, EVALUATION_QUERIES, deployment_queries, evaluation_queries, query_relevance
-from ..plans.index import with_all_source
+from ..plans.index import read_index, search_index, with_all_source, write_index
 from ..plans.reports import evaluation_report, search_reports
 from ..plans.search import route_sources, search
 from ..session import table, written
 from . import sqltext as q
 from .inputs import TOPIC_QUERIES_SQL, topic_queries, window_chunks
 from .registry import QUERIES, SQL, query
-from .searching import _index, _worded, search_sql
+from .roundtrips import shared_folder
+from .searching import FULL, _index, _worded, search_sql
 
 DIM = "('0x' || substr(md5(term), 1, 5))::INT"
 
@@ -119,3 +120,12 @@ def topic_evaluation(spark, sf):
     hits = written(bm25_search(asked, lexical_index(chunks), 5))
     found = chunks.join(hits, ["source", "chunk_id"])
     return query_relevance(routed.select("query_id", "expected_topics"), found).select("query_id", "n_results", "relevance")
+
+
+@query("stored_index_search", f"{FULL} SELECT query_id::BIGINT AS query_id, chunk_id, credit_id, section, score, rank FROM found")
+def stored_index_search(spark, sf):
+    """The whole search on an index that was written and is read back."""
+    out = shared_folder(spark)
+    write_index(search_index(written(window_chunks(spark, sf))), out)
+    hits = search(topic_queries(spark, sf), read_index(spark, out), 5)
+    return hits.select("query_id", "chunk_id", "credit_id", "section", "score", "rank")

@@ -16,7 +16,7 @@ from .evidence import QA_SQL, SPLIT, mention_pages
 from .registry import query
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """A fresh folder that the driver and all executors share."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
@@ -25,7 +25,7 @@ def _folder(spark: SparkSession) -> str:
 @query("chunk_store_files", "SELECT doc_id, source, md5(text) AS text_md5 FROM documents")
 def chunk_store_files(spark, sf):
     """Chunk store partitioned by source."""
-    out = _folder(spark)
+    out = shared_folder(spark)
     write_chunks(table(spark, sf, "documents").select("doc_id", "source", "text"), out)
     return spark.read.parquet(out).select("doc_id", F.col("source").cast("string").alias("source"), F.md5("text").alias("text_md5"))
 
@@ -33,7 +33,7 @@ def chunk_store_files(spark, sf):
 @query("credit_files", "SELECT p_brand AS credit_code, p_name AS credit_name, p_size AS points_max, p_type || ' ~ ' || p_name AS requirements FROM part")
 def credit_files(spark, sf):
     """Parts as credit records, a hundred to a JSON array file."""
-    out = _folder(spark)
+    out = shared_folder(spark)
     record = F.to_json(
         F.struct(
             F.col("p_brand").alias("credit_code"), F.col("p_name").alias("credit_name"), F.col("p_size").cast("int").alias("points_max"),
@@ -49,7 +49,7 @@ def credit_files(spark, sf):
 @query("extraction_files", "SELECT 'item ' || item_id AS source_file, 1 AS page, md5(text) AS text_md5 FROM benchmark")
 def extraction_files(spark, sf):
     """Extraction records in a tree of folders, one JSON file each."""
-    out = _folder(spark)
+    out = shared_folder(spark)
     pages = F.array(F.struct(F.lit(1).alias("page"), F.col("text"), F.length("text").alias("total_chars"), F.lit(False).alias("ocr_used")))
     records = table(spark, sf, "benchmark").select(
         "item_id", F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("source_file"), F.lit("pdf").alias("file_type"), pages.alias("text_content")
@@ -62,7 +62,7 @@ def extraction_files(spark, sf):
 @query("text_file_tree", "SELECT source AS folder, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY ALL")
 def text_file_tree(spark, sf):
     """Documents as text files, a folder per source, found by name and read by content."""
-    out = _folder(spark)
+    out = shared_folder(spark)
     table(spark, sf, "documents").select("source", F.col("text").alias("value")).write.partitionBy("source").text(out)
     folder = F.regexp_extract("path", "/source=([^/]+)/", 1).alias("folder")
     found = discover_files(spark, out, "*.txt").select("path")
@@ -77,7 +77,7 @@ def text_file_tree(spark, sf):
 )
 def training_files(spark, sf):
     """Question pairs by split and their summary row, as JSON lines."""
-    out = _folder(spark)
+    out = shared_folder(spark)
     qa = with_split(qa_pairs(mention_pages(spark, sf)))
     summary = benchmark_summary(qa)
     write_training(qa, table(spark, sf, "benchmark"), table(spark, sf, "conversations"), summary, out)
@@ -90,7 +90,7 @@ def training_files(spark, sf):
 
 @query("xml_files", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def xml_files(spark, sf):
-    out = _folder(spark)
+    out = shared_folder(spark)
     write_xml(table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"), out)
     schema = "n_nationkey LONG, n_name STRING, n_regionkey LONG"
     read = spark.read.format("xml").option("rowTag", "extraction").schema(schema).load(out)
@@ -102,7 +102,7 @@ def xml_files(spark, sf):
 @query("stream_ingest", "SELECT text_md5, min(doc_id) AS doc_id FROM (SELECT md5(text) AS text_md5, doc_id FROM documents) GROUP BY ALL")
 def stream_ingest(spark, sf):
     """All documents arrive as a stream; each text is stored once, under the least id of its batch."""
-    out = _folder(spark)
+    out = shared_folder(spark)
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     docs.write.json(f"{out}/in")
     whole = lambda df: df.select("doc_id", "source", "text", F.lit(0).alias("chunk_index"), F.md5("text").alias("chunk_hash"))
@@ -113,7 +113,7 @@ def stream_ingest(spark, sf):
 @query("stream_dedupe", "SELECT text_md5, count(*) AS n FROM (SELECT DISTINCT md5(event_type || '/' || user_id) AS text_md5 FROM events) GROUP BY ALL")
 def stream_dedupe(spark, sf):
     """Events of a kind and user pass once: the watermark spans the whole log."""
-    out = _folder(spark)
+    out = shared_folder(spark)
     text = F.concat("event_type", F.lit("/"), F.col("user_id").cast("string"))
     table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), text.alias("text")).write.parquet(f"{out}/in")
     stream = spark.readStream.schema("ts TIMESTAMP, text STRING").parquet(f"{out}/in")

@@ -9,7 +9,12 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
+from attesta.operators.lexical import LexicalIndex, bm25_search, lexical_index  # noqa: E402
 from attesta.queries import registry  # noqa: E402
+from attesta.queries.inputs import passages  # noqa: E402
+from attesta.queries.roundtrips import shared_folder  # noqa: E402
 from attesta.session import build_session, table  # noqa: E402
 
 HEADLINE = [
@@ -19,6 +24,25 @@ HEADLINE = [
 ]
 
 
+def batch_times(spark, sf_dir: str) -> dict:
+    """Seconds to index all documents, and of lexical searches on the stored index in batches of growing size."""
+    folder = shared_folder(spark)
+    docs = table(spark, sf_dir, "documents").select(F.lit("all").alias("source"), F.col("doc_id").alias("chunk_id"), "text")
+    start = time.perf_counter()
+    built = lexical_index(docs)
+    for name, df in (("postings", built.postings), ("terms", built.terms), ("stats", built.stats)):
+        df.write.parquet(f"{folder}/{name}")
+    out = {"index_seconds": round(time.perf_counter() - start, 3), "search_batch_seconds": {}}
+    index = LexicalIndex(*[spark.read.parquet(f"{folder}/{n}") for n in ("postings", "terms", "stats")])
+    asked = passages(spark, sf_dir)
+    many = asked.withColumn("query_id", F.explode(F.sequence(F.col("query_id"), F.col("query_id") + 9000, F.lit(1000))))
+    for n in (1, 10, 100, 1000):
+        start = time.perf_counter()
+        bm25_search(many.orderBy("query_id").limit(n), index, 10).write.format("noop").mode("overwrite").save()
+        out["search_batch_seconds"][str(n)] = round(time.perf_counter() - start, 3)
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
@@ -36,6 +60,7 @@ def main() -> None:
         spark.catalog.clearCache()
         print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
 
+    batches = batch_times(spark, sf_dir) if len(sys.argv) < 2 else {}
     docs = table(spark, sf_dir, "documents").count()
     asked = table(spark, sf_dir, "benchmark").count()
     rate = {
@@ -51,7 +76,7 @@ def main() -> None:
         json.dumps(
             {
                 "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-                "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "throughput": rate, "cpus": cpus,
+                "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "throughput": rate, "cpus": cpus, **batches,
             }
         )
     )
