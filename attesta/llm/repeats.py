@@ -13,10 +13,10 @@ from ..session import written
 from .common import map_batches
 from .suffixes import repeated
 
-GRAM = 100  # bytes of an anchor
+GRAM = 256  # bytes of an anchor
 BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
-CROWD = 768  # different surroundings of one anchor that are sorted in one task
+CROWD = 4096  # different surroundings of one anchor that are sorted in one task
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def _cut(texts: DataFrame, reps: DataFrame, length: int) -> DataFrame:
     return map_batches(joined, run, schema).dropDuplicates(["h", "around"])
 
 
-BUFFER = 1 << 18
+BUFFER = 1 << 19
 
 
 def _sorted_compare(rows: DataFrame, length: int) -> DataFrame:
@@ -159,49 +159,54 @@ def _sorted_compare(rows: DataFrame, length: int) -> DataFrame:
     return ordered.select("h", "around", "left", "own", "a", "b", "pos").mapInArrow(run, "h bigint, around bigint, lo bigint, hi bigint")
 
 
+FAN = 8
+
+
 def _halving_compare(rows: DataFrame, length: int) -> DataFrame:
     """The same for anchors with more different surroundings than one task should sort.
 
-    Ranges of string starts are halved. Where all strings of a range together (their union) occur at two
-    places, the range repeats; where not even the part common to all of them does, nothing in it
-    repeats; else both halves are looked at. Counts are pre-aggregated, no anchor meets in one task,
-    and a row visits a number of ranges that grows with the logarithm of `length`.
+    Ranges of string starts are split, FAN at a time. Where all strings of a range together (their
+    union) occur at two places, the range repeats; where not even the part common to all of them does,
+    nothing in it repeats; else its parts are looked at. Counts are pre-aggregated, no anchor meets in
+    one task, and what is written per range are hashes of 128 bits, not bytes.
     """
     reach = length - GRAM
     # starts from -reach to 0 before the anchor, as far as the surroundings go
-    nodes = rows.select(
+    sized = rows.select(
         "h", "around", "left", "own", F.greatest(F.lit(-reach), -F.col("left")).cast("int").alias("lo"),
         F.least(F.lit(0), F.length("own") - F.col("left") - length).cast("int").alias("hi"),
     )
-    width = 1 << reach.bit_length()
-    nodes = nodes.withColumn("g", F.lit(1 - width))
+    span = 1 << reach.bit_length()
+    width = span // FAN
+    nodes = None
     found = None
+    keys = ["h", "g", "s", "e"]
     while width:
-        # what a row has of the range from g on
-        cut = nodes.withColumn("s", F.greatest("lo", "g")).withColumn("e", F.least("hi", F.col("g") + width - 1)).filter("s <= e")
+        here = sized.withColumn("gs", F.sequence(F.lit(1 - span), F.lit(1 - width), F.lit(width))) if nodes is None else sized.join(nodes, ["h", "around"])
+        cut = here.withColumn("g", F.explode("gs")).withColumn("s", F.greatest("lo", "g")).withColumn("e", F.least("hi", F.col("g") + width - 1))
+        cut = cut.filter("s <= e")
         begin, n = F.col("left") + 1, F.col("e") - F.col("s")
-        union = F.md5(F.substring(F.col("own"), (begin + F.col("s")).cast("int"), (n + length).cast("int")))
-        core = F.md5(F.substring(F.col("own"), (begin + F.col("e")).cast("int"), (length - n).cast("int")))
-        cut = cut.withColumn("union", union).withColumn("core", core)
-        keys = ["h", "g", "s", "e"]
-        cut = written(cut)
+        union = F.unhex(F.md5(F.substring(F.col("own"), (begin + F.col("s")).cast("int"), (n + length).cast("int"))))
+        core = F.unhex(F.md5(F.substring(F.col("own"), (begin + F.col("e")).cast("int"), (length - n).cast("int"))))
+        cut = written(cut.select("h", "around", "g", "s", "e", union.alias("union"), core.alias("core")))
         alike = cut.groupBy(*keys, "union").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("one"))
-        told = written(cut.join(alike, [*keys, "union"]))
+        told = cut.join(alike.filter("n > 1"), [*keys, "union"], "left")
         hit = told.filter("n > 1").select("h", "around", F.col("s").cast("bigint").alias("lo"), (F.col("e") + length).cast("bigint").alias("hi"))
         found = hit if found is None else found.union(hit)
-        width //= 2
-        if not width:
+        if width == 1:
             break
         # one row of each union goes on, as a partner for rows that share only some of its strings
-        rest = told.filter("around = one")
-        even = rest.groupBy(*keys, "core").agg((F.count(F.lit(1)) > 1).alias("even"))
-        # rows that have different parts of the range can't be compared by a common core: they are halved
-        uneven = rest.groupBy("h", "g").agg(((F.min("s") < F.max("s")) | (F.min("e") < F.max("e"))).alias("uneven"))
-        rest = rest.join(uneven, ["h", "g"]).join(even, [*keys, "core"]).filter("uneven or even")
-        halves = F.explode(F.array(F.col("g"), F.col("g") + width))
-        nodes = written(rest.select("h", "around", "left", "own", "lo", "hi", halves.alias("g")))
+        rest = told.filter("n is null or around = one").select("h", "around", *keys[1:], "core")
+        even = rest.groupBy(*keys, "core").agg((F.count(F.lit(1)) > 1).alias("even")).filter("even")
+        # rows that have different parts of the range can't be compared by a common core: they are split
+        uneven = rest.groupBy("h", "g").agg(((F.min("s") < F.max("s")) | (F.min("e") < F.max("e"))).alias("uneven")).filter("uneven")
+        rest = rest.join(uneven, ["h", "g"], "left").join(even, [*keys, "core"], "left").filter("uneven or even")
+        smaller = max(1, width // FAN)
+        parts = F.sequence(F.col("g"), F.col("g") + (width - smaller), F.lit(smaller))
+        nodes = written(rest.groupBy("h", "around").agg(F.flatten(F.collect_set(parts)).alias("gs")))
         if nodes.isEmpty():
             break
+        width = smaller
     return found
 
 

@@ -17,19 +17,30 @@ def smaller_than_next(t: np.ndarray) -> np.ndarray:
     return up[decided]
 
 
-def suffix_order(buffer: bytes, depth: int) -> np.ndarray:
-    """Starts of all suffixes in the order of their first `depth` bytes (equal ones next to each other).
+def suffix_order(buffer: bytes, depth: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """Suffix starts in the order of their first `depth` bytes (equal ones next to each other).
 
     First stage: only suffixes smaller than their successors are sorted directly. Second stage: the
     rest is induced by one scan over the buckets of first bytes; a suffix larger than its successor
-    follows it in the scan, so it is appended to its bucket in the right order.
+    follows it in the scan, so it is appended to its bucket in the right order. With `starts`, only
+    these suffixes and those that they are induced from (up to the next smaller one) take part.
     """
     t = np.frombuffer(buffer, np.uint8)
     if not len(t):
         return np.empty(0, np.int64)
     smaller = smaller_than_next(t)
-    direct = np.array(sorted(np.flatnonzero(smaller).tolist(), key=lambda i: buffer[i : i + depth]), np.int64)
+    if starts is None:
+        keep = np.ones(len(t), bool)
+    else:
+        # each start keeps the suffixes up to the next directly sorted one
+        ahead = np.minimum.accumulate(np.where(smaller, np.arange(len(t)), len(t))[::-1])[::-1]
+        marks = np.zeros(len(t) + 1, np.int32)
+        np.add.at(marks, starts, 1)
+        np.add.at(marks, ahead[starts] + 1, -1)
+        keep = np.cumsum(marks[:-1]) > 0
+    direct = np.array(sorted(np.flatnonzero(smaller & keep).tolist(), key=lambda i: buffer[i : i + depth]), np.int64)
     edges = np.searchsorted(t[direct], np.arange(257))
+    induced = keep & ~smaller
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
     for c in range(256):
@@ -38,17 +49,17 @@ def suffix_order(buffer: bytes, depth: int) -> np.ndarray:
         while len(part):
             scanned.append(part)
             before = part[part > 0] - 1
-            part = before[(t[before] == c) & ~smaller[before]]
+            part = before[(t[before] == c) & induced[before]]
         bucket = np.concatenate([*scanned, direct[edges[c] : edges[c + 1]]])
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[t[before] > c]
+        before = before[(t[before] > c) & induced[before]]
         first = t[before]
         order = np.argsort(first, kind="stable")
         before, first = before[order], first[order]
         for d in np.unique(first).tolist():
-            a, b = np.searchsorted(first, [d, d + 1])
-            waiting[d].append(before[a:b])
+            lo, hi = np.searchsorted(first, [d, d + 1])
+            waiting[d].append(before[lo:hi])
     return np.concatenate(out)
 
 
@@ -62,7 +73,7 @@ def repeated(buffer: bytes, starts: np.ndarray, places: np.ndarray, length: int)
         return mask
     at = np.full(len(buffer), -1, np.int64)
     at[starts] = np.arange(len(starts))
-    order = at[suffix_order(buffer, length)]
+    order = at[suffix_order(buffer, length, starts)]
     order = order[order >= 0]
     s = starts[order].tolist()
     # neighbours with a common prefix of `length` bytes

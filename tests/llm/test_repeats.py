@@ -82,7 +82,7 @@ def test_anchors_depend_on_content(spark):
     core = bytes(rng.randrange(97, 123) for _ in range(4000))
     a = repeats.anchors(b"q" * 37 + core, 400, powers)
     b = repeats.anchors(core + b"zz", 400, powers)
-    inside = lambda found, lo: {(p - lo, h) for p, h in zip(*(x.tolist() for x in found)) if 310 <= p - lo <= 3500}
+    inside = lambda found, lo: {(p - lo, h) for p, h in zip(*(x.tolist() for x in found)) if 310 <= p - lo <= 3300}
     assert inside(a, 37) == inside(b, 0) and inside(b, 0)
 
 
