@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import fields
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,11 +50,21 @@ def map_batches(df: DataFrame, fn: Callable[..., list], schema: str, state: Call
     return df.mapInArrow(run, schema)
 
 
+def shared(df: DataFrame, value) -> Callable:
+    """Broadcast the fields of a dataclass object; tasks call the result to get it back.
+
+    Plain data only is sent, so that tasks need no installed copy of this package to unpack it.
+    """
+    kind, plain = type(value), tuple(getattr(value, f.name) for f in fields(value))
+    held = df.sparkSession.sparkContext.broadcast(plain)
+    return lambda: kind(*held.value)
+
+
 def _parse(spark: SparkSession, schema: str):
     return spark.createDataFrame([], schema).schema
 
 
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 3 << 20
 
 
 def _pieces(cols: list[list]) -> Iterator[list[list]]:

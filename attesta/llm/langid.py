@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, shared
 
 WIDTH = 4096  # hashed n-gram dimensions
 BLOCK = 1 << 20
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     even this one is too far. Repeated rows stay; input columns of those names are replaced.
     """
     names = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score", "rejected")]
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs, model)
     src = docs.select(*[F.col(c) for c in names], F.col(text).alias("_text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
 
@@ -140,4 +140,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
         return [*rest, [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]]
 
     strings = [f.dataType.simpleString() == "string" for f in docs.select(*names).schema]
-    return map_batches(src, run, f"{types}, lang_pred string, score double, rejected boolean", lambda: held.value)
+    return map_batches(src, run, f"{types}, lang_pred string, score double, rejected boolean", held)

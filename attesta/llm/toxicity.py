@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, shared
 
 # fixed values: letters of other scripts, digits and signs that stand for Latin letters; l counts as i, as 1 stands for both
 LOOKALIKES = {
@@ -165,21 +165,22 @@ def fit(
         .filter(F.col("weight") - sureness * error >= min_weight).orderBy(F.col("bad").desc(), "pattern").limit(max_terms)
     )
     lexicon = Lexicon(pruned({r["pattern"]: r["weight"] for r in found.select("pattern", "weight").collect()}), [f" {' '.join(folded(e.encode()))} " for e in exceptions])
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)
+    held = shared(docs, lexicon)
 
     def state():
-        return held.value, held.value.matcher()
+        own = held()
+        return own, own.matcher()
 
     spared = _by_label(map_batches(rows, _counter("phrases"), schema, state))
     spared = spared.filter((F.col("good") >= min_docs) & (F.col("bad") == 0)).orderBy(F.col("good").desc(), "pattern").limit(max_terms)
     lexicon.exceptions += [r["pattern"] for r in spared.select("pattern").collect() if r["pattern"] not in lexicon.terms]
-    told = docs.sparkSession.sparkContext.broadcast(lexicon)
+    told = shared(docs, lexicon)
 
     def features(cols, own):
         texts = [folded(raw) for raw in cols[0]]
         return [[density(sum(h[2] for h in own[0].hits(w, own[1])), len(w)) for w in texts], cols[1]]
 
-    points = map_batches(rows, features, "density double, toxic int", lambda: (told.value, told.value.matcher())).toPandas()
+    points = map_batches(rows, features, "density double, toxic int", lambda: ((own := told()), own.matcher())).toPandas()
     y = points["toxic"].to_numpy(float)
     if len(set(y)) == 2:
         share = np.where(y == 1, sizes[1] / max(1, (y == 1).sum()), sizes[0] / max(1, (y == 0).sum()))
@@ -192,7 +193,7 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: st
 
     Null and empty texts have no hits and the score of a clean text; other columns are left out.
     """
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)
+    held = shared(docs, lexicon)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(cols, own):
@@ -207,5 +208,5 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: st
 
     return map_batches(
         docs.select(F.col(doc_id), F.col(text)), run, f"doc_id {kind}, score double, hits bigint, n_words bigint",
-        lambda: (held.value, held.value.matcher()),
+        lambda: ((own := held()), own.matcher()),
     )
