@@ -72,7 +72,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         first = F.lit(True)
         for i, n in enumerate(nearest):
             first = first & F.when(F.col("seg") > i, n > radius).otherwise(n >= radius)
-        met = probes.join(table, ["seg", "key"]).filter(first & (F.bit_count(apart) <= F.col("bound")))
+        # merged, not broadcast: the planner does not see how many rows the probes of a query make
+        met = probes.hint("merge").join(table, ["seg", "key"]).filter(first & (F.bit_count(apart) <= F.col("bound")))
         met = met.select("q", "code", F.bit_count(apart).alias("distance"))
         best = _best(met if found is None else met.unionByName(found), index, k)
         done = len(parts) * (radius + 1)
