@@ -95,8 +95,8 @@ def links(fps: DataFrame, distance: int = 4, parts: int = 3, bucket: int = 1024)
     hot = written(sizes.filter(F.col("n") > bucket).drop("n"))
     near = F.bit_count(F.col("p").bitwiseXOR(F.col("fp"))) <= distance
     if hot.isEmpty():
-        return probes.join(table, ["seg", "key"]).filter((F.col("p") < F.col("fp")) & near).select(F.col("p").alias("u"), F.col("fp").alias("v"))
-    cold = probes.join(table.join(hot, ["seg", "key"], "left_anti"), ["seg", "key"])
+        return probes.hint("merge").join(table, ["seg", "key"]).filter((F.col("p") < F.col("fp")) & near).select(F.col("p").alias("u"), F.col("fp").alias("v"))
+    cold = probes.hint("merge").join(table.join(hot, ["seg", "key"], "left_anti"), ["seg", "key"])
     pairs = cold.filter((F.col("p") != F.col("fp")) & near).select(F.least("p", "fp").alias("u"), F.greatest("p", "fp").alias("v"))
     return pairs.union(_middle_links(probes.join(hot, ["seg", "key"], "left_semi"), parts_of, distance))
 
