@@ -147,9 +147,10 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     Of repeated rows with that id one stays, the one with the least text. Rows without a doc_id stay:
     they have no identity by which a group could name them. `how`: arguments of `near_duplicates`.
     """
+    doc_id, text = how.get("doc_id", "doc_id"), how.get("text", "text")
     groups = near_duplicates(docs, **how)
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    own = docs.join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
+    own = docs.join(kept, F.col(doc_id) == F.col("_kept")).drop("_kept")
+    first = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_first())
     own = own.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
-    return own.unionByName(docs.filter(F.col("doc_id").isNull()))
+    return own.unionByName(docs.filter(F.col(doc_id).isNull()))
