@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import map_batches
+from .common import map_batches, shared
 
 END = 10  # the byte that ends a document; words are followed by a space
 LANE = 256
@@ -71,8 +71,8 @@ class Trie:
 def _shares(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities of the symbols counted in each row, and of escape (1 for a row without any)."""
     total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-    some = np.maximum(total, 1)
-    return np.maximum(counts - np.float32(0.5), 0) / some, np.where(total > 0, kinds / (2 * some), 1.0)
+    some = np.maximum(total, np.float32(1))
+    return np.maximum(counts - np.float32(0.5), 0) / some, np.where(total > 0, kinds / (2 * some), 1.0).astype(np.float32)
 
 
 def build(order: int, codes: list[np.ndarray], symbols: list[np.ndarray], counts: list[np.ndarray]) -> Trie:
@@ -94,21 +94,20 @@ def build(order: int, codes: list[np.ndarray], symbols: list[np.ndarray], counts
     table_below = lower_below = None
     for k, keys in enumerate(names):
         table = np.zeros((len(keys), width), np.float32)
-        rows = np.searchsorted(keys, codes[k])
-        np.add.at(table, (rows, lookup[symbols[k]]), counts[k].astype(np.float32))
-        seen = table > 0
-        if k == 0:
-            lower = np.full((1, width), 1.0 / max(1, 256 - a), np.float32)
-            parent = np.zeros(1, np.int64)
-        else:
-            parent = np.searchsorted(names[k - 1], keys & np.uint64((1 << 8 * (k - 1)) - 1))
-            left = np.where(seen, np.float32(0), table_below[parent])
-            shares, escape = _shares(left)
-            lower = np.where(left > 0, shares, np.where(table_below[parent] > 0, 0, escape * lower_below[parent])).astype(np.float32)
-        shares, escape = _shares(table)
-        p = np.where(seen, shares, escape * lower)
+        np.add.at(table, (np.searchsorted(keys, codes[k]), lookup[symbols[k]]), counts[k])
+        lower = np.full((len(keys), width), 1.0 / max(1, 256 - a), np.float32)
+        parent = np.zeros(len(keys), np.int64) if k == 0 else np.searchsorted(names[k - 1], keys & np.uint64((1 << 8 * (k - 1)) - 1))
         here = slice(base[k], base[k + 1])
-        logp[here] = np.log10(np.maximum(p, 1e-30))
+        for lo in range(0, len(keys), 4096):  # rows at a time, to bound the memory
+            rows = slice(lo, lo + 4096)
+            seen = table[rows] > 0
+            if k:
+                below = parent[rows]
+                left = np.where(seen, np.float32(0), table_below[below])
+                shares, escape = _shares(left)
+                lower[rows] = np.where(left > 0, shares, np.where(table_below[below] > 0, 0, escape * lower_below[below]))
+            shares, escape = _shares(table[rows])
+            logp[here][rows] = np.log10(np.maximum(np.where(seen, shares, escape * lower[rows]), 1e-30))
         if k:
             step[here] = step[base[k - 1] + parent]
         if k < order and len(names) > k + 1 and len(names[k + 1]):
@@ -149,7 +148,7 @@ def _gram_counts(texts: DataFrame, order: int) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def fit(texts: DataFrame, order: int = 5, cells: int = 12_000_000) -> Trie | None:
+def fit(texts: DataFrame, order: int = 5, cells: int = 5_000_000) -> Trie | None:
     """A trie from all texts (column text) of a table; None without rows.
 
     Counts are over the whole table and are added up in Spark. The contexts that occur most often are
@@ -176,11 +175,11 @@ def fit(texts: DataFrame, order: int = 5, cells: int = 12_000_000) -> Trie | Non
     if least is None:
         return None
     kept = totals.filter((step >= F.lit(least)) | (F.col("k") == 0)).select("k", "ctx")
-    model = counts.join(kept, ["k", "ctx"]).toPandas()
+    model = written(counts.join(kept, ["k", "ctx"]))
     columns: list[list[np.ndarray]] = [[], [], []]
     for k in range(order + 1):
-        own = model[model["k"] == k]
-        for column, name, kind in zip(columns, ("ctx", "sym", "n"), (np.uint64, np.int64, np.float64)):
+        own = model.filter(F.col("k") == k).select("ctx", F.col("sym").cast("short").alias("sym"), F.col("n").cast("float").alias("n")).toArrow()
+        for column, name, kind in zip(columns, ("ctx", "sym", "n"), (np.uint64, np.int16, np.float32)):
             column.append(own[name].to_numpy().astype(kind))
     return build(order, *columns)
 
@@ -198,8 +197,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def score(
-    docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", order: int = 5, cells: int = 12_000_000,
-    frequent: int = 200_000,
+    docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", order: int = 5, cells: int = 5_000_000,
+    frequent: int = 100_000,
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
@@ -216,10 +215,11 @@ def score(
     ends = learn.count()
     total, kinds = sums["n"] + ends, sums["v"] + (ends > 0)
     floor = np.log10(total + kinds + 1)
-    rank = counts.orderBy(F.col("n").desc(), "word").limit(frequent)
-    common = {bytes(r["word"]): float(np.log10(r["n"] + 1) - floor) for r in rank.collect()}
+    rank = counts.orderBy(F.col("n").desc(), "word").limit(frequent).toArrow()
+    common = dict(zip(rank["word"].to_pylist(), (np.log10(rank["n"].to_numpy() + 1.0) - floor).tolist()))
     trie = fit(learn, order, cells)
-    held = docs.sparkSession.sparkContext.broadcast((common, trie))
+    words = docs.sparkSession.sparkContext.broadcast(common)
+    held = shared(docs, trie) if trie else lambda: None
     end_score = float(np.log10(ends + 1) - floor)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -240,7 +240,7 @@ def score(
         return out
 
     schema = f"doc_id {kind}, text_key bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<word: binary, times: bigint>>"
-    scored = written(map_batches(rows.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run, schema, lambda: held.value))
+    scored = written(map_batches(rows.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run, schema, lambda: (words.value, held())))
     tokens = scored.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.inline("rare"))
     known = tokens.join(counts, "word", "left").select(
         "_id", "_key", "times", F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known"),
