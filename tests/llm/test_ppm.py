@@ -101,3 +101,26 @@ def test_rare_words_and_repeated_rows(spark):
     assert ppm.score(empty(spark), F.lit(True)).count() == 0
     untrained = ppm.score(docs, F.lit(False), order=2).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in untrained)
+
+
+def test_score_keeps_every_context(spark):
+    """Whatever is broadcast, rare contexts count: more of them than any bounded model of the old kind held."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(letters[(i * j + i // 3 + j * j) % 26] + (" " if (i + j) % 7 == 0 else "") for j in range(40)) for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, "the cat"), (90, None), (91, "Ünü z"), (92, "zq zq")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learned = F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 2
+    for order, hot in ((1, 1000), (3, 40), (5, 0), (5, 500), (5, 1_000_000)):
+        counts = brute_model([t for i, t in rows if (i or 0) % 5 != 2], order)
+        got = ppm.score(docs, learned, order=order, hot=hot).collect()
+        asked = Counter((i, round(brute_score(t, counts, order), 5)) for i, t in rows)
+        assert Counter((r.doc_id, round(r.score, 5)) for r in got) == asked, (order, hot)
+
+
+def test_query_scores_match_brute_force(spark, sf):
+    """Of the given table, which has far more contexts than the old cap kept."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    counts = brute_model([t for i, t in docs.items() if remainder_of(i, 7) != 2], 5)
+    assert len(counts) * (len(counts[b""]) + 1) > 5_000_000
+    got = queries.QUERIES["op4_ppm_scores"](spark, sf).filter("held_out or doc_id % 20 = 0").collect()
+    assert got and all(close(r.score, brute_score(docs[r.doc_id], counts, 5)) for r in got)
