@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .common import map_batches, shared
 
 WIDTH = 4096  # hashed n-gram dimensions
 BLOCK = 1 << 20
+LENGTHS = [16 << i for i in range(8)]  # bytes of letters from which a rejection limit of its own holds
+LEAST = 20  # texts of a language and length that a limit is derived from
 OTHER = re.compile(r"[\W\d_]+")
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -49,12 +53,16 @@ def vectors(rows: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Centroids (unit rows), their languages, the idf, and the least cosine that is not rejected."""
+    """Centroids (unit rows), their languages, the idf, and the least cosine that is not rejected.
+
+    `reject` holds for every text, `limits` (row per centroid) for texts of at least each of LENGTHS.
+    """
 
     idf: np.ndarray
     centroids: np.ndarray
     names: list[str]
     reject: float
+    limits: np.ndarray
 
     def predict(self, raws: list[bytes | None]) -> list[tuple[str, float, bool]]:
         """(language, score, rejected); without a letter ('und', 0.0, True). Score: cosine, 0 to 1."""
@@ -68,7 +76,10 @@ class Model:
             cosines = vectors([rows[j] for j in part], self.idf) @ self.centroids.T
             best = cosines.argmax(axis=1)
             for j, b, c in zip(part, best.tolist(), cosines.max(axis=1).tolist()):
-                out[j] = (self.names[b], min(1.0, max(0.0, c)), c < self.reject)
+                size = (float(rows[j].sum(dtype=np.float64)) + 3) / 3  # n bytes have 3n - 3 n-grams
+                at = sum(size >= n for n in LENGTHS)
+                limit = max(self.reject, float(self.limits[b, at - 1])) if at else self.reject
+                out[j] = (self.names[b], min(1.0, max(0.0, c)), c < limit)
         return out
 
 
@@ -88,13 +99,17 @@ def clustered(m: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(
     docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-    per_language: int = 300, clusters: int = 3, reject: float = 0.05,
+    per_language: int = 300, clusters: int = 3, reject: float = 0.05, share: float = 0.01, slack: float = 0.8,
 ) -> Model:
     """A model from the rows where `train` holds and the language is not null.
 
     Of each language the `per_language` rows whose hashed id is least are the sample: a bound that
     does not grow with the data (times the number of languages). Texts are used whole; only their
     hashed counts (16 KB each) come to the driver. Without any such row every text is 'und'.
+
+    The rejection limits are `slack` times the `share` quantile of the cosines of the sample's texts, cut
+    at each of LENGTHS, to centroids of the other half of their language. Lengths with fewer than LEAST
+    texts take the limit of the next shorter one; below the first only `reject` holds.
     """
     labelled = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
@@ -103,23 +118,52 @@ def fit(
         .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select(F.col("doc_id").alias("_picked")).distinct()
     )
     sample = labelled.select(doc_id, lang, text).join(F.broadcast(picked), F.col(doc_id).eqNullSafe(F.col("_picked")))
+    sample = written(sample.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")))
 
     def run(cols, _):
-        rows = [(name, counts(t)) for name, t in zip(*cols)]
-        rows = [(n, c) for n, c in rows if c is not None]
-        return [[n.decode() for n, _ in rows], [c.tobytes() for _, c in rows]]
+        rows = [(name.decode(), zlib.crc32(t) & 1, counts(t)) for name, t in zip(*cols)]
+        rows = [r for r in rows if r[2] is not None]
+        return [[n for n, _, _ in rows], [h for _, h, _ in rows], [c.tobytes() for _, _, c in rows]]
 
-    found = map_batches(sample.select(F.col(lang).cast("string"), F.col(text)), run, "lang string, counts binary").toPandas()
+    found = map_batches(sample, run, "lang string, half int, counts binary").toPandas()
     if found.empty:
-        return Model(np.ones(WIDTH, np.float32), np.zeros((0, WIDTH), np.float32), [], reject)
+        return Model(np.ones(WIDTH, np.float32), np.zeros((0, WIDTH), np.float32), [], reject, np.zeros((0, len(LENGTHS))))
     raw = np.stack([np.frombuffer(c, np.float32) for c in found["counts"]])
     idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 1
     unit, names, centroids = vectors(list(raw), idf), [], []
+    halves = {}
     for name in sorted(found["lang"].unique()):
-        own = clustered(unit[(found["lang"] == name).to_numpy()], clusters)
+        mine = (found["lang"] == name).to_numpy()
+        own = clustered(unit[mine], clusters)
         centroids.append(own)
         names += [name] * len(own)
-    return Model(idf, np.concatenate(centroids).astype(np.float32), names, reject)
+        for half in (0, 1):
+            other = mine & (found["half"] != half).to_numpy()
+            if other.any():
+                halves[name, half] = clustered(unit[other], clusters)
+    held = sample.sparkSession.sparkContext.broadcast((idf, halves))
+
+    def cosines(cols, own):
+        weights, of = own
+        out: list[list] = [[], [], []]
+        for name, t in zip(*cols):
+            body, centres = letters(t), of.get((name.decode(), zlib.crc32(t) & 1))
+            if body is None or centres is None:
+                continue
+            for i, n in enumerate(LENGTHS):
+                if n <= len(body):
+                    part = counts(body[:n].decode("utf-8", "ignore").encode())
+                    for column, value in zip(out, (name.decode(), i, float((vectors([part], weights) @ centres.T).max()))):
+                        column.append(value)
+        return out
+
+    told = map_batches(sample, cosines, "lang string, at int, cosine double", lambda: held.value).toPandas()
+    limits = np.zeros((len(names), len(LENGTHS)))
+    for row, name in enumerate(names):
+        for i in range(len(LENGTHS)):
+            values = told.cosine[(told.lang == name) & (told["at"] == i)].to_numpy()
+            limits[row, i] = slack * np.quantile(values, share) if len(values) >= LEAST else limits[row, i - 1] if i else 0.0
+    return Model(idf, np.concatenate(centroids).astype(np.float32), names, reject, limits)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -96,3 +96,23 @@ def test_language_awkward(spark):
     nothing = langid.fit(empty(spark), F.lit(True))
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
     assert langid.identify(empty(spark), model).count() == 0
+
+
+def test_language_rejects_foreign_and_gibberish(spark, sf):
+    import base64
+    import random
+
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = langid.fit(docs, ~held_out)
+    rng = random.Random(7)
+    finnish = "talo on suuri ja kaunis mutta metsässä asuu vanha karhu joka nukkuu koko talven eikä herää ennen kevättä kun lumi sulaa "
+    finnish += "pois ja linnut palaavat etelästä takaisin kotiin järven rannalle missä lapset leikkivät auringossa iltaan asti"
+    strange = [finnish, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5000)), base64.b64encode(rng.randbytes(3000)).decode(), rng.randbytes(3000).hex()]
+    strange += ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(1000)), "".join(chr(rng.randint(0x621, 0x64A)) for _ in range(1000)), "z" * 500]
+    assert [p[2] for p in model.predict([t.encode() for t in strange])] == [True] * len(strange)
+    # clean documents stay, short ones too
+    texts = [r.text.encode() for r in docs.filter(held_out).collect()]
+    for size in (30, 100, 300, 10**6):
+        kept = [not p[2] for p in model.predict([t[:size] for t in texts])]
+        assert sum(kept) > 0.97 * len(kept), (size, sum(kept), len(kept))
