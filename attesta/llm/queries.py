@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming, langid, line_dedup, mixing, ppm, repeats, simhash, spotsigs, toxicity
+from . import bpe, hamming, langid, line_dedup, mixing, ppm, prefix_trie, repeats, simhash, spotsigs, toxicity
 from .common import documents, remainder, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_source_mixing", mixing.SQL)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(documents(spark, sf)).select("doc_id", "source", "copy", "mix_order")
+
+
+@query("op11_conversation_trie", prefix_trie.SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf}/conversations.parquet"))
