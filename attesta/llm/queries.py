@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming, langid, line_dedup, mixing, ppm, prefix_trie, repeats, simhash, spotsigs, toxicity
+from . import alignment, bpe, hamming, langid, line_dedup, mixing, ppm, prefix_trie, repeats, simhash, spotsigs, toxicity
 from .common import documents, remainder, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_conversation_trie", prefix_trie.SQL)
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie.conversation_trie(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.alignment_digests(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
