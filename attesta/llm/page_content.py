@@ -17,6 +17,7 @@ NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[^\W\d_a-zA-Z]+")
 NAMED_BY = ("class", "id", "role", "itemprop")
 # kinds of edges, each with its own potential: to a leaf, to a plain container, to any other element
 LEAF, PLAIN, OTHER = range(3)
+ZONES = frozenset("article main section aside nav header footer form ul ol table dialog blockquote".split())
 PLAIN_TAGS = frozenset("html body div section center table tbody tr td".split())
 CACHE = 20_000
 
@@ -38,6 +39,7 @@ def features(tree: Tree, cache: dict) -> list[list[str]]:
     """Named features of each node: its own, and what its leaves add up to."""
     n = len(tree.tags)
     chars, linked, leaves, stops, para = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+    named: list[list[str]] = [[]] * n
     before = [0] * n  # characters of the page before the node
     total = 0
     for i in range(n):
@@ -54,16 +56,20 @@ def features(tree: Tree, cache: dict) -> list[list[str]]:
         leaves[p] += leaves[i]
         stops[p] += stops[i]
         para[p] += tree.tags[i] == "p"
-    depth = [0] * n
+    depth, zone, below = [0] * n, ["-"] * n, [()] * n  # nearest telling element above, names of the nearest named one
+    whole = sorted({t for t in tree.tags if t in ("article", "main")})
     out = []
     for i in range(n):
         p, tag = tree.parents[i], tree.tags[i]
         if p >= 0:
             depth[i] = depth[p] + 1
+            zone[i] = tree.tags[p] if tree.tags[p] in ZONES else zone[p]
+            below[i] = named[p] or below[p]
         density = min(4, 5 * linked[i] // max(chars[i], 1)) if linked[i] else -1
         kind = "l" if tag == "#text" else "e"
         own = [f"{kind}1", f"{kind}s{_size(chars[i])}", f"{kind}d{density}", f"{kind}.{min(_size(stops[i]), 5)}"]
-        own.append(f"{kind}r{min(9, 10 * chars[i] // max(total, 1))}")
+        own.append(f"{kind} within {zone[i]}")
+        own += [f"{kind} below {w}" for w in below[i]]
         if tag == "#text":
             own += [f"in {tree.tags[p]}", f"in {tree.tags[p]} d{density}"]
             if chars[i] < 400 and "©" in tree.texts[i]:
@@ -76,7 +82,9 @@ def features(tree: Tree, cache: dict) -> list[list[str]]:
                     cache.clear()
                 names = cache[raw] = names_of(raw)
             own += [f"<{tag}", f"en{min(_size(leaves[i]), 6)}", f"ep{min(para[i], 4)}", f"eh{min(depth[i], 6)}"]
+            named[i] = names
             own += [f"named {w}" for w in names]
+            own += [f"<{tag} of {w}" for w in whole]
             if not names and tag in PLAIN_TAGS:
                 own.append("unnamed")
             own.append("e|" + ("0" if not before[i] else "1" if before[i] * 2 < total else "2"))
@@ -103,7 +111,7 @@ class Forest:
     kinds: np.ndarray
     node: np.ndarray
     feature: np.ndarray
-    levels: list[np.ndarray]  # nodes by depth, without the roots
+    levels: list[tuple]  # by depth, without the roots: nodes, where a new parent's children start, these parents
 
     def unary(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.node, weights[self.feature], len(self.parents))
@@ -126,8 +134,14 @@ def forest(trees: list[Tree], names: dict, cache: dict, learn: bool = False) ->
     depth = np.array(depth, np.int64)
     order = np.argsort(depth, kind="stable")
     bounds = np.cumsum(np.bincount(depth)) if len(depth) else np.empty(0, np.int64)
-    levels = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return Forest(np.array(parents, np.int64), np.array(kinds, np.int64), np.array(node, np.int64), np.array(feature, np.int64), levels)
+    parents = np.array(parents, np.int64)
+    levels = []
+    for nodes in (order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)):
+        above = parents[nodes]
+        # nodes stand in page order, so the children of one parent are neighbours in their level
+        starts = np.flatnonzero(np.concatenate(([True], above[1:] != above[:-1])))
+        levels.append((nodes, starts, above[starts]))
+    return Forest(parents, np.array(kinds, np.int64), np.array(node, np.int64), np.array(feature, np.int64), levels)
 
 
 def marginals(f: Forest, unary: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -142,14 +156,14 @@ def marginals(f: Forest, unary: np.ndarray, edges: np.ndarray) -> tuple[np.ndarr
     up = local.copy()  # own potential and messages of all children
     sent = np.zeros((n, 2))  # message of a node to its parent, by the parent's state
     pair = edges[f.kinds]
-    for level in reversed(f.levels):
+    for level, starts, above in reversed(f.levels):
         sent[level] = np.logaddexp(pair[level, :, 0] + up[level, None, 0], pair[level, :, 1] + up[level, None, 1])
-        np.add.at(up, f.parents[level], sent[level])
+        up[above] += np.add.reduceat(sent[level], starts)
     roots = f.parents < 0
     log_z = float(np.logaddexp(up[roots, 0], up[roots, 1]).sum())
     whole = up.copy()  # with the message from above
     joint = np.zeros((n, 2, 2))
-    for level in f.levels:
+    for level, _, _ in f.levels:
         rest = whole[f.parents[level]] - sent[level]  # the parent without this child
         both = rest[:, :, None] + pair[level] + up[level, None, :]
         whole[level] = np.logaddexp(both[:, 0], both[:, 1])
@@ -175,11 +189,42 @@ def labels_of(tree: Tree) -> np.ndarray:
     return np.where(chars > 0, 2 * main > chars, np.array(marked, bool)).astype(np.int64)
 
 
-def fit(pages: list[str] | None = None, rounds: int = 300, rate: float = 0.1, penalty: float = 0.5) -> ContentModel:
-    """Conditional maximum likelihood on labelled pages (see `labelled_pages`), by gradient steps.
-
-    The gradient is what the labels show less what the marginals expect, for each feature and each pair of
-    states of an edge. Without `pages` those made by rule are used: 600, whatever the input.
+def _climb(value_and_slope, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """A maximum of a concave function, by steps that learn its curvature from the last slopes (L-BFGS)."""
+    value, slope = value_and_slope(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        way, kept = slope.copy(), []
+        for s, d in reversed(past):
+            share = (s @ way) / (s @ d)
+            way -= share * d
+            kept.append(share)
+        way *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, float(np.abs(slope).sum()))
+        for (s, d), share in zip(past, reversed(kept), strict=True):
+            way += (share - (d @ way) / (s @ d)) * s
+        length, gain = 1.0, float(slope @ way)
+        for _ in range(30):
+            found, after = value_and_slope(x + length * way)
+            if found >= value + 1e-4 * length * gain:
+                break
+            length /= 2
+        else:
+            break
+        s, d = length * way, slope - after
+        x, done = x + s, found - value < 1e-7 * abs(found)
+        value, slope = found, after
+        if done:
+            break
+        if s @ d > 1e-10:
+            past = [*past[-memory + 1 :], (s, d)]
+    return x
+
+
+def fit(pages: list[str] | None = None, steps: int = 120, penalty: float = 0.3) -> ContentModel:
+    """Conditional maximum likelihood on labelled pages (see `labelled_pages`).
+
+    The slope is what the labels show less what the marginals expect, for each feature and each pair of
+    states of an edge. Without `pages` those made by rule are used, a fixed number whatever the input.
     """
     trees = [parse(p) for p in (labelled_pages() if pages is None else pages)]
     names: dict = {}
@@ -189,21 +234,19 @@ def fit(pages: list[str] | None = None, rounds: int = 300, rate: float = 0.1, pe
     shown = np.zeros((3, 2, 2))
     np.add.at(shown, (f.kinds[inner], y[f.parents[inner]], y[inner]), 1)
     counted = np.bincount(f.feature, y[f.node].astype(float), len(names))
-    weights, edges = np.zeros(len(names)), np.zeros((3, 2, 2))
-    state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(edges), np.zeros_like(edges)]
-    for step in range(1, rounds + 1):
-        content, joint, _ = marginals(f, f.unary(weights), edges)
-        expected = np.zeros((3, 2, 2))
-        np.add.at(expected, f.kinds[inner], joint[inner])
-        slopes = (
-            counted - np.bincount(f.feature, content[f.node], len(names)) - penalty * weights, shown - expected - penalty * edges
+    of_kind = [inner & (f.kinds == k) for k in range(3)]
+
+    def likelihood(x: np.ndarray) -> tuple[float, np.ndarray]:
+        weights, edges = x[:-12], x[-12:].reshape(3, 2, 2)
+        content, joint, log_z = marginals(f, f.unary(weights), edges)
+        value = counted @ weights + (shown * edges).sum() - log_z - penalty / 2 * (x @ x)
+        slope = np.concatenate(
+            [counted - np.bincount(f.feature, content[f.node], len(names)), (shown - np.stack([joint[k].sum(axis=0) for k in of_kind])).ravel()]
         )
-        for k, (slope, values) in enumerate(zip(slopes, (weights, edges), strict=True)):
-            m, v = state[2 * k], state[2 * k + 1]
-            m += 0.1 * (slope - m)
-            v += 0.01 * (slope * slope - v)
-            values += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return ContentModel(names, weights, edges)
+        return value, slope - penalty * x
+
+    x = _climb(likelihood, np.zeros(len(names) + 12), steps)
+    return ContentModel(names, x[:-12], x[-12:].reshape(3, 2, 2))
 
 
 def blocks_of(trees: list[Tree], model: ContentModel, cache: dict) -> Iterator[list[tuple[str, float]]]:

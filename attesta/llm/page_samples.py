@@ -140,8 +140,8 @@ class _Page:
 
     def paragraph(self) -> str:
         text = self.text(self.r.choice([1, 1, 2, 3, 4, 6]))
-        if self.chance(0.15):
-            text = self.sentence(1, 3)
+        if self.chance(0.2):
+            text = self.sentence(1, self.r.choice([1, 2, 4]))
         if self.chance(0.2):
             text += f' <a href="/y">{self.sentence(1, 4)}</a> {self.sentence(2, 9)}'
         if self.chance(0.2):
@@ -174,7 +174,7 @@ class _Page:
                 out.append(f"<pre>{self.sentence(2, 9)}\n {self.sentence(1, 9)}</pre>")
             else:
                 out.append(f"<figure><img src=x><figcaption>{self.sentence(2, 12)}</figcaption></figure>")
-            if self.chance(0.06):
+            if self.chance(0.1):
                 out.append(self.rest(self.r.choice([self.advert, self.related, self.form, self.small, self.notice, self.sidebar])()))
         if self.chance(0.15):
             out.append(self.rest(self.r.choice([self.comments, self.related, self.small, self.form])()))
@@ -207,6 +207,6 @@ class _Page:
         return f"<!DOCTYPE html><html>{head}<body>{inner}" + "</body></html>" * self.chance(0.9)
 
 
-def labelled_pages(n: int = 600, seed: int = 1) -> list[str]:
+def labelled_pages(n: int = 1000, seed: int = 1) -> list[str]:
     """`n` pages; text below an element marked `data-main` is main text, unless below a nearer `data-rest`."""
     return [_Page(seed * 1_000_003 + i).html() for i in range(n)]

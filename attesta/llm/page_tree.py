@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -22,6 +23,7 @@ ENDS = {
 }
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 CELLS = frozenset("td th table caption".split())
+PARAGRAPH = frozenset(("p",))
 # ------------------------------------------------------------------------------------------------
 
 TOKEN = re.compile(
@@ -55,6 +57,7 @@ def parse(html: str) -> Tree:
     tree = Tree()
     tags, parents, attributes = tree.tags, tree.parents, tree.attributes
     stack = [0]
+    open_now: Counter = Counter()  # elements on the stack by tag
     run: list[str] = []
     linked = 0
     link = -1  # stack height at which a link was opened
@@ -82,11 +85,23 @@ def parse(html: str) -> Tree:
     def pop_to(height: int) -> None:
         nonlocal link
         flush()
+        open_now.subtract(tags[s] for s in stack[height:])
         del stack[height:]
         if link > height:
             link = -1
 
+    def open_(name: str, raw: str) -> None:
+        tags.append(name)
+        parents.append(stack[-1])
+        attributes.append(raw.strip())
+        tree.texts.append("")
+        tree.linked.append(0)
+        stack.append(len(tags) - 1)
+        open_now[name] += 1
+
     def close(kinds: frozenset, until: frozenset) -> None:
+        if not any(open_now[k] > 0 for k in kinds):
+            return
         for i in range(len(stack) - 1, 0, -1):
             tag = tags[stack[i]]
             if tag in kinds:
@@ -114,7 +129,7 @@ def parse(html: str) -> Tree:
         if m.group(1):
             if name == "a":
                 link = -1
-            elif name in BLOCKS and name not in ("html", "body"):
+            elif name in BLOCKS and name not in ("html", "body") and (open_now[name] > 0 or name in HEADINGS and any(open_now[h] > 0 for h in HEADINGS)):
                 for i in range(len(stack) - 1, 0, -1):
                     tag = tags[stack[i]]
                     if tag == name or (name in HEADINGS and tag in HEADINGS):
@@ -135,30 +150,20 @@ def parse(html: str) -> Tree:
             if name in ("html", "body"):
                 if name == "body" and len(stack) == 1:
                     flush()
-                    stack.append(_add(tree, name, 0, m.group(3)))
+                    open_(name, m.group(3))
                 continue
             flush()
             if name in ENDS:
                 close(*ENDS[name])
             elif name in HEADINGS and tags[stack[-1]] in HEADINGS:
                 pop_to(len(stack) - 1)
-            if tags[stack[-1]] == "p" or any(tags[s] == "p" for s in stack):
-                close(frozenset(("p",)), CELLS)
+            close(PARAGRAPH, CELLS)
             if name != "hr":
-                stack.append(_add(tree, name, stack[-1], m.group(3)))
+                open_(name, m.group(3))
     flush()
     return tree
 
 
-def _add(tree: Tree, tag: str, parent: int, attributes: str) -> int:
-    tree.tags.append(tag)
-    tree.parents.append(parent)
-    tree.attributes.append(attributes.strip())
-    tree.texts.append("")
-    tree.linked.append(0)
-    return len(tree.tags) - 1
-
-
 def attributes_of(raw: str) -> dict[str, str]:
     """Name -> decoded value of an element's attributes, the first of equal names."""
     out: dict[str, str] = {}

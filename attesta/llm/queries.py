@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, hamming, langid, line_dedup, mixing, ppm, prefix_trie, repeats, simhash, spotsigs, toxicity
+from . import alignment, bpe, hamming, langid, line_dedup, mixing, page_content, ppm, prefix_trie, repeats, simhash, spotsigs, toxicity
 from .common import documents, remainder, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_token_alignment")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.alignment_digests(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op13_main_text")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return page_content.main_text(spark.read.parquet(f"{sf}/pages.parquet"), page_content.fit(), ["page_id", "url"])
