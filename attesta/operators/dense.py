@@ -1,148 +1,68 @@
-"""Dense retrieval: exact top-k by inner product, for array vectors and for hashed text vectors."""
+"""Dense retrieval: exact top-k by cosine, for array vectors and for hashed text vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.vectors import hashed_vector
+from .blocks import QUERY_ROWS, sparse_topk, vector_topk
 from .lexical import top_k
 
-MAX_BROADCAST_QUERIES = 4096  # above this the grid plan is used
-CORPUS_BLOCK_ROWS = 20_000
-DIGITS = 6
-
-
-def _matrix(column) -> np.ndarray:
-    """Arrow list column -> float64 matrix with rows of unit length; no nulls, all of one width."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(m) % len(column) or set(np.diff(column.offsets.to_numpy())) - {len(m) // len(column)}:
-        raise ValueError("vectors of different widths")
-    m = m.reshape(len(column), -1)
-    length = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """k best of one query: rounded score first, then the id."""
-    if len(scores) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = scores >= cut
-        scores, ids = scores[keep], ids[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
-
-
-def _partial(q_ids, q_mat, batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """k best per query over the batches of one partition; only k rows per query are kept or sent on."""
-    best: list = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in q_ids]
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-        scores = np.round(q_mat @ _matrix(batch.column("embedding")).T, DIGITS)
-        for i in range(len(q_ids)):
-            s, d = best[i]
-            best[i] = _best(np.concatenate([s, scores[i]]), np.concatenate([d, ids]), k)
-    yield _hits(q_ids, best)
-
-
-def _hits(q_ids, best) -> pa.RecordBatch:
-    counts = [len(s) for s, _ in best]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.repeat(np.asarray(q_ids, dtype=np.int64), counts)),
-            pa.array(np.concatenate([d for _, d in best]) if best else np.empty(0, dtype=np.int64), pa.int64()),
-            pa.array(np.concatenate([s for s, _ in best]) if best else np.empty(0), pa.float64()),
-        ],
-        names=["query_id", "vec_id", "score"],
-    )
-
-
-HITS = "query_id long, vec_id long, score double"
-
-
-def dense_topk(
-    queries: DataFrame, corpus: DataFrame, k: int = 10, max_broadcast: int = MAX_BROADCAST_QUERIES
-) -> DataFrame:
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Exact cosine top-k. queries(query_id, embedding), corpus(vec_id, embedding).
 
-    Rows with a null id or vector, or with a null in the vector, take no part. Up to `max_broadcast` queries are sent to every task and the corpus is read in place. More queries
-    than that take the grid plan, whose blocks have a fixed size.
+    Rows with a null id or vector, or with a null in the vector, take no part. Any number of queries takes
+    the same plan: blocks of at most `query_rows` of them against blocks of vectors, the product inside the
+    task.
     """
-    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda v: v.isNull())
-    queries, corpus = queries.filter(whole & F.col("query_id").isNotNull()), corpus.filter(whole & F.col("vec_id").isNotNull())
-    head = queries.select("query_id", "embedding").limit(max_broadcast + 1).toArrow()
-    if head.num_rows > max_broadcast:
-        partial = _grid(queries, corpus, k, max_broadcast)
-    else:
-        partial = _broadcast(head, corpus, k)
-    return top_k(partial, k, ["query_id"], ["vec_id"])
-
-
-def _broadcast(head: pa.Table, corpus: DataFrame, k: int) -> DataFrame:
-    if head.num_rows == 0:
-        return corpus.sparkSession.createDataFrame([], HITS)
-    q_ids = head.column("query_id").to_numpy()
-    shared = corpus.sparkSession.sparkContext.broadcast((q_ids, _matrix(head.column("embedding"))))
-
-    def scan(batches):
-        ids, mat = shared.value
-        yield from _partial(ids, mat, batches, k)
+    one = F.when(F.lit(True), F.lit("")).alias("source")
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), one, F.col("embedding").alias("vector"))
+    c = corpus.select(F.col("vec_id").alias("chunk_id"), one, F.col("embedding").alias("vector"))
+    hits = vector_topk(c, q, k, query_rows=query_rows).select("query_id", F.col("chunk_id").alias("vec_id"), "score")
+    return top_k(hits, k, ["query_id"], ["vec_id"])
 
-    return corpus.select("vec_id", "embedding").mapInArrow(scan, HITS)
 
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, all_source: str | None = None) -> DataFrame:
+    """Exact cosine top-k per query and source. queries(query_id, vector[, source]); vectors(source, chunk_id, vector).
 
-def _grid(queries: DataFrame, corpus: DataFrame, k: int, block: int) -> DataFrame:
-    """Blocks of queries against blocks of vectors; each pair of blocks is one bounded task."""
-    n_q = max(1, -(-queries.count() // block))
-    n_c = max(1, -(-corpus.count() // CORPUS_BLOCK_ROWS))
-
-    def placed(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.select(
-            F.col(key).cast("long").alias(key), "embedding",
-            F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
-        )
-
-    left = placed(queries, "query_id", "bq", n_q, "bc", n_c)
-    right = placed(corpus, "vec_id", "bc", n_c, "bq", n_q)
+    A query that names no source searches each source by itself, and all together if `all_source` is given.
+    """
+    return top_k(vector_topk(vectors, in_sources(queries, vectors, all_source), k, all_source), k, ["query_id", "source"])
 
-    def pair(q: pa.Table, c: pa.Table) -> pa.Table:
-        if q.num_rows == 0 or c.num_rows == 0:
-            return pa.Table.from_batches([_hits([], [])])
-        mat = _matrix(q.column("embedding"))
-        return pa.Table.from_batches(list(_partial(q.column("query_id").to_numpy(), mat, c.to_batches(), k)))
 
-    return left.groupBy("bq", "bc").cogroup(right.groupBy("bq", "bc")).applyInArrow(pair, HITS)
+def in_sources(queries: DataFrame, rows: DataFrame, all_source: str | None) -> DataFrame:
+    """The queries with a source: their own, or once for every source of the rows."""
+    if "source" in queries.columns:
+        return queries
+    known = rows.select("source").distinct()
+    if all_source is not None:
+        known = known.unionByName(known.limit(1).select(F.lit(all_source).alias("source")))
+    # as many rows as there are sources, in one array
+    listed = known.agg(F.collect_set("source").alias("_s"))
+    return queries.withColumn("source", F.explode(listed.scalar()))
 
 
 def text_vectors(rows: DataFrame, keep: list[str], text: Column | None = None) -> DataFrame:
-    """(keep..., dim, w): hashed bag-of-words vector of the text, one row per non-zero dimension."""
+    """(keep..., dims, weights): hashed bag-of-words vector of the text."""
     vec = hashed_vector(tokens(F.col("text") if text is None else text))
-    return rows.select(*keep, F.explode(vec).alias("v")).select(
-        *keep, F.col("v.dim").alias("dim"), F.col("v.w").alias("w")
-    )
+    return rows.select(*keep, vec.alias("_v")).select(*keep, F.col("_v.dim").alias("dims"), F.col("_v.w").alias("weights"))
+
+
+def _as_is(weights: np.ndarray, norms: np.ndarray, norm: float) -> np.ndarray:
+    return weights
 
 
-def text_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Exact cosine top-k over hashed text vectors: an equi-join on dimensions, not a pairwise scan.
+def text_search(queries: DataFrame, vectors: DataFrame, k: int = 10, all_source: str | None = None) -> DataFrame:
+    """Exact cosine top-k over hashed text vectors; only texts that share a word with the query are hits.
 
-    queries(query_id, text[, source]); vectors(source, chunk_id, dim, w).
+    queries(query_id, text[, source]); vectors(source, chunk_id, dims, weights), as `lexical.term_rows` makes
+    them. Scored in blocks inside the tasks (`blocks.sparse_topk`).
     """
     keep = [c for c in ("query_id", "source") if c in queries.columns]
-    q = text_vectors(queries, keep).withColumnRenamed("w", "qw")
-    on = ["dim", "source"] if "source" in keep else ["dim"]
-    scores = (
-        vectors.join(q, on)
-        .groupBy("query_id", "source", "chunk_id")
-        .agg(F.round(F.sum(F.col("w") * F.col("qw")), DIGITS).alias("score"))
-    )
-    return top_k(scores, k, ["query_id", "source"])
+    q = in_sources(text_vectors(queries, keep), vectors, all_source).select("query_id", "source", F.lit(1.0).alias("norm"), F.col("dims").alias("terms"), "weights")
+    rows = vectors.select("source", "chunk_id", F.lit(1.0).alias("norm"), F.col("dims").alias("terms"), F.col("weights").alias("values"))
+    return top_k(sparse_topk(rows, q, k, _as_is, all_source), k, ["query_id", "source"])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, dot_sentences, tokens
-from ..functions.vectors import hashed_vector, sparse_dot
-from ..operators.dense import text_search
+from ..functions.text import contains_any, dot_sentences
+from ..functions.vectors import cosine, sparse_dot
+from ..operators.dense import text_search, vector_search
 from ..operators.expansion import search_queries, with_domain_word, with_synonyms
 from ..operators.fusion import rrf, rrf_two_lists, score_filter, weighted_fusion
 from ..operators.grouping import dedupe_and_group
@@ -36,9 +36,21 @@ def hybrid_hits(
     subs: DataFrame, index: SearchIndex, k: int, method: str = "weighted",
     dense_weight: float = 0.7, lexical_weight: float = 0.3,
 ) -> DataFrame:
-    """Fused hits of subs(query_id, text[, source]); the dense side sees the text with synonyms."""
+    """Fused hits of subs(query_id, text[, source][, vector]).
+
+    The dense side sees the text with synonyms; in an index of given vectors it takes the queries' `vector`,
+    or what the index's `embed` makes of that text. A query with a null vector has lexical hits only.
+    """
     dense_text = with_synonyms(with_domain_word(F.col("text")))
-    dense = text_search(subs.withColumn("text", dense_text), index.vectors, k)
+    everywhere = index.lexical.all_source
+    if index.vectors is None:
+        dense = text_search(subs.withColumn("text", dense_text), index.lexical.rows, k, everywhere)
+    else:
+        if "vector" not in subs.columns:
+            if index.embed is None:
+                raise ValueError("queries of an index of given vectors need a column vector, or the index an embed function")
+            subs = subs.withColumn("vector", index.embed(dense_text))
+        dense = vector_search(subs.drop("text"), index.vectors, k, everywhere)
     lexical = bm25_search(subs, index.lexical, k)
     by = ["query_id", "source"]
     if method == "rrf":
@@ -62,6 +74,9 @@ def candidates(
         F.struct("query_id", "sub_no", "n_lists").alias("query_id"), F.col("sub_query").alias("text"),
         *([F.posexplode("used_sources").alias("src_no", "source")] if "used_sources" in subs.columns else []),
     )
+    if "vector" in queries.columns:  # the sub-queries of a query share its vector
+        own = queries.select(F.col("query_id").alias("_q"), "vector")
+        asked = asked.join(own, F.col("query_id.query_id") == F.col("_q")).drop("_q")
     per_source = hybrid_hits(asked.drop("src_no"), index, depth or 3 * k, **fusion)
     if "src_no" in asked.columns:
         per_source = per_source.join(asked.select("query_id", "source", "src_no"), ["query_id", "source"])
@@ -83,22 +98,42 @@ def candidates(
     )
 
 
+def at_hits(hits: DataFrame, table: DataFrame, all_source: str | None, how: str = "inner") -> DataFrame:
+    """hits(source, chunk_id, …) with the columns of table(source, chunk_id, …); hits of `all_source` find every source."""
+    own = table.withColumnRenamed("source", "_source").withColumnRenamed("chunk_id", "_chunk")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if all_source is not None:
+        same = same | (F.col("source") == all_source)
+    return hits.join(own, (F.col("chunk_id") == F.col("_chunk")) & same, how).drop("_source", "_chunk")
+
+
 def search(
     queries: DataFrame, index: SearchIndex, k: int = 5, top_credits: int = 3, group: bool = True,
     threshold: float = 0.3, similarity: float = 0.97, **options,
 ) -> DataFrame:
-    """queries(query_id, text[, used_sources]) -> ranked chunks with their metadata, at most k per query."""
+    """queries(query_id, text[, used_sources][, vector]) -> ranked chunks with their metadata, at most k per query.
+
+    The near-duplicate step compares the index's vectors; texts are fetched for the rows that remain only.
+    """
+    everywhere = index.lexical.all_source
     hits = candidates(queries, index, k, **options)
     kept = written(score_filter(hits, ["query_id"], k, threshold).drop("one_list"))
-    found = index.chunks.join(kept, ["source", "chunk_id"])
+    columns = [c for c in index.chunks.columns if c not in ("text", "vector")]
+    found = at_hits(kept, index.chunks.select(*columns), everywhere)
     if not group:
         w = Window.partitionBy("query_id").orderBy("rank")
-        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    grouped = dedupe_and_group(
-        found.withColumn("vector", hashed_vector(tokens(F.col("text")))), ["query_id"], top_credits,
-        max(2, k // top_credits), "vector", sparse_dot, similarity,
-    )
-    return grouped.filter(F.col("rank") <= k).drop("vector")
+        cut = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    else:
+        if index.vectors is None:
+            vector = F.transform(F.arrays_zip("dims", "weights"), lambda d: F.struct(d["dims"].alias("dim"), d["weights"].alias("w")))
+            vectors, alike = index.lexical.rows.select("source", "chunk_id", vector.alias("vector")), sparse_dot
+        else:
+            vectors, alike = index.vectors, cosine
+        grouped = dedupe_and_group(
+            at_hits(found, vectors, everywhere, "left"), ["query_id"], top_credits, max(2, k // top_credits), "vector", alike, similarity
+        )
+        cut = grouped.filter(F.col("rank") <= k).drop("vector")
+    return at_hits(cut, index.chunks.select("source", "chunk_id", "text"), everywhere)
 
 
 def credit_queries(projects: DataFrame, pattern: str = "%s credit requirements for %s projects") -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..plans.assistant import analyze_evidence
 from ..operators.lexical import bm25_search, lexical_index
 from ..plans.evaluation import DEPLOYMENT_QUERIES, EVALUATION_QUERIES, deployment_queries, evaluation_queries, query_relevance
-from ..plans.index import read_index, search_index, with_all_source, write_index
+from ..plans.index import read_index, search_index, write_index
 from ..plans.reports import evaluation_report, search_reports
-from ..plans.search import route_sources, search
+from ..plans.search import at_hits, route_sources, search
 from ..session import table, written
 from . import sqltext as q
 from .inputs import TOPIC_QUERIES_SQL, topic_queries, window_chunks
@@ -114,11 +114,11 @@ def topic_evaluation(spark, sf):
         F.when(F.col("lang") == "en", "credits").otherwise("guides").alias("source"), F.col("doc_id").alias("chunk_id"),
         _worded(F.col("text")).alias("text"), F.upper("lang").alias("credit_code"), F.col("source").alias("category"),
     )
-    chunks = written(with_all_source(docs))
+    docs = written(docs)
     routed = route_sources(evaluation_queries(spark), ["all", "credits", "guides"])
     asked = routed.select("query_id", "text", F.explode("used_sources").alias("source"))
-    hits = written(bm25_search(asked, lexical_index(chunks), 5))
-    found = chunks.join(hits, ["source", "chunk_id"])
+    hits = written(bm25_search(asked, lexical_index(docs, all_source="all"), 5))
+    found = at_hits(hits, docs, "all")
     return query_relevance(routed.select("query_id", "expected_topics"), found).select("query_id", "n_results", "relevance")
 
 

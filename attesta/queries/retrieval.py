@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.vectors import cosine
-from ..operators.dense import dense_topk, text_search, text_vectors
+from ..operators.dense import dense_topk, text_search
 from ..operators.expansion import expand_queries, query_features, with_domain_word, with_synonyms
 from ..operators.fusion import hybrid_search, rrf, rrf_two_lists, score_filter, weighted_fusion
 from ..operators.grouping import credit_relevance, group_by_credit, near_duplicates_in_table, pick_sections
-from ..operators.lexical import bm25_search, idf, lexical_index
+from ..operators.lexical import bm25_search, idf, lexical_index, term_rows
 from ..session import table, written
 from . import sqltext as q
 from .inputs import (
@@ -65,8 +65,7 @@ def bm25_topk_per_source(spark, sf):
     "SELECT query_id, chunk_id, score, rank FROM dek",
 )
 def text_dense_topk(spark, sf):
-    vectors = text_vectors(whole_documents(spark, sf), ["source", "chunk_id"])
-    return text_search(passages(spark, sf), vectors, 10).select(HIT_COLUMNS)
+    return text_search(passages(spark, sf), term_rows(whole_documents(spark, sf)), 10).select(HIT_COLUMNS)
 
 
 # one query vector per label: the mean of its vectors
@@ -95,8 +94,8 @@ def dense_topk_broadcast(spark, sf):
 
 @query("dense_topk_grid", _dense(10))
 def dense_topk_grid(spark, sf):
-    """The same search on the plan for query sets that are too large to send to every task."""
-    hits = dense_topk(label_centroids(spark, sf), table(spark, sf, "embeddings"), 10, max_broadcast=4)
+    """The same search with many blocks of queries."""
+    hits = dense_topk(label_centroids(spark, sf), table(spark, sf, "embeddings"), 10, query_rows=4)
     return hits.select("query_id", "vec_id", "score", "rank")
 
 
@@ -121,8 +120,8 @@ HYBRID_CTES = (
 def _two_lists(spark, sf, k=20):
     docs, queries = whole_documents(spark, sf), topic_queries(spark, sf)
     dense_text = with_synonyms(with_domain_word(F.col("text")))
-    dense = text_search(queries.withColumn("text", dense_text), text_vectors(docs, ["source", "chunk_id"]), k)
-    return dense, bm25_search(queries, lexical_index(docs), k)
+    index = lexical_index(docs)
+    return text_search(queries.withColumn("text", dense_text), index.rows, k), bm25_search(queries, index, k)
 
 
 @query(
@@ -152,11 +151,11 @@ def rrf_fusion(spark, sf):
 )
 def hybrid_search_topk(spark, sf):
     docs = whole_documents(spark, sf)
-    vectors, index = text_vectors(docs, ["source", "chunk_id"]), lexical_index(docs)
+    index = lexical_index(docs)
     dense_text = with_synonyms(with_domain_word(F.col("text")))
     return hybrid_search(
         topic_queries(spark, sf),
-        lambda qs, k: text_search(qs.withColumn("text", dense_text), vectors, k),
+        lambda qs, k: text_search(qs.withColumn("text", dense_text), index.rows, k),
         lambda qs, k: bm25_search(qs, index, k),
         10,
     ).select(HIT_COLUMNS)

@@ -10,7 +10,7 @@ from ..plans.evaluation import (
     SMOKE_QUERIES, evaluation_summary, query_relevance, retrieval_quality, smoke_queries, verdicts,
 )
 from ..plans.evidence import citation_blocks, citations, context_blocks, key_facts, prompts
-from ..plans.index import search_index, with_all_source
+from ..plans.index import search_index
 from ..plans.search import (
     analyze_projects, credit_queries, guidance, merge_second_source, route_sources, search, source_labels,
 )
@@ -107,7 +107,7 @@ SELECT query_id, source, chunk_id, score, rank FROM bmk JOIN u USING (query_id,
 def routed_lexical_search(spark, sf):
     docs = table(spark, sf, "documents").select("source", F.col("doc_id").alias("chunk_id"), "text")
     routed = _requested(spark, sf).select("query_id", "text", F.explode("used_sources").alias("source"))
-    return bm25_search(routed, lexical_index(with_all_source(docs)), 5).select("query_id", "source", "chunk_id", "score", "rank")
+    return bm25_search(routed, lexical_index(docs, all_source="all"), 5).select("query_id", "source", "chunk_id", "score", "rank")
 
 
 PROJECTS_SQL = """proj AS (SELECT n_nationkey AS project_id, CASE n_regionkey WHEN 0 THEN 'NC' WHEN 1 THEN 'CS' WHEN 2 THEN 'Schools' ELSE 'NC' END AS project_type,

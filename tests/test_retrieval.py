@@ -42,7 +42,7 @@ def test_dense_plans_agree_and_are_exact(spark):
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>").repartition(5)
     queries = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(20)], "query_id long, embedding array<float>")
     a = sorted(map(tuple, dense_topk(queries, corpus, 4).select("query_id", "vec_id", "rank").collect()))
-    b = sorted(map(tuple, dense_topk(queries, corpus, 4, max_broadcast=6).select("query_id", "vec_id", "rank").collect()))
+    b = sorted(map(tuple, dense_topk(queries, corpus, 4, query_rows=6).select("query_id", "vec_id", "rank").collect()))
     unit = vecs.astype("float64") / np.linalg.norm(vecs.astype("float64"), axis=1, keepdims=True)
     want = []
     for q in range(20):
