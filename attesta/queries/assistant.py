@@ -10,11 +10,10 @@ from ..plans.evaluation import DEPLOYMENT_QUERIES, EVALUATION_QUERIES, deploymen
 from ..plans.index import read_index, search_index, write_index
 from ..plans.reports import evaluation_report, search_reports
 from ..plans.search import at_hits, route_sources, search
-from ..session import table, written
+from ..session import shared_folder, table, written
 from . import sqltext as q
 from .inputs import TOPIC_QUERIES_SQL, topic_queries, window_chunks
 from .registry import QUERIES, SQL, query
-from .roundtrips import shared_folder
 from .searching import FULL, _index, _worded, search_sql
 
 DIM = "('0x' || substr(md5(term), 1, 5))::INT"

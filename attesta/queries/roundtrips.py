@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.training import benchmark_summary, qa_pairs, with_split
-from ..session import ensure_checkpoint_dir, table
+from ..session import shared_folder, table
 from ..sources.readers import discover_files, read_credits, read_extractions, read_text_files
 from ..sources.writers import write_chunks, write_training, write_xml
 from ..streaming.ingest import dedupe_stream, ingest_chunks, stream_documents
@@ -16,12 +13,6 @@ from .evidence import QA_SQL, SPLIT, mention_pages
 from .registry import query
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that the driver and all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
-
-
 @query("chunk_store_files", "SELECT doc_id, source, md5(text) AS text_md5 FROM documents")
 def chunk_store_files(spark, sf):
     """Chunk store partitioned by source."""

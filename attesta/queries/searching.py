@@ -10,14 +10,14 @@ from ..plans.evaluation import (
     SMOKE_QUERIES, evaluation_summary, query_relevance, retrieval_quality, smoke_queries, verdicts,
 )
 from ..plans.evidence import citation_blocks, citations, context_blocks, key_facts, prompts
-from ..plans.index import search_index
+from ..plans.index import StoredIndex, search_index
 from ..plans.search import (
     analyze_projects, credit_queries, guidance, merge_second_source, route_sources, search, source_labels,
 )
-from ..session import table, written
+from ..session import shared_folder, table, written
 from . import sqltext as q
 from .chunks import HTML_SQL, page_texts
-from .inputs import TOPIC_QUERIES_SQL, WINDOW_CHUNKS_SQL, passages, topic_queries, window_chunks
+from .inputs import PASSAGES_SQL, TOPIC_QUERIES_SQL, WINDOW_CHUNKS_SQL, passages, topic_queries, window_chunks
 from .registry import query
 from .retrieval import GROUP_END, GROUP_SQL, PICK_SQL
 
@@ -358,3 +358,47 @@ SELECT query_id, string_agg(label, ' ~ ' ORDER BY label) AS sources FROM l GROUP
 )
 def two_source_labels(spark, sf):
     return source_labels(_two_sources(spark, sf)).select("query_id", F.array_join("sources", " ~ ").alias("sources"))
+
+
+VECTORS_SQL = f"""chunks AS (SELECT 'all' AS source, doc_id AS chunk_id, text FROM documents), {PASSAGES_SQL}, {q.bm25(15)},
+cv AS (SELECT doc_id AS chunk_id, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id),
+qv AS (SELECT query_id, embedding::DOUBLE[] AS v FROM q JOIN embeddings ON vec_id = 3 * query_id WHERE query_id % 4 <> 0),
+de AS (SELECT query_id, 'all' AS source, chunk_id, round(list_cosine_similarity(cv.v, qv.v), 6) AS score FROM cv, qv),
+dek AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS rank FROM de QUALIFY rank <= 15),
+{q.weighted('fz', 'dek', 'bmk')},
+best AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM fz)"""
+
+
+@query(
+    "search_supplied_vectors",
+    f"""WITH {VECTORS_SQL}
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM best
+WHERE score > 0.3 OR (best <= 0.3 AND rank <= 10) QUALIFY rank <= 5""",
+)
+def search_supplied_vectors(spark, sf):
+    """The search over given vectors of chunks and queries; chunks and every fourth query without one are found by words only."""
+    given = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    docs = table(spark, sf, "documents").select(F.lit("all").alias("source"), F.col("doc_id").alias("chunk_id"), "text")
+    chunks = docs.join(given, docs["chunk_id"] == given["vec_id"], "left").drop("vec_id")
+    asked = passages(spark, sf)
+    wanted = F.when(asked["query_id"] % 4 != 0, 3 * asked["query_id"])
+    queries = asked.join(given, wanted == given["vec_id"], "left").drop("vec_id")
+    hits = search(queries, search_index(written(chunks), vector="vector"), 5, group=False, expand=False)
+    return hits.select("query_id", "chunk_id", "score", "rank")
+
+
+@query(
+    "index_add_remove",
+    f"""WITH chunks AS (SELECT source, doc_id AS chunk_id, text FROM documents WHERE doc_id % 5 <> 1 UNION ALL SELECT 'all', doc_id, text FROM documents WHERE doc_id % 5 <> 1),
+{PASSAGES_SQL}, {q.bm25(5)} SELECT query_id, source, chunk_id, score, rank FROM bmk WHERE source IN ('all', 'src1')""",
+)
+def index_add_remove(spark, sf):
+    """A stored index that grew in two steps and lost a fifth of its chunks, searched in two sources."""
+    docs = table(spark, sf, "documents").select("source", F.col("doc_id").alias("chunk_id"), "text")
+    index = StoredIndex(spark, shared_folder(spark), all_source="all")
+    third = F.col("chunk_id") % 3 == 0
+    index.add(docs.filter(third))
+    index.add(docs.filter(~third))
+    index.remove(docs.filter(F.col("chunk_id") % 5 == 1))
+    asked = passages(spark, sf).withColumn("source", F.explode(F.array(F.lit("all"), F.lit("src1"))))
+    return bm25_search(asked, index.read().lexical, 5).select("query_id", "source", "chunk_id", "score", "rank")

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from attesta.operators.lexical import LexicalIndex, bm25_search, lexical_index  # noqa: E402
 from attesta.queries import registry  # noqa: E402
 from attesta.queries.inputs import passages  # noqa: E402
-from attesta.queries.roundtrips import shared_folder  # noqa: E402
-from attesta.session import build_session, table  # noqa: E402
+from attesta.session import build_session, shared_folder, table  # noqa: E402
 
 HEADLINE = [
     "word_windows", "heading_chunks", "credit_parse", "bm25_term_stats", "bm25_topk", "text_dense_topk", "dense_topk",

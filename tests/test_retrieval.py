@@ -12,7 +12,7 @@ from attesta.operators.dense import dense_topk
 from attesta.operators.fusion import rrf, rrf_two_lists, score_filter, weighted_fusion
 from attesta.operators.grouping import group_by_credit, near_duplicates_in_lists, near_duplicates_in_table, pick_sections
 from attesta.operators.lexical import bm25_search, lexical_index
-from attesta.plans.index import read_index, search_index, write_index
+from attesta.plans.index import StoredIndex, read_index, search_index, with_all_source, write_index
 from attesta.plans.search import route_sources, search
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -191,3 +191,125 @@ def test_routed_search_over_several_sources(spark, sf):
     known = [f"src{i}" for i in range(20)]
     hits = search(route_sources(asked, known), search_index(chunks), 4).select("source", "query_id").distinct().collect()
     assert {r["source"] for r in hits} <= {"src1", "src2"} and len({r["source"] for r in hits}) == 2
+
+
+WORDS = [f"w{i}" for i in range(40)]
+
+
+def _texts(n, seed):
+    rng = random.Random(seed)
+    return [" ".join(WORDS[min(39, int(rng.expovariate(0.12)))] for _ in range(rng.randint(0, 30))) for _ in range(n)]
+
+
+def _plain_bm25(texts, asked, k):
+    toks = [t.split() for t in texts]
+    avgdl = sum(map(len, toks)) / len(toks)
+    df = {w: sum(w in t for t in toks) for w in {w for t in toks for w in t}}
+    idf = {w: math.log(len(toks) - f + 0.5) - math.log(f + 0.5) for w, f in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    idf = {w: v if v >= 0 else 0.25 * mean for w, v in idf.items()}
+    out = []
+    for q, text in enumerate(asked):
+        hits = []
+        for c, t in enumerate(toks):
+            s = sum(idf.get(w, 0) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avgdl)) for w in text.split())
+            if round(s, 6) > 0:
+                hits.append((-round(s, 6), c))
+        out += [(q, c, r + 1) for r, (_, c) in enumerate(sorted(hits)[:k])]
+    return out
+
+
+def test_bm25_blocks_are_exact(spark, monkeypatch):
+    from attesta.operators import blocks
+
+    texts, asked = _texts(400, 1), _texts(30, 2)
+    texts[7:60] = [texts[7]] * 53  # ties beyond k
+    chunks = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "source string, chunk_id long, text string").repartition(3)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    want = _plain_bm25(texts, asked, 6)
+    for rows, asks in ((512, 256), (16, 7)):
+        monkeypatch.setattr(blocks, "CHUNK_ROWS", rows)
+        monkeypatch.setattr(blocks, "QUERY_ROWS", asks)
+        got = bm25_search(queries, lexical_index(chunks), 6).select("query_id", "chunk_id", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_rows_that_leave_the_tasks_follow_k_not_pairs(spark):
+    from attesta.operators.lexical import bm25_candidates
+
+    chunks = spark.createDataFrame([("a", i, t) for i, t in enumerate(_texts(2000, 3))], "source string, chunk_id long, text string").coalesce(2)
+    queries = spark.createDataFrame(list(enumerate(_texts(50, 4))), "query_id long, text string")
+    index = lexical_index(chunks)
+    assert bm25_candidates(queries, index, 3).count() <= 3 * 50 * index.rows.rdd.getNumPartitions()
+
+
+def test_all_source_equals_chunks_stored_twice(spark):
+    rows = [("ab"[i % 2], i, t) for i, t in enumerate(_texts(100, 5))]
+    chunks = spark.createDataFrame(rows, "source string, chunk_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(_texts(10, 6))), "query_id long, text string")
+    once = bm25_search(queries, lexical_index(chunks, all_source="all"), 4)
+    twice = bm25_search(queries, lexical_index(with_all_source(chunks)), 4)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.select(once.columns).collect()))
+
+
+def test_index_changes_equal_a_rebuild(spark, tmp_path):
+    texts = _texts(90, 7)
+    chunks = spark.createDataFrame([("ab"[i % 2], i, t) for i, t in enumerate(texts)], "source string, chunk_id long, text string")
+    index = StoredIndex(spark, str(tmp_path / "index"), all_source="all")
+    index.add(chunks.filter("chunk_id < 50"))
+    index.add(chunks.filter("chunk_id >= 50"))
+    index.remove(chunks.filter("chunk_id % 4 = 1 OR source = 'zz'"))
+    index.add(chunks.filter("chunk_id = 5"))  # once more
+    index.remove(chunks.filter("chunk_id = 77"))
+    kept = chunks.filter("chunk_id % 4 <> 1 OR chunk_id = 5")
+    now, fresh = index.read(), lexical_index(kept, all_source="all")
+    lists = lambda df: sorted(map(repr, df.collect()))
+    assert lists(now.chunks.select("source", "chunk_id", "text")) == lists(kept)
+    assert lists(now.lexical.rows.select(fresh.rows.columns)) == lists(fresh.rows)
+    assert lists(now.lexical.terms.select(fresh.terms.columns)) == lists(fresh.terms)
+    a, b = ({r.source: r for r in x.select("source", "n_docs", "n_words", "avgdl", "mean_idf").collect()} for x in (now.lexical.stats, fresh.stats))
+    assert a.keys() == b.keys() == {"a", "b", "all"}
+    assert all(a[s][:4] == b[s][:4] and abs(a[s].mean_idf - b[s].mean_idf) < 1e-9 for s in a)
+    queries = spark.createDataFrame(list(enumerate(_texts(10, 8))), "query_id long, text string")
+    hits = [bm25_search(queries, x, 5).select("query_id", "source", "chunk_id", "rank") for x in (now.lexical, fresh)]
+    assert lists(hits[0]) == lists(hits[1])
+
+
+META = "source string, chunk_id long, text string, credit_id string, section string, doc string, page_start int, page_end int, vector array<double>"
+
+
+def test_given_vectors_reach_search_and_near_duplicates(spark):
+    rows = [("a", i, f"solar roof number{i}", f"C{i // 4}", "requirements", f"d{i}", 1, 1, [1.0, float(i // 2), 0.0] if i != 5 else None) for i in range(12)]
+    chunks = spark.createDataFrame(rows, META)
+    queries = spark.createDataFrame([(1, "solar roof", [1.0, 2.0, 0.0]), (2, "solar roof", None)], "query_id long, text string, vector array<double>")
+    index = search_index(chunks, vector="vector")
+    hits = search(queries, index, 4, group=False, expand=False).collect()
+    top = [h.chunk_id for h in sorted(hits, key=lambda h: h["rank"]) if h.query_id == 1]
+    assert top[0] == 4 and len(top) == 4  # 4 has the query's vector (5 has none)
+    assert any(h.query_id == 2 for h in hits)  # found by words only
+    grouped = search(queries.filter("query_id = 1"), index, 6, expand=False).collect()
+    assert grouped and len({h.chunk_id for h in grouped}) == len(grouped) and "vector" not in grouped[0].asDict()
+    # equal vectors of one credit and section are near-duplicates: one of 0 and 1, one of 2 and 3
+    assert not {2, 3} <= {h.chunk_id for h in grouped} and not {0, 1} <= {h.chunk_id for h in grouped}
+
+
+def test_embed_makes_vectors_of_chunks_and_queries(spark):
+    def embed(text):
+        return F.array(F.length(F.regexp_replace(text, "[^s]", "")).cast("double"), F.length(F.regexp_replace(text, "[^r]", "")).cast("double"))
+
+    chunks = spark.createDataFrame([(s, c, t, "C", "x", "d", c, c, None) for s, c, t in [("a", 1, "sss r"), ("a", 2, "r rrr rr"), ("a", 3, None)]], META).drop("vector")
+    queries = spark.createDataFrame([(1, "LEED rrrr rr")], "query_id long, text string")
+    hits = search(queries, search_index(chunks, embed=embed), 2, group=False, expand=False).collect()
+    assert next(h.chunk_id for h in hits if h["rank"] == 1) == 2
+
+
+def test_rrf_method_and_chunk_text(spark):
+    from attesta.functions.text import chunk_text
+
+    chunks = spark.createDataFrame(
+        [("a", 1, "plain words", "EAc1", "requirements", "d", 1, 1, None), ("a", 2, "other words here", "WEc2", "intent", "d", 2, 2, None)], META
+    ).drop("vector")
+    queries = spark.createDataFrame([(1, "EAc1 words")], "query_id long, text string")
+    index = search_index(chunks, lexical_text=chunk_text({c: F.col(c) for c in chunks.columns}))
+    hits = search(queries, index, 2, group=False, expand=False, method="rrf").collect()
+    assert next(h.chunk_id for h in hits if h["rank"] == 1) == 1
