@@ -14,6 +14,7 @@ from ..session import written
 from .common import _pieces
 
 ID_BITS = 20  # ids of both vocabularies are below 2^20
+ROWS = 200  # documents aligned at once
 HOT_PAIRS = 1 << 20  # id pairs that are broadcast with their counts (17 bytes each); all others are joined
 # the word pattern of byte-level BPE as `use_regex` means it (fixed value)
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -189,10 +190,11 @@ def align(
         if max(len(table_a), len(table_b)) >= 1 << ID_BITS:
             raise ValueError("a vocabulary of 2^20 or more ids")
         sizes_a, sizes_b = np.array([len(t) for t in table_a]), np.array([len(t) for t in table_b])
+        spell_a, spell_b = table_a.__getitem__, table_b.__getitem__
         names = [str(i) for i in range(max(len(table_a), len(table_b)))] if "groups" in outputs else []
         none = np.empty(0, np.int64)
-        for batch in batches:
-            texts = [None if t is None else t.encode() for t in batch.column(n_keep).to_pylist()]
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            texts = batch.column(n_keep).cast(pa.binary()).to_pylist()
             done = 0
             for (part,) in _pieces([texts]):
                 ids_a, ids_b, lists_a, lists_b = [], [], [], []
@@ -202,7 +204,7 @@ def align(
                     if raw:
                         whole, plain = b" " + raw, raw.decode()
                         found_a, found_b = coder_a.encode(" " + plain), coder_b.encode(plain)
-                        if b"".join([table_b[i] for i in found_b]) != whole or b"".join([table_a[i] for i in found_a]) != whole:
+                        if b"".join(map(spell_b, found_b)) != whole or b"".join(map(spell_a, found_a)) != whole:
                             found_a, found_b = [], []
                     lists_a.append(found_a)
                     lists_b.append(found_b)
@@ -214,7 +216,7 @@ def align(
                 for name in outputs:
                     if name == "groups":
                         spelt = [
-                            groups_text([names[i] for i in a], [names[i] for i in b], x.tolist(), y.tolist())
+                            groups_text(list(map(names.__getitem__, a)), list(map(names.__getitem__, b)), x.tolist(), y.tolist())
                             for a, b, x, y in zip(lists_a, lists_b, a_cuts, b_cuts, strict=True)
                         ]
                         cols.append(pa.array(spelt, pa.string()))
