@@ -145,7 +145,9 @@ def fit(
     """A lexicon learned from the documents that `labels` (doc_id, toxic) marks and `train` admits.
 
     Of each class the `per_class` rows with the least hashed ids are the sample, a bound that does not
-    grow with the data; their whole texts are used. A term weighs the logarithm of how many times
+    grow with the data; their whole texts are used, of a repeated id the least one. The lexicon holds at most
+    `max_terms` words of 3 to 40 letters or beginnings of words, those of most toxic documents, and as many
+    exceptions of at most 100 letters. A term weighs the logarithm of how many times
     likelier it is in toxic documents, and has to be sure of `min_weight` (`sureness` standard errors off); phrases around a term that only clean documents hold become
     exceptions, beside those given. Null labels, ids and texts are left out; without both classes the
     lexicon is empty and scores say so (0.5 at the most).
@@ -154,7 +156,9 @@ def fit(
     marked = marked.groupBy("_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("_id"))
     classes = [marked.withColumnRenamed("_id", doc_id).filter(train & (F.col("toxic") == y)).orderBy("h", doc_id).limit(per_class) for y in (0, 1)]
     sample = F.broadcast(classes[0].union(classes[1]).select(F.col(doc_id).alias("_id"), "toxic"))
-    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text")).join(sample, F.col("_doc") == F.col("_id")).select("text", "toxic").filter("text is not null")
+    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text")).filter("text is not null").join(sample, F.col("_doc") == F.col("_id"))
+    # one row of each id: a repeated one could be any share of the table
+    rows = rows.groupBy("_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     sizes = {r.toxic: r.n for r in marked.withColumnRenamed("_id", doc_id).filter(train).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     schema = "pattern string, toxic int, n bigint"
     both = min(sizes.get(0, 0), per_class), min(sizes.get(1, 0), per_class)

@@ -1,7 +1,7 @@
 import random
 import re
-import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from attesta.llm import queries, toxicity
@@ -61,16 +61,16 @@ def test_matches_brute_force(spark):
         assert r.hits == len(hits) and r.n_words == len(line.split()), texts[r.doc_id]
 
 
-def test_held_out_accuracy(spark, sf):
-    path = sf.replace("0.001", "0.01")
+@pytest.mark.parametrize(("share", "recall"), [("0.01", 0.5), ("0.1", 0.9)])
+def test_held_out_accuracy(spark, sf, share, recall):
+    path = sf.replace("0.001", share)
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
     got = queries.QUERIES["op3_toxicity"](spark, path).collect()
     assert len(got) == spark.read.parquet(f"{path}/documents.parquet").count()
     held = [r for r in got if r.held_out and r.doc_id in labels]
     assert all(r.held_out == (remainder_of(r.doc_id, 5) == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
-    right = sum(r.predicted == labels[r.doc_id] for r in held) / len(held)
-    clean = [r for r in held if labels[r.doc_id] == 0]
-    assert right > 0.9 and sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    toxic, clean = ([r for r in held if labels[r.doc_id] == y] for y in (1, 0))
+    assert sum(r.predicted for r in toxic) >= recall * len(toxic) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
 
 
 def test_awkward(spark):
@@ -81,4 +81,3 @@ def test_awkward(spark):
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     nothing = toxicity.fit(empty(spark), labels.limit(0), F.lit(True))
     assert nothing.terms == {} and toxicity.toxicity(empty(spark), nothing).count() == 0
-    assert unicodedata.normalize("NFKD", "é") != "é"
