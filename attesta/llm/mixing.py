@@ -80,10 +80,10 @@ r AS (SELECT source, 1.0::DOUBLE * ((SELECT sum(rows_in) FROM counts)::DOUBLE /
 k AS (SELECT source, rate, unnest(range(0, (ceil(rate + 14 * sqrt(rate) + 14))::BIGINT + 1)) AS k FROM r),
 m AS (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM k),
 c AS (SELECT source, list(cdf ORDER BY k) AS cdf FROM (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM m) GROUP BY 1),
-u AS (SELECT doc_id, d.source, cdf, (('0x' || substr(md5('42' || chr(31) || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+u AS (SELECT d.*, cdf, (('0x' || substr(md5('42' || chr(31) || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
-n AS (SELECT doc_id, source, len(list_filter(cdf, lambda x: x <= u)) AS n FROM u)
-SELECT doc_id, source, copy::INTEGER AS copy,
+n AS (SELECT *, len(list_filter(cdf, lambda x: x <= u)) AS n FROM u)
+SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,
   (('0x' || substr(md5('42' || chr(31) || doc_id || chr(31) || copy || chr(31) || 'order'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS mix_order
-FROM (SELECT doc_id, source, unnest(range(0, n)) AS copy FROM n)
+FROM (SELECT * EXCLUDE (cdf, u, n), unnest(range(0, n)) AS copy FROM n)
 """

@@ -41,9 +41,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 5) == 0
     docs = documents(spark, sf)
-    # surer terms than the default: a large corpus has labels enough, and clean documents are to be left alone
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    lexicon = toxicity.fit(docs, labels, ~held_out, min_docs=5, min_weight=3.0, sureness=2.0)
+    lexicon = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), ~held_out)
     scored = toxicity.toxicity(docs, lexicon)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits", "n_words")
 
@@ -86,7 +84,7 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op10_source_mixing", mixing.SQL)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf)).select("doc_id", "source", "copy", "mix_order")
+    return mixing.mix(documents(spark, sf)).select("doc_id", "text", "lang", "source", "n_chars", "copy", "mix_order")
 
 
 @query("op11_conversation_trie", prefix_trie.SQL)
