@@ -104,7 +104,7 @@ def fit(
     """A model from the rows where `train` holds and the language is not null.
 
     Of each language the `per_language` rows whose hashed id is least are the sample: a bound that
-    does not grow with the data (times the number of languages). Texts are used whole; only their
+    does not grow with the data (times the number of languages). Of a repeated id one row counts. Texts are used whole; only their
     hashed counts (16 KB each) come to the driver. Without any such row every text is 'und'.
 
     The rejection limits are `slack` times the `share` quantile of the cosines of the sample's texts, cut
@@ -118,7 +118,9 @@ def fit(
         .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select(F.col("doc_id").alias("_picked")).distinct()
     )
     sample = labelled.select(doc_id, lang, text).join(F.broadcast(picked), F.col(doc_id).eqNullSafe(F.col("_picked")))
-    sample = written(sample.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")))
+    # one row of each id: a repeated one could be any share of the table
+    sample = sample.groupBy("_picked").agg(F.min(F.struct(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))).alias("_s"))
+    sample = written(sample.select("_s.lang", "_s.text"))
 
     def run(cols, _):
         rows = [(name.decode(), zlib.crc32(t) & 1, counts(t)) for name, t in zip(*cols)]
