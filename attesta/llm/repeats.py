@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_to_unique
 from ..session import written
 from .common import map_batches
 from .suffixes import repeated
@@ -237,16 +238,15 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     long = rows.filter(F.octet_length("text") >= length)
     firsts = long.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     seen = _found(long, length)
-    again = (
-        seen.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("around") == F.max("around")).alias("same"))
-        .filter("n > 1").drop("n")
+    again = written(
+        seen.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("around") == F.max("around")).alias("same")).filter("n > 1")
     )
     # copies of a text are told apart by nothing here: one row each is enough
-    places = written(seen.join(again, "h").groupBy("h", "around", "same", "a", "b", "pos").agg(F.count(F.lit(1)).alias("n")))
+    places = written(join_to_unique(seen, again, "h", "n", ["a", "b", "pos"]).groupBy("h", "around", "same", "a", "b", "pos").agg(F.count(F.lit(1)).alias("n")))
     kinds = places.filter("not same").groupBy("h", "around").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "pos")).alias("rep"))
-    crowds = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = written(kinds.join(crowds, "h").select("h", "around", "n", "kinds", "rep.*"))
-    reps = written(_cut(long, kinds.join(firsts, ["a", "b"]), length).join(crowds, "h"))
+    crowds = written(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).withColumn("_n", F.col("kinds")))
+    kinds = written(join_to_unique(kinds, crowds, "h", "_n", ["around"]).select("h", "around", "n", "kinds", "rep.*"))
+    reps = written(join_to_unique(_cut(long, kinds.join(firsts, ["a", "b"]), length), crowds, "h", "_n", ["around"]))
     partial = _sorted_compare(reps.filter(F.col("kinds") <= crowd), length)
     crowded = reps.filter(F.col("kinds") > crowd)
     if not crowded.isEmpty():
