@@ -5,29 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import value_counts
 from .skew import join_to_unique
 
-NAME_BLOCK = 10_000
-SALTS = 64
+GRAM = 3
 EARTH_RADIUS_M = 6_371_000.0
 
 
+def grams(text: Column, n: int) -> Column:
+    """All strings of `n` characters in the text, each once; none if it is shorter."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda p: F.substr(text, p, F.lit(n))))
+
+
+def contained_candidates(hay: DataFrame, hay_id: str, needles: DataFrame) -> DataFrame:
+    """Pairs (hay_id, _needle) that share the needle's rarest piece. hay(hay_id, _low), needles(_needle): lower case.
+
+    A needle is filed under one piece of GRAM characters, the one that the fewest texts have (a shorter
+    needle under itself); a needle with a piece that no text has is out. Texts are looked up under their own
+    pieces, so pairs follow the rarest pieces, not the texts' lengths.
+    """
+    size = F.least(F.length("_needle"), F.lit(GRAM))
+    pieces = needles.select("_needle", size.alias("_n")).distinct()
+    filed = pieces.select("_needle", F.explode(F.when(F.col("_n") == GRAM, grams(F.col("_needle"), GRAM)).otherwise(F.array("_needle"))).alias("_gram"))
+    lengths = pieces.agg(F.collect_set("_n")).scalar()  # GRAM different ones at most
+    held = hay.select(hay_id, "_low", lengths.alias("_lengths"))
+    own = F.flatten(F.transform("_lengths", lambda n: _grams_of(F.col("_low"), n)))
+    # pieces of no needle leave before they are counted
+    texts = held.select(hay_id, F.explode(own).alias("_gram")).join(filed.select("_gram").distinct(), "_gram", "left_semi")
+    counts = texts.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
+    rarest = filed.join(counts, "_gram", "left").groupBy("_needle").agg(
+        F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_rare")
+    )
+    key = rarest.filter("_rare.n > 0").select("_needle", F.col("_rare.g").alias("_gram"))
+    return texts.join(key, "_gram").select(hay_id, "_needle").distinct()
+
+
+def _grams_of(text: Column, n: Column) -> Column:
+    """`grams` with the length as a column."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda p: F.substr(text, p, n)))
+
+
 def contains_join(hay: DataFrame, hay_id: str, hay_text: str, needles: DataFrame, needle: str) -> DataFrame:
     """Rows (hay_id, needle columns) where the lower-cased text contains the needle.
 
-    The text is cut into all its substrings of the needle lengths in use, which turns the
-    containment test into an equi-join.
+    Pairs that share the needle's rarest piece are compared (`contained_candidates`). Null texts contain
+    nothing, null and empty needles are in none; repeated rows give repeated pairs.
     """
     keyed = needles.filter(F.length(needle) > 0).withColumn("_needle", F.lower(needle))
-    lengths = keyed.agg(F.collect_set(F.length("_needle"))).scalar()  # as many as there are lengths
-    wide = hay.select(hay_id, F.lower(hay_text).alias("_low"), lengths.alias("_lengths"))
-    low = F.col("_low")
-    pieces = wide.select(hay_id, "_low", F.explode("_lengths").alias("_n")).filter(F.col("_n") <= F.length(low))
-    starts = F.sequence(F.lit(1), F.length(low) - F.col("_n") + 1)
-    cut = pieces.select(
-        hay_id, F.explode(F.array_distinct(F.transform(starts, lambda p: F.substr(low, p, F.col("_n"))))).alias("_needle")
-    )
-    return cut.join(keyed, "_needle").drop("_needle")
+    low = hay.select(hay_id, F.lower(hay_text).alias("_low")).filter(F.col("_low").isNotNull())
+    pairs = contained_candidates(low, hay_id, keyed).withColumnRenamed(hay_id, "_id")
+    met = low.join(pairs, F.col(hay_id).eqNullSafe(F.col("_id"))).filter(F.contains("_low", "_needle")).select(hay_id, "_needle")
+    return met.join(keyed, "_needle").drop("_needle")
 
 
 def keyword_lookup(queries: DataFrame, table: DataFrame, default: str) -> DataFrame:
@@ -46,12 +76,15 @@ def match_credit(targets: DataFrame, catalogue: DataFrame) -> DataFrame:
     """First catalogue row (by pos) whose code equals the target or whose name contains it.
 
     targets(target_id, target); catalogue(pos, code, name) -> (target_id, target, code, name), nulls if none.
+    Equal targets are looked up once; of all rows that match only the first one is joined back.
     """
-    by_code = targets.join(catalogue, F.col("target") == F.col("code")).select("target_id", "pos", "code", "name")
-    within = contains_join(catalogue, "pos", "name", targets.select("target_id", "target"), "target")
-    by_name = within.select("target_id", "pos").join(catalogue, "pos").select("target_id", "pos", "code", "name")
-    first = by_code.unionByName(by_name).groupBy("target_id").agg(F.min(F.struct("pos", "code", "name")).alias("m"))
-    return targets.join(first, "target_id", "left").select(
+    counted = targets.filter(F.col("target").isNotNull()).groupBy("target").agg(F.count(F.lit(1)).alias("_n"))
+    by_code = counted.join(catalogue, F.col("target") == F.col("code")).select("target", "pos")
+    by_name = contains_join(catalogue, "pos", "name", counted.select("target"), "target").select("target", "pos")
+    first = by_code.unionByName(by_name).groupBy("target").agg(F.min("pos").alias("pos"))
+    rows = catalogue.groupBy("pos").agg(F.min(F.struct("code", "name")).alias("m"))
+    found = counted.join(first, "target").join(rows, "pos").select("target", "_n", "m")
+    return join_to_unique(targets, found, "target", "_n", ["target_id"], how="left").select(
         "target_id", "target", F.col("m.code").alias("code"), F.col("m.name").alias("name")
     )
 
@@ -87,41 +120,64 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def nearest_names(names: DataFrame, dictionary: DataFrame, cutoff: float = 0.6, block: int = NAME_BLOCK) -> DataFrame:
-    """Most similar dictionary key of each distinct name(name), if at least `cutoff` similar.
+def _pieces(text: Column, n: int) -> Column:
+    """array<struct<gram, occ>>: the characters (n = 1), or pairs of characters with both ends marked (n = 2)."""
+    padded = F.concat(F.lit("\x01"), text, F.lit("\x01")) if n == 2 else F.concat(text, F.lit("\x01"))
+    last = F.length(padded) - (n - 1)
+    each = F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda p: F.substr(padded, p, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    counted = value_counts(each, key="gram")
+    return F.flatten(F.transform(counted, lambda c: F.transform(F.sequence(F.lit(1), c["n"]), lambda j: F.struct(c["gram"].alias("gram"), j.alias("occ")))))
+
+
+def most_edits(longest: Column, cutoff: float) -> Column:
+    """Edits at which strings, the longer one of this length, are still `cutoff` similar (to 6 digits)."""
+    return F.floor(longest * (1 - cutoff) + F.lit(1e-6) * F.greatest(longest, F.lit(1))).cast("int")
+
 
-    The dictionary(key) is packed into arrays of bounded size; each name meets each array once and
-    only its best key per array goes on. Arrays are copied to several salts, so names stay spread.
+def name_candidates(names: DataFrame, dictionary: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs (name, key) that can be `cutoff` similar: fitting lengths, and a common piece among their rarest ones.
+
+    With L the longer length and e the edits allowed, similar strings share at least L + 1 - 2e pairs of
+    characters (L - e characters, for cutoffs up to a half). So if the pieces of each string are ordered
+    from rare to frequent, the beginnings that leave out one piece less than that many must meet.
     """
-    n_blocks = max(1, -(-dictionary.count() // block))
-    packed = (
-        dictionary.select("key", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int").alias("b"))
-        .groupBy("b")
-        .agg(F.collect_list("key").alias("keys"))
-        .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    asked = names.select("name").distinct().select(
-        "name",
-        F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int").alias("s"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"),
-    )
-    score = lambda k: F.struct(F.round(name_similarity(F.col("name"), k), 6).alias("similarity"), k.alias("key"))
-    best = F.reduce(
-        "keys",
-        F.struct(F.lit(-1.0).alias("similarity"), F.lit("").alias("key")),
-        lambda acc, k: F.when(
-            (score(k)["similarity"] > acc["similarity"])
-            | ((score(k)["similarity"] == acc["similarity"]) & (k < acc["key"])),
-            score(k),
-        ).otherwise(acc),
-    )
+    n = 2 if cutoff > 0.5 else 1
+    length = F.length("text")
+
+    def shared(longest: Column) -> Column:
+        return longest + 1 - 2 * most_edits(longest, cutoff) if n == 2 else longest - most_edits(longest, cutoff)
+
+    least = F.greatest(F.lit(1), F.array_min(F.transform(F.sequence(length, F.floor(length / cutoff + 1e-6).cast("int")), shared)))
+    sides = [
+        df.select(F.col(c).alias("text")).filter(F.col("text").isNotNull()).distinct().withColumn("p", _pieces(F.col("text"), n))
+        for df, c in ((names, "name"), (dictionary, "key"))
+    ]
+    often = sides[1].select(F.inline("p")).groupBy("gram", "occ").agg(F.count(F.lit(1)).alias("often"))
+
+    def beginnings(df: DataFrame, name: str) -> DataFrame:
+        ranked = df.select("text", F.inline("p")).join(often, ["gram", "occ"], "left").groupBy("text").agg(
+            F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram", "occ"))).alias("p")
+        )
+        first = F.slice("p", F.lit(1), F.greatest(F.lit(0), F.size("p") - least + 1))
+        return ranked.select(F.col("text").alias(name), length.alias(f"{name}_length"), F.inline(first)).drop("often")
+
+    met = beginnings(sides[0], "name").join(beginnings(sides[1], "key"), ["gram", "occ"])
+    longest = F.greatest("name_length", "key_length")
+    return met.filter(F.abs(F.col("name_length") - F.col("key_length")) <= most_edits(longest, cutoff)).select("name", "key").distinct()
+
+
+def nearest_names(names: DataFrame, dictionary: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """Most similar dictionary key of each distinct name(name), if at least `cutoff` similar (above 0).
+
+    dictionary(key). Only `name_candidates` are compared; equal similarity goes to the least key. Null names
+    and keys take no part.
+    """
+    scored = name_candidates(names, dictionary, cutoff).withColumn("similarity", F.round(name_similarity(F.col("name"), F.col("key")), 6))
     return (
-        asked.join(packed, ["b", "s"])
-        .select("name", best.alias("m"))
+        scored.filter(F.col("similarity") >= cutoff)
         .groupBy("name")
-        .agg(F.min(F.struct((-F.col("m.similarity")).alias("d"), F.col("m.key").alias("key"))).alias("m"))
+        .agg(F.min(F.struct((-F.col("similarity")).alias("d"), "key")).alias("m"))
         .select("name", F.col("m.key").alias("key"), (-F.col("m.d")).alias("similarity"))
-        .filter(F.col("similarity") >= cutoff)
     )
 
 

@@ -85,7 +85,7 @@ def template_match_fuzzy(spark, sf):
     """Names without an exact template and their most similar key by edit distance."""
     book = template_dictionary(part_credits(spark, sf), ["credit_no"]).select("key")
     asked = _identifiers(spark, sf).select(F.trim(F.lower("identifier")).alias("name")).distinct()
-    return nearest_names(asked.join(book, asked.name == book.key, "left_anti"), book, block=50)
+    return nearest_names(asked.join(book, asked.name == book.key, "left_anti"), book)
 
 
 @query(

@@ -1,15 +1,20 @@
 """Sources, sinks, streams and score cards."""
 
 import json
+import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators.matching import contains_join, metres_between, nearest_names, stops_near_sites, with_file_status
+from attesta.operators.matching import (
+    contained_candidates, contains_join, match_credit, metres_between, name_candidates, nearest_names, stops_near_sites, with_file_status,
+)
 from attesta.operators.parsing import with_quality
 from attesta.plans.scorecards import (
     buildings_to_projects, certification_level, compliance_summary, energy_scores, high_priority, location_scores, transit_points, walk_points,
 )
+from attesta.session import table
 from attesta.sources import readers as rd
 from attesta.sources import writers as wr
 from attesta.streaming.ingest import dedupe_stream, ingest_chunks, latest_scores, stream_documents
@@ -185,9 +190,67 @@ def test_contains_and_nearest_names(spark):
     assert sorted((r["query_id"], r["keyword"]) for r in contains_join(q, "query_id", "text", n, "keyword").collect()) == [(1, "energy"), (1, "now")]
     names = spark.createDataFrame([("optimize enrgy",), ("zzzz",)], "name string")
     book = spark.createDataFrame([("optimize energy",), ("optimise energy",), ("water",)], "key string")
-    for block in (10_000, 1):
-        got = nearest_names(names, book, block=block).collect()
-        assert [(r["name"], r["key"]) for r in got] == [("optimize enrgy", "optimize energy")]
+    got = nearest_names(names, book).collect()
+    assert [(r["name"], r["key"]) for r in got] == [("optimize enrgy", "optimize energy")]
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def _random_names(n, seed, letters="abc"):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(letters, k=rng.randint(0, 12))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("cutoff", [0.4, 0.6, 0.85])
+def test_nearest_names_against_all_pairs(spark, cutoff):
+    names, keys = _random_names(60, 1) + [None, "", "Ünïcode"], [*_random_names(60, 2), None, "", "Unïcode"]
+    got = nearest_names(
+        spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in keys], "key string"), cutoff
+    ).collect()
+    want = {}
+    for a in {x for x in names if x is not None}:
+        scored = [(-round(1 - _edits(a, k) / max(len(a), len(k), 1), 6), k) for k in {x for x in keys if x is not None}]
+        best = min(scored)
+        if -best[0] >= cutoff:
+            want[a] = (best[1], -best[0])
+    assert {r["name"]: (r["key"], r["similarity"]) for r in got} == want and want
+
+
+def test_few_names_are_compared(spark, sf):
+    # the names of the customers' nations and parts, not of a small alphabet
+    names = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct().limit(150)
+    keys = table(spark, sf, "supplier").select(F.col("s_name").alias("key")).unionByName(names.limit(40).select(F.concat("name", F.lit("x")).alias("key")))
+    n, m = names.count(), keys.distinct().count()
+    assert name_candidates(names, keys, 0.85).count() < n * m / 4
+    assert nearest_names(names, keys, 0.85).count() >= 40
+
+
+def test_contains_against_all_pairs(spark):
+    hay, needles = [*_random_names(80, 3, "abcd"), None, "Abc dB", "Abc dB"], [*_random_names(30, 4, "abcd"), None, "", "C D", "dB"]
+    rows = [(i if i != 5 else None, t) for i, t in enumerate(hay)]
+    got = contains_join(
+        spark.createDataFrame(rows, "id long, text string"), "id", "text", spark.createDataFrame(list(enumerate(needles)), "n long, needle string"), "needle"
+    )
+    want = sorted((-1 if i is None else i, n) for i, t in rows for n, x in enumerate(needles) if t is not None and x and x.lower() in t.lower())
+    assert sorted((-1 if r["id"] is None else r["id"], r["n"]) for r in got.collect()) == want and want
+    # a needle meets the texts that have its rarest piece, not all texts
+    many = spark.createDataFrame([(i, f"common words of every text {i}") for i in range(300)], "id long, _low string")
+    asked = spark.createDataFrame([("common words of every text 7",), ("no such thing",)], "_needle string")
+    assert contained_candidates(many, "id", asked).count() < 200
+
+
+def test_match_credit_takes_the_first_row(spark):
+    targets = spark.createDataFrame([(1, "EA"), (2, "water"), (3, "EA"), (4, None), (5, "nothing"), (6, "Water Use")], "target_id long, target string")
+    catalogue = spark.createDataFrame([(1, "WE", "Water Use Reduction"), (2, "EA", "Energy"), (3, "EA", "Energy again"), (4, "W2", "water too")], "pos long, code string, name string")
+    got = {r["target_id"]: (r["code"], r["name"]) for r in match_credit(targets, catalogue).collect()}
+    assert got == {1: ("EA", "Energy"), 2: ("WE", "Water Use Reduction"), 3: ("EA", "Energy"), 4: (None, None), 5: (None, None), 6: ("WE", "Water Use Reduction")}
 
 
 def test_near_stops_against_all_pairs(spark):
