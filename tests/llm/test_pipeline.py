@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against plain Python over what each stage was given."""
 
 import hashlib
+import itertools
 import struct
 from collections import Counter
 
@@ -11,9 +12,9 @@ import corpus_pipeline as cp
 from attesta.llm import langid
 from attesta.llm.common import remainder, tokenizer_path
 
-from .data import awkward
+from .data import awkward, empty
 from .test_rows import brute_lines
-from .test_simhash import brute_fingerprint, brute_groups
+from .test_near_text import jaccard, shingles
 
 
 def test_stages(spark, sf, tmp_path):
@@ -37,8 +38,13 @@ def test_stages(spark, sf, tmp_path):
     assert Counter((r.doc_id, r.text, r.n_chars) for r in after) == Counter((r.doc_id, t, len(t)) for r, (_, t) in zip(before, want))
 
     before, after = kept[2]
-    groups = brute_groups({r.doc_id: brute_fingerprint(r.text) for r in before}, 4)
-    assert sorted(r.doc_id for r in after) == sorted(set(groups.values()))
+    sets = {r.doc_id: shingles(r.text) for r in before}
+    near = {(a, b): jaccard(sets[a], sets[b]) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] & sets[b] or not sets[a] | sets[b]}
+    stay = {r.doc_id for r in after}
+    alone = sets.keys() - {i for p, j in near.items() if j >= 0.5 for i in p}
+    alike = [p for p, j in near.items() if j >= 0.8]
+    assert alone <= stay and len(after) == len(stay)
+    assert sum(b not in stay for _, b in alike) >= 0.9 * len(alike)
     assert {(r.doc_id, r.text) for r in after} <= {(r.doc_id, r.text) for r in before}
 
     before, after = kept[3]
@@ -58,8 +64,15 @@ def test_run(spark, sf):
 
 
 def test_awkward_rows(spark, sf):
-    docs = awkward(spark).select(*cp.COLUMNS)
-    for _, stage in cp.STAGES[1:]:
-        out = stage(spark, docs, sf)
-        assert out.count() >= 0
+    docs = awkward(spark)
+    n = docs.count()
+    counts = [stage(spark, docs, sf).count() for _, stage in cp.STAGES[1:]]
+    # lines: all rows; near-duplicates: 1, 2 and 3 (close), 4 to 6 and 10 are groups; tokens: all rows
+    assert counts[0] == counts[3] == n and 7 <= counts[1] <= 9 and counts[2] > 0
+    assert all(stage(spark, docs, sf).columns == cp.COLUMNS for _, stage in cp.STAGES[:-1])
     assert cp.STAGES[0][1](spark, docs, sf).filter("doc_id = 4").count() == 0
+
+
+def test_empty_table(spark, sf):
+    nothing = empty(spark)
+    assert all(stage(spark, nothing, sf).count() == 0 for _, stage in cp.STAGES)
