@@ -140,26 +140,49 @@ def sheet_chunks(rows: DataFrame) -> DataFrame:
     return word_windows(text.filter(F.length("text") > 0), keep)
 
 
+def _flat_json(doc: str | None) -> str | None:
+    """One document as text, without recursion; None if it is not JSON."""
+    try:
+        root = json.loads(doc)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    out: list[str] = []
+    todo: list = [("", "", root, False)]  # (lead, path, node, whether something stands before it)
+    while todo:
+        lead, path, node, after = todo.pop()
+        if after:
+            out.append(" | ")
+        out.append(lead)
+        if isinstance(node, dict):
+            named = [(f"{path}.{k}" if path else k, v) for k, v in node.items()]
+            todo += [(f"{p}: ", p, v, i > 0) for i, (p, v) in reversed(list(enumerate(named)))]
+        elif isinstance(node, list):
+            todo += [("", f"{path}[{i}]", v, i > 0) for i, v in reversed(list(enumerate(node)))]
+        else:
+            out.append(str(node))
+    return "".join(out)
+
+
 @F.pandas_udf(StringType())
 def json_text(docs: pd.Series) -> pd.Series:
-    """JSON document -> 'path: value | path: value'; a nested object is led by its own path, list items are not."""
-
-    def flat(node, path: str) -> str:
-        if isinstance(node, list):
-            return " | ".join(flat(v, f"{path}[{i}]") for i, v in enumerate(node))
-        if isinstance(node, dict):
-            named = ((f"{path}.{k}" if path else k, v) for k, v in node.items())
-            return " | ".join(f"{p}: {flat(v, p)}" for p, v in named)
-        return str(node)
+    """JSON document -> 'path: value | path: value'; a nested object is led by its own path, list items are not.
 
-    return docs.map(lambda d: None if d is None else flat(json.loads(d), ""))
+    Null for a null or malformed document, which costs only that row.
+    """
+    return docs.map(_flat_json)
 
 
 def json_chunks(docs: DataFrame, keep: list[str], column: str = "data") -> DataFrame:
-    """Word windows over the flattened JSON of each document."""
+    """Word windows over the flattened JSON of each document; none of malformed documents."""
     return word_windows(docs.withColumn("text", json_text(column)), keep)
 
 
+def malformed_json(docs: DataFrame, by: list[str], column: str = "data") -> DataFrame:
+    """(by..., n_documents, n_malformed)."""
+    bad = F.col(column).isNotNull() & json_text(column).isNull()
+    return docs.withColumn("_bad", bad).groupBy(*by).agg(F.count(F.lit(1)).alias("n_documents"), F.count_if("_bad").alias("n_malformed"))
+
+
 def table_chunks(tables: DataFrame) -> DataFrame:
     """tables(file_name, page, table_index, rows, columns, data) -> text chunks with hashed ids."""
     text = table_text(F.col("page"), F.col("rows"), F.col("columns"), F.col("data"))

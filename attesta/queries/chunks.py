@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import html_title, strip_html
+from ..functions.text import html_title, strip_html, words
 from ..operators.chunking import (
-    chunk_extractions, chunk_id_collisions, exact_duplicates, heading_chunks, json_text, metadata_chunks,
+    chunk_extractions, chunk_id_collisions, exact_duplicates, heading_chunks, json_chunks, json_text, malformed_json, metadata_chunks,
     page_chunks, sheet_chunks, summary_chunks, table_chunks, word_windows,
 )
 from ..sources.readers import split_page_marks
@@ -152,19 +152,44 @@ def html_page_chunks(spark, sf):
     return word_windows(page_texts(spark, sf), ["page_id"])
 
 
-@query(
-    "json_text_events",
-    """SELECT event_id, 'event_id: ' || event_id || ' | detail: detail.type: ' || event_type || ' | detail.props: detail.props.k: ' || json_extract_string(props, '$.k')
-  || ' | tags: ' || event_type || ' | tags[1].u: ' || user_id AS text FROM events""",
-)
-def json_text_events(spark, sf):
+JSON_SQL = """'event_id: ' || event_id || ' | detail: detail.type: ' || event_type || ' | detail.props: detail.props.k: ' || json_extract_string(props, '$.k')
+  || ' | tags: ' || event_type || ' | tags[1].u: ' || user_id"""
+
+
+def event_documents(spark, sf):
+    """Events as JSON documents; of every fiftieth the last brackets are lost."""
     e = table(spark, sf, "events")
     doc = F.concat(
         F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "detail": {"type": "'), F.col("event_type"),
         F.lit('", "props": '), F.col("props"), F.lit('}, "tags": ["'), F.col("event_type"), F.lit('", {"u": '),
-        F.col("user_id").cast("string"), F.lit("}]}"),
+        F.col("user_id").cast("string"), F.when(F.col("event_id") % 50 != 0, F.lit("}]}")).otherwise(F.lit("")),
     )
-    return e.select("event_id", json_text(doc).alias("text"))
+    return e.select("event_id", "event_type", doc.alias("data"))
+
+
+@query("json_text_events", f"SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN {JSON_SQL} END AS text FROM events")
+def json_text_events(spark, sf):
+    return event_documents(spark, sf).select("event_id", json_text("data").alias("text"))
+
+
+@query("json_malformed", "SELECT event_type, count(*) AS n_documents, count(*) FILTER (event_id % 50 = 0) AS n_malformed FROM events GROUP BY ALL")
+def json_malformed(spark, sf):
+    return malformed_json(event_documents(spark, sf), ["event_type"])
+
+
+@query(
+    "json_chunks",
+    f"""WITH j AS (SELECT doc_id, 'doc: ' || doc_id || ' | body: body.lang: ' || coalesce(lang, 'None') || ' | body.text: ' || {q.words('text')}[1:400].array_to_string(' ') AS text
+  FROM documents WHERE doc_id % 7 <> 0),
+{small_windows_sql('j', 'doc_id', 1000, 50, 100)} SELECT doc_id, {WINDOW_COLUMNS} FROM wins""",
+)
+def json_document_chunks(spark, sf):
+    """Documents as JSON records, some of them cut off, in word windows of their flattened text."""
+    d = table(spark, sf, "documents")
+    body = F.array_join(F.slice(words(F.col("text")), 1, 400), " ")
+    record = F.to_json(F.struct(F.col("doc_id").alias("doc"), F.struct("lang", body.alias("text")).alias("body")), {"ignoreNullFields": "false"})
+    cut = F.when(F.col("doc_id") % 7 == 0, F.substr(record, F.lit(1), F.length(record) - 1)).otherwise(record)
+    return json_chunks(d.select("doc_id", cut.alias("data")), ["doc_id"])
 
 
 @query(

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.training import benchmark_summary, qa_pairs, with_split
-from ..session import shared_folder, table
+from ..session import ROCKSDB, shared_folder, table
 from ..sources.readers import discover_files, read_credits, read_extractions, read_text_files
 from ..sources.writers import write_chunks, write_training, write_xml
-from ..streaming.ingest import dedupe_stream, ingest_chunks, stream_documents
+from ..streaming.ingest import current_scores, dedupe_stream, follow_scores, ingest_chunks, stream_documents
 from .evidence import QA_SQL, SPLIT, mention_pages
 from .registry import query
 
@@ -90,14 +90,18 @@ def xml_files(spark, sf):
     )
 
 
-@query("stream_ingest", "SELECT text_md5, min(doc_id) AS doc_id FROM (SELECT md5(text) AS text_md5, doc_id FROM documents) GROUP BY ALL")
+@query(
+    "stream_ingest",
+    "SELECT md5(text) AS text_md5, arg_min(doc_id, (doc_id % 2) * 1000000000000 + doc_id) AS doc_id FROM documents GROUP BY ALL",
+)
 def stream_ingest(spark, sf):
-    """All documents arrive as a stream; each text is stored once, under the least id of its batch."""
+    """All documents arrive as a stream, the odd ones later; each text is stored once, under the least id of its first batch."""
     out = shared_folder(spark)
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
-    docs.write.json(f"{out}/in")
     whole = lambda df: df.select("doc_id", "source", "text", F.lit(0).alias("chunk_index"), F.md5("text").alias("chunk_hash"))
-    ingest_chunks(stream_documents(spark, f"{out}/in"), f"{out}/store", f"{out}/offsets", whole).awaitTermination()
+    for part in (0, 1):
+        docs.filter(F.col("doc_id") % 2 == part).write.mode("append").json(f"{out}/in")
+        ingest_chunks(stream_documents(spark, f"{out}/in"), f"{out}/store", f"{out}/offsets", whole).awaitTermination()
     return spark.read.parquet(f"{out}/store").select("text_md5", "doc_id")
 
 
@@ -111,3 +115,27 @@ def stream_dedupe(spark, sf):
     once = dedupe_stream(stream, lateness="3650 days").select(F.md5("text").alias("text_md5"))
     once.writeStream.option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).format("parquet").start(f"{out}/out").awaitTermination()
     return spark.read.schema("text_md5 STRING").parquet(f"{out}/out").groupBy("text_md5").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "latest_score_stream",
+    """WITH u AS (SELECT o_custkey AS project_id, o_orderkey AS update_no, o_totalprice::DOUBLE AS points FROM orders)
+SELECT project_id, count(*) + count(*) FILTER (update_no % 16 = 3) AS n_updates, arg_max(points, update_no) AS total_points FROM u GROUP BY ALL""",
+)
+def latest_score_stream(spark, sf):
+    """Orders as score updates of their customers: four batches, later numbers partly first, some updates twice."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    out = shared_folder(spark)
+    n = F.col("o_orderkey")
+    updates = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("project_id"), n.alias("update_no"), F.col("o_totalprice").cast("double").alias("points"),
+        ((n * 7) % 4).cast("int").alias("part"),
+    )
+    twice = updates.filter(F.col("update_no") % 16 == 3).withColumn("part", F.lit(3))
+    every = updates.unionByName(twice)
+    schema = "project_id LONG, update_no LONG, points DOUBLE"
+    for part in range(4):
+        every.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{out}/in")
+        follow_scores(stream, f"{out}/states", f"{out}/offsets").awaitTermination()
+    return current_scores(spark, f"{out}/states")

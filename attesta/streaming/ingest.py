@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructField, StructType, DoubleType, LongType
 
 from ..operators.chunking import word_windows
+from ..session import written
 
 
 def stream_documents(spark: SparkSession, path: str, schema: str = "doc_id LONG, source STRING, text STRING") -> DataFrame:
@@ -19,38 +21,51 @@ def stream_documents(spark: SparkSession, path: str, schema: str = "doc_id LONG,
     return spark.readStream.schema(schema).json(path)
 
 
+BUCKETS = 64  # parts of a chunk store, by the first six bits of the text's MD5
+
+
+def bucket_of(text_md5: Column) -> Column:
+    return F.floor(F.conv(F.substring(text_md5, 1, 2), 16, 10).cast("int") * BUCKETS / 256).cast("int")
+
+
 def ingest_chunks(
     docs: DataFrame, out: str, checkpoint: str, chunker: Callable[[DataFrame], DataFrame] | None = None
 ) -> StreamingQuery:
     """Chunk whatever has arrived and append chunks that the store does not hold yet.
 
-    Each batch writes to a folder named by its number, so a repeated batch replaces its own output.
+    The store lies in buckets of the texts' hashes: a batch reads the hashes of the buckets that it touches
+    (`stored_hashes`), not of all. Each batch writes to a folder named by its number, so a repeated batch
+    replaces its own output.
     """
     cut = chunker or (lambda df: word_windows(df, ["doc_id", "source"]))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         # one row per text inside the batch, aggregated by hash before the shuffle
         fresh = cut(batch).groupBy(F.md5("text").alias("text_md5")).agg(
             F.min(F.struct("doc_id", "chunk_index", "source", "chunk_hash", "text")).alias("c")
-        ).select("text_md5", "c.*")
-        known = _stored(spark, out, batch_id)
-        if known is not None:
-            fresh = fresh.join(known, "text_md5", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        ).select("text_md5", "c.*", bucket_of(F.col("text_md5")).alias("bucket"))
+        if batch_id > 0:
+            fresh = written(fresh)
+            touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+            known = stored_hashes(batch.sparkSession, out, touched, batch_id)
+            if known is not None:
+                fresh = fresh.join(known, "text_md5", "left_anti")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={batch_id}")
 
     return (
         docs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def _stored(spark: SparkSession, out: str, before: int) -> DataFrame | None:
-    """Hashes of the chunks written by earlier batches; none on the first run."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(out)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop) or not fs.listStatus(hadoop):
-        return None
-    return spark.read.parquet(out).filter(F.col("batch") < before).select("text_md5")
+def stored_hashes(spark: SparkSession, out: str, buckets: list[int], before: int) -> DataFrame | None:
+    """Hashes of the chunks that earlier batches wrote to these buckets; None if nothing was written yet."""
+    try:
+        store = spark.read.schema("text_md5 string, batch bigint, bucket int").parquet(out)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+    return store.filter((F.col("batch") < before) & F.col("bucket").isin(buckets)).select("text_md5")
 
 
 def dedupe_stream(chunks: DataFrame, time: str = "ts", lateness: str = "1 hour") -> DataFrame:
@@ -86,8 +101,26 @@ class _LatestScore(StatefulProcessor):
 def latest_scores(updates: DataFrame) -> DataFrame:
     """Stream of updates(project_id, update_no, points) -> newest score per project after each batch.
 
-    The session needs the RocksDB state store (`session.ROCKSDB`), as `session.build_session` sets it.
+    A project's newest update is that of the greatest number, however late others come; every row counts
+    as an update. The session needs the RocksDB state store (`session.ROCKSDB`).
     """
     return updates.groupBy("project_id").transformWithStateInPandas(
         statefulProcessor=_LatestScore(), outputStructType=LATEST, outputMode="Update", timeMode="None"
     )
+
+
+def follow_scores(updates: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write what `latest_scores` says after each batch to `out`, a folder per batch; `current_scores` reads it."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    states = latest_scores(updates).writeStream.outputMode("update").foreachBatch(keep)
+    return states.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_scores(spark: SparkSession, out: str) -> DataFrame:
+    """(project_id, n_updates, total_points): the last state of each project."""
+    states = spark.read.parquet(out)
+    last = F.max_by(F.struct("n_updates", "total_points"), "batch").alias("s")
+    return states.groupBy("project_id").agg(last).select("project_id", "s.*")

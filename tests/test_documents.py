@@ -63,6 +63,9 @@ def test_pages_sheets_json_and_router(spark):
     j = spark.createDataFrame([(doc,)], "data string")
     assert j.select(json_text("data").alias("t")).first()["t"] == "a: a.b: 1 | a.c: True | a.c[1].d: None | e: x"
     assert json_chunks(j.withColumn("data", F.lit('{"k": "' + body + '"}')), []).count() == 1
+    odd = ['{"a": ', "", None, "[]", "7", '[1, {"a": {}}, []]', "[" * 100_000]
+    texts = [r["t"] for r in spark.createDataFrame([(x,) for x in odd], "data string").select(json_text("data").alias("t")).collect()]
+    assert texts == [None, None, None, "", "7", "1 | [1].a:  | ", None]
     rec = spark.createDataFrame(
         [("p", "pdf", [(1, body)], None, None, None), ("x", "excel", None, [("s", [{"a": body}])], None, None),
          ("j", "json", None, None, body, None), ("t", "text", None, None, None, body), ("i", "image", None, None, body, body)],

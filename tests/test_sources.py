@@ -17,7 +17,7 @@ from attesta.plans.scorecards import (
 from attesta.session import table
 from attesta.sources import readers as rd
 from attesta.sources import writers as wr
-from attesta.streaming.ingest import dedupe_stream, ingest_chunks, latest_scores, stream_documents
+from attesta.streaming.ingest import dedupe_stream, ingest_chunks, latest_scores, stored_hashes, stream_documents
 from attesta.streaming.telemetry import session_counts, window_counts
 
 
@@ -107,7 +107,15 @@ def test_streaming_ingest_keeps_each_text_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == 1
     (src / "b.json").write_text(json.dumps({"doc_id": 3, "source": "s", "text": body}) + "\n" + json.dumps({"doc_id": 4, "source": "s", "text": body + "new"}) + "\n")
     ingest_chunks(stream_documents(spark, str(src)), out, ck).awaitTermination()
-    assert sorted(r["doc_id"] for r in spark.read.parquet(out).collect()) == [1, 4]
+    stored = spark.read.parquet(out).collect()
+    assert sorted(r["doc_id"] for r in stored) == [1, 4]
+    # a bucket of the store is a folder: only those asked for are read
+    assert len({r["bucket"] for r in stored}) == 2
+    known = stored_hashes(spark, out, [stored[0]["bucket"]], 9)
+    assert [r["text_md5"] for r in known.collect()] == [stored[0]["text_md5"]]
+    assert len(known.select(F.input_file_name()).distinct().collect()) == 1
+    assert stored_hashes(spark, out, [stored[0]["bucket"], stored[1]["bucket"]], 1).count() == 1  # of batch 0 only
+    assert stored_hashes(spark, str(tmp_path / "nowhere"), [1], 9) is None
 
 
 def _stream(spark, path, schema):
