@@ -89,6 +89,15 @@ def match_credit(targets: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
+def with_tracts(sites: DataFrame, tracts: DataFrame, tract: str = "tract") -> DataFrame:
+    """sites(tract, …) with the columns of their row of tracts(tract, …), one per tract; nulls where there is none.
+
+    Most sites may lie in a few tracts: these are looked up in a small copy, the others by a join.
+    """
+    counts = sites.filter(F.col(tract).isNotNull()).groupBy(tract).agg(F.count(F.lit(1)).alias("_n"))
+    return join_to_unique(sites, tracts.join(counts, tract), tract, "_n", [c for c in sites.columns if c != tract], how="left")
+
+
 def template_key(code: Column, name: Column) -> Column:
     """Lookup key: lower-cased code, or name where the code is blank."""
     return F.lower(F.coalesce(F.nullif(F.trim(code), F.lit("")), F.nullif(F.trim(name), F.lit(""))))

@@ -14,7 +14,7 @@ from ..session import shared_folder, table, written
 from . import sqltext as q
 from .inputs import TOPIC_QUERIES_SQL, topic_queries, window_chunks
 from .registry import QUERIES, SQL, query
-from .searching import FULL, _index, _worded, search_sql
+from .searching import FULL, WORDED_CHUNKS_SQL, _index, _worded, search_sql
 
 DIM = "('0x' || substr(md5(term), 1, 5))::INT"
 
@@ -128,3 +128,45 @@ def stored_index_search(spark, sf):
     write_index(search_index(written(window_chunks(spark, sf))), out)
     hits = search(topic_queries(spark, sf), read_index(spark, out), 5)
     return hits.select("query_id", "chunk_id", "credit_id", "section", "score", "rank")
+
+
+@query(
+    "assistant_templates",
+    f"""WITH {search_sql(TOPIC_QUERIES_SQL, 4)},
+ev AS (SELECT conv_id || '/' || turn AS evidence_id, conv_id % 50 AS query_id FROM conversations),
+fa AS (SELECT query_id::BIGINT AS query_id, arg_min(credit_code, rank) AS primary_credit FROM found GROUP BY ALL),
+bk AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'EN' WHEN 1 THEN 'FR' ELSE 'DE' END AS code, arg_max({{'n': p_name, 'i': p_type, 'b': p_brand}}, p_partkey) AS c FROM part GROUP BY ALL)
+SELECT evidence_id, coalesce(primary_credit, '-') AS primary_credit, CASE WHEN primary_credit IS NULL THEN '-' WHEN c IS NULL THEN 'default' ELSE 'exact' END AS how,
+ CASE WHEN primary_credit IS NULL THEN '-' WHEN c IS NULL THEN 'LEED Credit – Unspecified' ELSE code || ' – ' || c.n END AS title,
+ CASE WHEN primary_credit IS NULL THEN '-' WHEN c IS NULL THEN 'Document how the project meets the stated intent of this credit.' ELSE c.i END AS intent,
+ CASE WHEN primary_credit IS NULL THEN '-' WHEN c IS NULL THEN 'List the quantitative and qualitative requirements for this credit.' ELSE c.b END AS requirements
+FROM ev LEFT JOIN fa USING (query_id) LEFT JOIN bk ON bk.code = primary_credit""",
+)
+def assistant_templates(spark, sf):
+    """The evidence of `assistant_analysis` with the template of its primary credit; parts stand for the catalogue."""
+    ev = table(spark, sf, "conversations").select(
+        F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("evidence_id"), (F.col("conv_id") % 50).alias("query_id"), "text"
+    )
+    k = F.col("p_partkey")
+    catalogue = table(spark, sf, "part").select(
+        k.alias("credit_no"), F.when(k % 3 == 0, "EN").when(k % 3 == 1, "FR").otherwise("DE").alias("credit_code"), F.col("p_name").alias("credit_name"),
+        F.col("p_type").alias("intent"), F.array("p_brand").alias("requirements"), F.lit(None).cast("array<string>").alias("documentation"),
+    )
+    out = analyze_evidence(topic_queries(spark, sf), ev, _index(spark, sf), catalogue, ["credit_no"], k=4)
+    t = lambda c: F.coalesce(F.col(f"template.{c}"), F.lit("-")).alias(c)
+    return out.select(
+        "evidence_id", F.coalesce("primary_credit", F.lit("-")).alias("primary_credit"), t("how"), t("title"), t("intent"),
+        F.coalesce(F.array_join("template.requirements", " ~ "), F.lit("-")).alias("requirements"),
+    )
+
+
+@query(
+    "deployment_search",
+    f"""WITH {search_sql(f"q AS (SELECT query_id::VARCHAR AS query_id, text FROM {_values(list(enumerate(DEPLOYMENT_QUERIES)))} v(query_id, text))", 5, chunks=WORDED_CHUNKS_SQL)}
+SELECT query_id::BIGINT AS query_id, chunk_id, credit_id, section, score, rank FROM found""",
+)
+def deployment_search(spark, sf):
+    """The questions asked after deployment, through the whole search."""
+    chunks = window_chunks(spark, sf).withColumn("text", _worded(F.col("text")))
+    hits = search(deployment_queries(spark).withColumn("query_id", F.col("query_id").cast("string")), search_index(written(chunks)), 5)
+    return hits.select(F.col("query_id").cast("bigint").alias("query_id"), "chunk_id", "credit_id", "section", "score", "rank")

@@ -269,6 +269,27 @@ def credit_metadata(spark, sf):
     )
 
 
+PATH_SQL = """CASE doc_id % 5 WHEN 0 THEN 'in/Form-' || doc_id || '.pdf' WHEN 1 THEN 'in/user_GUIDE.pdf' WHEN 2 THEN 'in/faq.txt'
+  WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN 'in/Addenda.pdf' ELSE 'in/addendum.pdf' END ELSE 'in/other.pdf' END"""
+
+
+@query(
+    "document_types",
+    f"""WITH d AS (SELECT doc_id, {PATH_SQL} AS path, CASE doc_id % 4 WHEN 0 THEN 'Prerequisite' WHEN 1 THEN 'LEED Credit' WHEN 2 THEN 'other' END AS kind FROM documents)
+SELECT doc_id, CASE WHEN kind = 'Prerequisite' THEN 'prerequisite' WHEN kind = 'LEED Credit' THEN 'credit' WHEN doc_id % 5 = 0 THEN 'form' WHEN doc_id % 5 = 1 THEN 'guide'
+  WHEN doc_id % 5 = 2 THEN 'faq' WHEN doc_id % 5 = 3 THEN 'addenda' ELSE 'credit' END AS doc_type FROM d""",
+)
+def document_types(spark, sf):
+    """The kind of a document from its record, else from its path."""
+    i = F.col("doc_id")
+    path = (
+        F.when(i % 5 == 0, F.concat(F.lit("in/Form-"), i.cast("string"), F.lit(".pdf"))).when(i % 5 == 1, "in/user_GUIDE.pdf").when(i % 5 == 2, "in/faq.txt")
+        .when((i % 5 == 3) & (i % 2 == 0), "in/Addenda.pdf").when(i % 5 == 3, "in/addendum.pdf").otherwise("in/other.pdf")
+    )
+    kind = F.when(i % 4 == 0, "Prerequisite").when(i % 4 == 1, "LEED Credit").when(i % 4 == 2, "other")
+    return table(spark, sf, "documents").select("doc_id", cr.doc_type(kind, path).alias("doc_type"))
+
+
 @query(
     "completeness_validation",
     f"""WITH {PART_SQL} SELECT credit_no, ((coalesce(credit_name, '') <> '')::INT + (coalesce(credit_code, '') <> '')::INT + (category IS NOT NULL)::INT + (coalesce(intent, '') <> '')::INT

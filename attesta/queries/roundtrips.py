@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..plans.training import benchmark_summary, qa_pairs, with_split
 from ..session import ROCKSDB, shared_folder, table
-from ..sources.readers import discover_files, read_credits, read_extractions, read_text_files
+from ..sources.readers import discover_files, read_credits, read_extractions, read_page_text, read_text_files
 from ..sources.writers import write_chunks, write_training, write_xml
 from ..streaming.ingest import current_scores, dedupe_stream, follow_scores, ingest_chunks, stream_documents
 from .evidence import QA_SQL, SPLIT, mention_pages
 from .registry import query
+from .sqltext import strip
 
 
 @query("chunk_store_files", "SELECT doc_id, source, md5(text) AS text_md5 FROM documents")
@@ -139,3 +140,25 @@ def latest_score_stream(spark, sf):
         stream = spark.readStream.schema(schema).parquet(f"{out}/in")
         follow_scores(stream, f"{out}/states", f"{out}/offsets").awaitTermination()
     return current_scores(spark, f"{out}/states")
+
+
+@query(
+    "page_text_files",
+    """WITH c AS (SELECT conv_id // 4 AS k, string_agg('=== PAGE ' || turn || ' ===' || chr(10) || text || chr(10), '' ORDER BY conv_id, turn) AS content FROM conversations GROUP BY ALL),
+p AS (SELECT k, unnest(string_split(content, '=== PAGE')) AS piece, generate_subscripts(string_split(content, '=== PAGE'), 1) - 1 AS page FROM c)
+SELECT k, page, """
+    + strip("piece")
+    + " AS text FROM p WHERE page > 0 AND "
+    + strip("piece")
+    + " <> ''",
+)
+def page_text_files(spark, sf):
+    """Four conversations to a text file, a page mark before each turn, read line by line."""
+    out = shared_folder(spark)
+    turn = F.concat(F.lit("=== PAGE "), F.col("turn").cast("string"), F.lit(" ===\n"), F.col("text"))
+    turns = table(spark, sf, "conversations").select(F.floor(F.col("conv_id") / 4).alias("k"), "conv_id", "turn", turn.alias("text"))
+    files = turns.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "text"))).alias("t"))
+    value = F.array_join(F.transform("t", lambda r: r["text"]), "\n")
+    files.select("k", value.alias("value")).write.partitionBy("k").text(out)
+    pages = read_page_text(spark, f"{out}/k=*")
+    return pages.select(F.regexp_extract("source_file", r"/k=(\d+)/", 1).cast("bigint").alias("k"), "page", "text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.matching import keyword_lookup, match_credit, stops_near_sites
+from ..operators.matching import keyword_lookup, match_credit, stops_near_sites, with_tracts
 from ..plans.reports import compliance_reports, location_reports, project_results
 from ..plans.scorecards import (
     ENERGY_CREDIT, buildings_to_projects, compliance_summary, diverse_uses, energy_scores, equipment_with_defaults,
@@ -117,9 +117,10 @@ def tract_eligibility(spark, sf):
     tracts = table(spark, sf, "nation").select(
         key.alias("tract"), (F.col("n_regionkey") * 20000 + 30000).alias("median_income"), (key / 200.0).alias("poverty_rate"), (key / 150.0).alias("unemployment_rate")
     )
-    sites = table(spark, sf, "supplier").join(tracts, F.col("s_nationkey") + F.col("s_suppkey") % 3 == F.col("tract"), "left")
-    return sites.select(
-        F.col("s_suppkey").alias("site_id"), F.coalesce("tract", F.lit(-1)).alias("tract"),
+    sites = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site_id"), (F.col("s_nationkey") + F.col("s_suppkey") % 3).alias("tract"))
+    known = F.col("median_income").isNotNull()
+    return with_tracts(sites, tracts).select(
+        "site_id", F.when(known, F.col("tract")).otherwise(F.lit(-1)).alias("tract"),
         high_priority(F.col("median_income"), F.col("poverty_rate"), F.col("unemployment_rate")).alias("eligible"),
     )
 

@@ -11,6 +11,7 @@ from ..plans.evaluation import (
 )
 from ..plans.evidence import citation_blocks, citations, context_blocks, key_facts, prompts
 from ..plans.index import StoredIndex, search_index
+from ..plans.reports import credit_reports
 from ..plans.search import (
     analyze_projects, credit_queries, guidance, merge_second_source, route_sources, search, source_labels,
 )
@@ -402,3 +403,58 @@ def index_add_remove(spark, sf):
     index.remove(docs.filter(F.col("chunk_id") % 5 == 1))
     asked = passages(spark, sf).withColumn("source", F.explode(F.array(F.lit("all"), F.lit("src1"))))
     return bm25_search(asked, index.read().lexical, 5).select("query_id", "source", "chunk_id", "score", "rank")
+
+
+INTENT = "replace(text, ' that ', chr(10) || 'Intent: ')"
+
+
+@query(
+    "credit_intents",
+    f"""WITH {lexical_hits_sql(3)}, t AS (SELECT query_id, rank, {INTENT} AS t FROM lh),
+i AS (SELECT query_id, rank, nullif(trim(replace(string_split(substr(t, instr(lower(t), 'intent:')), chr(10))[1], 'Intent:', '')), '') AS intent FROM t WHERE instr(lower(t), 'intent:') > 0)
+SELECT query_id, arg_min(intent, rank) FILTER (intent IS NOT NULL) AS intent FROM (SELECT DISTINCT query_id FROM lh) LEFT JOIN i USING (query_id) GROUP BY ALL""",
+)
+def credit_intents(spark, sf):
+    """Intent lines of the best hits; a common word stands for the start of such a line."""
+    hits = _lexical_hits(spark, sf, 3).withColumn("text", F.replace("text", F.lit(" that "), F.lit("\nIntent: ")))
+    return key_facts(hits).select("query_id", "intent")
+
+
+GUIDED_SQL = f"""{search_sql(TOPIC_QUERIES_SQL, 3)}, lh AS (SELECT query_id::BIGINT AS query_id, rank, {MARKED} AS text FROM found),
+{_top3('recommendations', ['recommend', 'should', 'consider', 'implement'], ['recommend', 'should', 'consider'])},
+{_top3('guidance', ['requirement', 'must', 'prerequisite', 'comply'], ['requirement', 'must', 'prerequisite'])}"""
+
+
+def _guided(spark, sf):
+    hits = search(topic_queries(spark, sf), _index(spark, sf), 3)
+    return guidance(hits.withColumn("text", marked(F.col("text"))), ["query_id"])
+
+
+@query(
+    "guidance_search",
+    f"""WITH {GUIDED_SQL} SELECT query_id, coalesce(recommendations, '') AS recommendations, coalesce(guidance, '') AS guidance
+FROM (SELECT DISTINCT query_id FROM lh) LEFT JOIN recommendations USING (query_id) LEFT JOIN guidance USING (query_id)""",
+)
+def guidance_search(spark, sf):
+    """Recommendations and guidance from the hits of the whole search."""
+    return _guided(spark, sf).select(
+        "query_id", F.array_join("recommendations", " ~ ").alias("recommendations"), F.array_join("guidance", " ~ ").alias("guidance")
+    )
+
+
+@query(
+    "credit_reports",
+    f"""WITH {GUIDED_SQL}, p AS (SELECT c_custkey AS project_id, c_name, c_mktsegment, c_custkey % 64 AS query_id, CASE WHEN c_custkey % 2 = 0 THEN 'EA' ELSE 'WE' END AS credit_code FROM customer)
+SELECT project_id, credit_code, '# ' || credit_code || ' Credit Analysis Report' || chr(10) || '**Project:** ' || c_name || chr(10) || '**Project Type:** ' || c_mktsegment || chr(10)
+ || coalesce(chr(10) || '### Recommendations' || chr(10) || '- ' || replace(recommendations, ' ~ ', chr(10) || '- ') || chr(10), '')
+ || coalesce(chr(10) || '### Compliance Guidance' || chr(10) || '- ' || replace(guidance, ' ~ ', chr(10) || '- ') || chr(10), '') AS report
+FROM p LEFT JOIN recommendations USING (query_id) LEFT JOIN guidance USING (query_id)""",
+)
+def credit_reports_query(spark, sf):
+    """Customers as projects, each with a report on the topic it asks for."""
+    k = F.col("c_custkey")
+    projects = table(spark, sf, "customer").select(
+        (k % 64).alias("query_id"), k.alias("project_id"), F.col("c_name").alias("project_name"), F.col("c_mktsegment").alias("project_type"),
+        F.when(k % 2 == 0, "EA").otherwise("WE").alias("credit_code"),
+    )
+    return credit_reports(projects, written(_guided(spark, sf)))

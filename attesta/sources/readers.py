@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import running
+from ..session import written
 from .schemas import BUILDING, CHUNK_LINE, CREDIT, EXTRACTION
 
 
@@ -80,9 +81,29 @@ def split_page_marks(df: DataFrame, keep: list[str], content: str = "content", m
     )
 
 
-def read_page_text(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("content"))
-    return split_page_marks(whole, ["source_file"])
+def read_page_text(spark: SparkSession, path: str, mark: str = "=== PAGE") -> DataFrame:
+    """(source_file, page, text) of text files with page marks; what stands before the first mark is dropped.
+
+    Files are read line by line, large ones in splits: marks are counted inside each split, and only one sum
+    per split is carried on (`skew.running`). A page is the largest thing that comes together.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.split("value", mark).alias("pieces"),
+    )
+    # ids of lines ascend inside a split; they are written, so that all steps see the same ones
+    counted = running(
+        written(lines), ["source_file"], [F.col("block")], ["at"], sums={"before": F.size("pieces") - 1}, inclusive=False
+    )
+    pieces = counted.select("source_file", "block", "at", "before", F.posexplode("pieces").alias("i", "piece"))
+    body = F.array_sort(F.collect_list(F.struct("block", "at", "piece")))
+    joined = F.array_join(F.transform(body, lambda r: r["piece"]), "\n")
+    return (
+        pieces.groupBy("source_file", (F.col("before") + F.col("i")).alias("page"))
+        .agg(joined.alias("text")).filter("page > 0")
+        .select("source_file", F.col("page").cast("int").alias("page"), F.regexp_replace("text", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "").alias("text"))
+        .filter("text <> ''")
+    )
 
 
 def meter_months(rows: DataFrame, keep: list[str], values: str) -> DataFrame:

@@ -49,7 +49,29 @@ def test_files_text_and_pages(spark, tmp_path):
     assert {r["content"] for r in rd.read_text_files(spark, str(tmp_path)).collect()} == {"é"}
     (tmp_path / "p.txt").write_text("head\n=== PAGE 1 ===\none\n=== PAGE 2 ===\n")
     got = rd.read_page_text(spark, str(tmp_path / "p.txt")).collect()
-    assert [(r["page"], r["text"]) for r in got] == [(1, "1 ===\none"), (2, "2 ===")]
+    assert sorted((r["page"], r["text"]) for r in got) == [(1, "1 ===\none"), (2, "2 ===")]
+
+
+def test_page_marks_of_split_files(spark, tmp_path):
+    rng = random.Random(6)
+    texts = {}
+    for name in "ab":
+        lines = [rng.choice(["=== PAGE", "x === PAGE y === PAGE", "", "  words é of a line", "more"]) for _ in range(300)]
+        texts[name] = "\n".join(lines) + "\n"
+        (tmp_path / f"{name}.txt").write_text(texts[name], encoding="utf-8")
+    whole = spark.createDataFrame(list(texts.items()), "source_file string, content string")
+    want = sorted((r["source_file"], r["page"], r["text"]) for r in rd.split_page_marks(whole, ["source_file"]).collect())
+    settings = {"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = rd.read_page_text(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["source_file"][-5], r["page"], r["text"]) for r in got) == want and len(want) > 50
 
 
 def test_meters_sheets_and_energy(spark, tmp_path):
