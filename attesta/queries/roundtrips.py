@@ -80,15 +80,15 @@ def training_files(spark, sf):
     return pairs.select(F.lit("qa").alias("kind"), "split", "n", "n_distinct").union(total.select(F.lit("benchmark"), F.lit("train"), "train_size", "test_size"))
 
 
-@query("xml_files", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("xml_files", "SELECT c_custkey, c_name, c_nationkey FROM customer")
 def xml_files(spark, sf):
     out = shared_folder(spark)
-    write_xml(table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"), out)
-    schema = "n_nationkey LONG, n_name STRING, n_regionkey LONG"
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    write_xml(rows, out)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = "c_custkey LONG, c_name STRING, c_nationkey LONG"
     read = spark.read.format("xml").option("rowTag", "extraction").schema(schema).load(out)
-    return read.withColumn("n_nationkey", F.col("n_nationkey").cast(table(spark, sf, "nation").schema["n_nationkey"].dataType)).withColumn(
-        "n_regionkey", F.col("n_regionkey").cast(table(spark, sf, "nation").schema["n_regionkey"].dataType)
-    )
+    return read.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
 
 
 @query(

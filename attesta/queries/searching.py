@@ -111,15 +111,15 @@ def routed_lexical_search(spark, sf):
     return bm25_search(routed, lexical_index(docs, all_source="all"), 5).select("query_id", "source", "chunk_id", "score", "rank")
 
 
-PROJECTS_SQL = """proj AS (SELECT n_nationkey AS project_id, CASE n_regionkey WHEN 0 THEN 'NC' WHEN 1 THEN 'CS' WHEN 2 THEN 'Schools' ELSE 'NC' END AS project_type,
-  CASE n_nationkey % 3 WHEN 0 THEN ['EA', 'WE'] WHEN 1 THEN ['MR'] ELSE ['SS', 'site'] END AS targets FROM nation),
+PROJECTS_SQL = """proj AS (SELECT s_suppkey AS project_id, CASE s_nationkey % 5 WHEN 0 THEN 'NC' WHEN 1 THEN 'CS' WHEN 2 THEN 'Schools' ELSE 'NC' END AS project_type,
+  CASE s_suppkey % 3 WHEN 0 THEN ['EA', 'WE'] WHEN 1 THEN ['MR'] ELSE ['SS', 'site'] END AS targets FROM supplier),
 pq AS (SELECT project_id || '/' || (generate_subscripts(targets, 1) - 1) AS query_id, project_id, unnest(targets) AS credit_code, project_type FROM proj),
 q AS (SELECT query_id, credit_code || ' credit requirements for ' || project_type || ' projects' AS text FROM pq)"""
 
 
-def nation_projects(spark, sf):
-    k, r = F.col("n_nationkey"), F.col("n_regionkey")
-    return table(spark, sf, "nation").select(
+def supplier_projects(spark, sf):
+    k, r = F.col("s_suppkey"), F.col("s_nationkey") % 5
+    return table(spark, sf, "supplier").select(
         k.alias("project_id"),
         F.when(r == 1, "CS").when(r == 2, "Schools").when(r == 0, "NC").alias("project_type"),
         F.when(k % 3 == 0, F.array(F.lit("EA"), F.lit("WE"))).when(k % 3 == 1, F.array(F.lit("MR")))
@@ -129,7 +129,7 @@ def nation_projects(spark, sf):
 
 @query("target_queries", f"WITH {PROJECTS_SQL} SELECT query_id, project_id, credit_code, text FROM pq JOIN q USING (query_id)")
 def target_queries(spark, sf):
-    return credit_queries(nation_projects(spark, sf))
+    return credit_queries(supplier_projects(spark, sf))
 
 
 # the document words that occur in the queries are few, so articles are renamed to query words
@@ -154,7 +154,7 @@ WORDED_CHUNKS_SQL = WINDOW_CHUNKS_SQL.replace(
 )
 def document_analyze(spark, sf):
     chunks = window_chunks(spark, sf).withColumn("text", _worded(F.col("text")))
-    a = analyze_projects(nation_projects(spark, sf), search_index(written(chunks.drop("credit_code"))), 3)
+    a = analyze_projects(supplier_projects(spark, sf), search_index(written(chunks.drop("credit_code"))), 3)
     return a.select(
         "project_id", "credit_code", F.coalesce("chunk_id", F.lit("-")).alias("chunk_id"), F.coalesce("score", F.lit(0.0)).alias("score"),
         F.coalesce("rank", F.lit(0)).alias("rank"), "compliance_status",
