@@ -15,22 +15,24 @@ def join_to_unique(
     """Join `left` to `right`, which has one row per key and the number of left rows in `count_col`.
 
     Hot keys are matched through a broadcast that holds fewer than HOT_SHARE rows whatever the data
-    size; their left rows are then salted so that they do not meet in one shuffle partition. All
-    other keys go through an ordinary shuffle join.
+    size; their left rows (and those without a key) are then salted so that they do not meet in one shuffle
+    partition. All other keys go through an ordinary shuffle join.
     """
     payload = [c for c in right.columns if c not in (key, count_col)]
     total = right.agg(F.sum(count_col)).scalar()
     is_hot = F.col(count_col) * HOT_SHARE > total
     packed = F.struct(*payload)
     hot = right.filter(is_hot).select(key, packed.alias("_hot"))
-    cold = right.filter(~is_hot).select(F.col(key).alias("_k"), F.lit(0).alias("_s"), packed.alias("_cold"))
+    # not a literal: that would drop out of the join keys, and hot rows would be shuffled by their key alone
+    zero = F.least(F.col(count_col).cast("long"), F.lit(0).cast("long"))
+    cold = right.filter(~is_hot).select(F.col(key).alias("_k"), zero.alias("_s"), packed.alias("_cold"))
 
     tagged = left.join(F.broadcast(hot), key, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)) + 1).otherwise(F.lit(0)),
+        F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long")),
     )
     joined = tagged.join(
-        cold, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s").cast("long")), "left"
+        cold, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left"
     ).withColumn("_hit", F.coalesce("_hot", "_cold"))
     if how == "inner":
         joined = joined.filter(F.col("_hit").isNotNull())
