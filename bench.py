@@ -59,7 +59,8 @@ def main() -> None:
     registry.load_all()
     spark = build_session(f"local[{cpus}]", cpus, "bench")
     spark.sparkContext.setLogLevel("ERROR")
-    # start-up of the JVM, the file readers and code generation is not part of any query
+    # start-up of the JVM, the file readers, code generation and Python workers is not part of any query
+    spark.range(8 * cpus).repartition(cpus).mapInArrow(lambda batches: batches, "id long").write.format("noop").mode("overwrite").save()
     registry.QUERIES["query_expansion"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
