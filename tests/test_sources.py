@@ -185,6 +185,17 @@ def test_running_state_per_project(spark, tmp_path):
     assert last == {1: (3, 9.0), 2: (1, 1.0)}
 
 
+def test_scores_without_number(spark, tmp_path):
+    """An update without a number counts, and is never the newest; no project is a call of Python."""
+    for i, rows in enumerate([[(1, None, 5.0), (2, 2, 4.0)], [(1, 2, 7.0), (2, None, 1.0), (2, 1, 3.0)]]):
+        (tmp_path / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("project_id", "update_no", "points"), r))) for r in rows))
+        time.sleep(0.05)
+    scores = latest_scores(_stream(spark, str(tmp_path), "project_id long, update_no long, points double"))
+    got = _drain(scores, "sn", "update")
+    last = {r["project_id"]: (r["n_updates"], r["total_points"]) for r in sorted(got, key=lambda r: r["n_updates"])}
+    assert last == {1: (2, 7.0), 2: (3, 4.0)}
+
+
 def test_score_bands(spark):
     df = spark.createDataFrame([(360, 360, 75), (360, 100, 90), (72, 30, 49), (71, 300, 50)], "t int, w int, s int")
     got = df.select(transit_points(F.col("t"), F.col("w")).alias("t"), walk_points(F.col("s")).alias("s")).collect()
