@@ -17,7 +17,7 @@ from .common import map_batches
 from .components import components
 
 CHECKED = 256  # bits over which distances are verified
-CROWD = 4  # nodes of a point that more of them name meet its first node instead of each other
+CROWD = 4  # nodes of a point; those of a point that more of them name are compared by `_crowd_links`
 
 
 def bit_share(similarity: float) -> float:
@@ -98,14 +98,37 @@ def _points(width: int) -> Column:
     return F.flatten(F.transform(own, lambda s: F.transform(flips, lambda m: s.bitwiseXOR(m))))
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meetings(batches: Iterator[pa.RecordBatch], points: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows (point, node) sorted by both -> (u, v), u < v: all pairs of a point named by few nodes; of a crowded
-    one each node with the first. Runs may go over batches; little is held."""
+    one each node with the first. Runs may go over batches; little is held.
+
+    With `points` a third column names the crowded point, so that all of its nodes can be told; null for others.
+    """
     held_k, held_v = np.empty(0, np.int64), np.empty(0, np.int64)
     crowd: tuple[int, int] | None = None  # point and first node of a crowded run that goes on
 
-    def complete(k: np.ndarray, v: np.ndarray, sizes: np.ndarray) -> tuple[list, list]:
-        us, vs = [], []
+    def found(us: list, vs: list, at: list) -> Iterator[pa.RecordBatch]:
+        if not us:
+            return
+        both = np.stack((np.concatenate(us), np.concatenate(vs)), axis=1)
+        at = np.concatenate([np.full(len(u), p) for u, p in zip(us, at, strict=True)])
+        for of_few in (True, False):
+            some = (at < 0) == of_few
+            if not points:
+                some = np.full(len(at), of_few)
+            own = both[some]
+            if not len(own):
+                continue
+            if of_few:
+                own = np.unique(own, axis=0)
+                own = own[own[:, 0] != own[:, 1]]
+            columns = [pa.array(own[:, 0]), pa.array(own[:, 1])]
+            if points:
+                columns.append(pa.nulls(len(own), pa.int64()) if of_few else pa.array(at[some]))
+            yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "point"][: len(columns)])
+
+    def complete(k: np.ndarray, v: np.ndarray, sizes: np.ndarray) -> tuple[list, list, list]:
+        us, vs, ps = [], [], []
         few = np.repeat(sizes <= CROWD, sizes)
         for d in range(1, CROWD):
             if d >= len(k):
@@ -115,22 +138,26 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             us.append(v[at])
             vs.append(v[at + d])
+            ps.append(-1)
         ends = np.cumsum(sizes)
         for i in np.flatnonzero(sizes > CROWD):
             a, b = ends[i] - sizes[i], ends[i]
             us.append(np.full(b - a - 1, v[a]))
             vs.append(v[a + 1 : b])
-        return us, vs
+            ps.append(k[a])
+        return us, vs, ps
 
     for batch in batches:
         k, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         us: list = []
         vs: list = []
+        ps: list = []
         if crowd is not None and len(k):
             n = int(np.searchsorted(k, crowd[0], "right"))
             if n:
                 us.append(np.full(n, crowd[1]))
                 vs.append(v[:n])
+                ps.append(crowd[0])
                 k, v = k[n:], v[n:]
             if len(k):
                 crowd = None
@@ -139,34 +166,90 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(k):
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             last = starts[-1]
-            u, w = complete(k[:last], v[:last], np.diff(starts))
+            u, w, p = complete(k[:last], v[:last], np.diff(starts))
             us += u
             vs += w
+            ps += p
             if len(k) - last > CROWD:
-                u, w = complete(k[last:], v[last:], np.array([len(k) - last]))
+                u, w, p = complete(k[last:], v[last:], np.array([len(k) - last]))
                 us += u
                 vs += w
+                ps += p
                 crowd = (int(k[-1]), int(v[last]))
             else:
                 held_k, held_v = k[last:], v[last:]
-        if us:
-            both = np.unique(np.stack((np.concatenate(us), np.concatenate(vs)), axis=1), axis=0)
-            both = both[both[:, 0] != both[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+        yield from found(us, vs, ps)
     if len(held_k) > 1:
-        us, vs = complete(held_k, held_v, np.array([len(held_k)]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+        yield from found(*complete(held_k, held_v, np.array([len(held_k)])))
+
+
+def _spanning(bits: np.ndarray, most64: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (u, v) of links that connect all rows of `bits` (n x 4 words) which a chain of near rows connects.
+
+    Near: at most `most64` differing bits in the first word and `most` in all four. Every row that was reached
+    is compared with all that were not, so nothing is left out; a group of n near rows costs about n comparisons
+    and gives n - 1 links.
+    """
+    left = np.arange(len(bits))
+    us, vs = [], []
+    while len(left) > 1:
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            one = reached.pop()
+            near = np.bitwise_count(bits[left, 0] ^ bits[one, 0]) <= most64
+            at = np.flatnonzero(near)
+            far = np.bitwise_count(bits[left[at]] ^ bits[one]).sum(axis=1, dtype=np.int64) > most
+            near[at[far]] = False
+            found = left[near]
+            us += [one] * len(found)
+            vs += found.tolist()
+            reached += found.tolist()
+            left = left[~near]
+    return np.array(us, np.int64), np.array(vs, np.int64)
+
+
+def _crowd_links(crowds: DataFrame, nodes: DataFrame, most64: int, most: int) -> DataFrame:
+    """(u, v) of crowds(point, node): links that leave all nodes of a point connected that its near pairs connect."""
+    own = crowds.join(nodes.select("node", "f0", "f1", "f2", "f3"), "node").select("point", "node", "f0", "f1", "f2", "f3")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # the nodes of one point
+
+        def linked() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            u, v = _spanning(np.ascontiguousarray(rows[:, 2:]).view(np.uint64), most64, most)
+            a, b = rows[u, 1], rows[v, 1]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            if not len(rows):
+                continue
+            for part in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
+                if held and held[0][0, 0] != part[0, 0]:
+                    yield linked()
+                    held.clear()
+                held.append(part)
+        if held:
+            yield linked()
+
+    return own.repartition("point").sortWithinPartitions("point", "node").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def links(nodes: DataFrame, width: int, similarity: float, slack: float = 1.25) -> DataFrame:
     """(u, v): nodes whose CHECKED bits differ in no more bits than sets of this similarity do, `slack` standard
-    deviations added. nodes(node, segments, f0..f3).
+    deviations added. nodes(node, segments, f0..f3). Of a point that many nodes name, as many of these pairs as
+    connect what all of them connect.
 
     Candidates name a common point: their segments differ in at most 2 bits. A node names (width + 1) points a
     segment, so no point holds more than that share of the rows, however large a group of copies is.
     """
     points = nodes.select(F.explode(_points(width)).alias("point"), "node")
-    met = points.repartition("point").sortWithinPartitions("point", "node").mapInArrow(_meetings, "u bigint, v bigint").distinct()
+    sorted_points = points.repartition("point").sortWithinPartitions("point", "node")
+    every = written(sorted_points.mapInArrow(lambda batches: _meetings(batches, True), "u bigint, v bigint, point bigint"))
+    met = every.filter("point IS NULL").select("u", "v").distinct()
+    crowded = every.filter("point IS NOT NULL")
+    crowds = crowded.select("point", F.col("v").alias("node")).union(crowded.select("point", F.col("u").alias("node")).distinct())
     p = bit_share(similarity)
 
     def most(bits: int, deviations: float) -> int:
@@ -183,7 +266,8 @@ def links(nodes: DataFrame, width: int, similarity: float, slack: float = 1.25)
 
     # 64 bits first: they leave few pairs for the others
     near = written(verified(met, ["f0"], most(64, 3.0)))
-    return verified(near, ["f0", "f1", "f2", "f3"], most(CHECKED, slack))
+    few = verified(near, ["f0", "f1", "f2", "f3"], most(CHECKED, slack))
+    return few.union(_crowd_links(crowds, nodes, most(64, 3.0), most(CHECKED, slack))).distinct()
 
 
 def near_duplicates(

@@ -102,6 +102,34 @@ def test_links_grow_with_a_group_not_with_its_square(spark):
     assert {r.component_id for r in near_text.near_duplicates(docs).collect()} == {0}
 
 
+def test_crowded_points_lose_no_link(spark):
+    """Nodes of a crowded point that are far from its first one and near each other; a chain among them."""
+    width = 12
+    base, other = 0, (1 << 60) - 1  # 60 of 64 bits differ, in each word
+    chain = [other ^ ((1 << (4 * i)) - 1) for i in range(6)]  # 4 bits of a word from one to the next
+    words = [base, *chain, *[0x5555555555555555 ^ (1 << i) for i in range(5)]]
+    rows = [(i, [7, 100 + 64 * i], w, w, w, w) for i, w in enumerate(words)]
+    nodes = spark.createDataFrame(rows, "node long, segments array<long>, f0 long, f1 long, f2 long, f3 long")
+    p = near_text.bit_share(0.8)
+    most = {b: int(b * p + d * (b * p * (1 - p)) ** 0.5) for b, d in ((64, 3.0), (256, 1.25))}
+
+    def differing(a, b):
+        return (a ^ b).bit_count()
+
+    want = [(i, j) for i, j in itertools.combinations(range(len(words)), 2) if differing(words[i], words[j]) <= most[64] and 4 * differing(words[i], words[j]) <= most[256]]
+    got = [(r.u, r.v) for r in near_text.links(nodes, width, 0.8).collect()]
+
+    def groups(pairs):
+        root = list(range(len(words)))
+        for _ in words:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert set(got) <= set(want) and groups(got) == groups(want)
+    assert groups(want)[0] == 0 and groups(want)[1:7] == [1] * 6 and groups(want)[7:] == [7] * 5
+
+
 @pytest.mark.parametrize("n", [0, 1, 1000, 10**7, 10**9])
 def test_plan(n):
     width, number = near_text.plan(n, 0.8, 0.92)
