@@ -14,34 +14,81 @@ from ..session import written
 
 CHUNK_ROWS, QUERY_ROWS = 512, 256
 ENTRIES = 100_000  # list entries of a block, unless a single row has more
+PASS_ROWS, PASS_ENTRIES = 8192, 500_000  # queries, and their list entries, that a task holds
 DIGITS = 6
 
 
-def packed(df: DataFrame, rows: int, by_size: str | None = None) -> DataFrame:
-    """Blocks of `df`: one row of arrays for at most `rows` rows, and ENTRIES entries of the list column `by_size`."""
+def cuts(sizes: np.ndarray, rows: int, entries: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of at most `rows` rows with `entries` entries together, unless a single row has more."""
+    start, filled = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and (i - start >= rows or filled + size > entries):
+            yield start, i
+            start, filled = i, 0
+        filled += size
+    if len(sizes) > start:
+        yield start, len(sizes)
+
+
+def entry_counts(column: pa.Array) -> np.ndarray:
+    """Entries of each list; none in a null."""
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def packed(df: DataFrame, rows: int, by_size: str | None = None, entries: int = ENTRIES) -> DataFrame:
+    """Blocks of `df`: one row of arrays for at most `rows` rows, and `entries` entries of the list column `by_size`."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            held = np.zeros(n, np.int64)
-            if by_size:
-                held = pc.fill_null(pc.list_value_length(batch.column(names.index(by_size))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            filled, start = 0, 0
-            for i in range(n + 1):
-                if i < n and (i == start or (i - start < rows and filled + held[i] <= ENTRIES)):
-                    filled += held[i]
-                    continue
-                if i > start:
-                    part = batch.slice(start, i - start)
-                    ends = pa.array([0, i - start], pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, c) for c in part.columns], names=names)
-                start, filled = i, held[i] if i < n else 0
+            sizes = entry_counts(batch.column(names.index(by_size))) if by_size else np.zeros(batch.num_rows, np.int64)
+            for start, end in cuts(sizes, rows, entries):
+                ends = pa.array([0, end - start], pa.int32())
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, c) for c in part.columns], names=names)
 
     schema = ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in df.schema)
     return df.mapInArrow(run, schema)
 
 
+def in_passes(
+    corpus: DataFrame, queries: DataFrame, by_size: str, rows: int, start: Callable, step: Callable, schema: str
+) -> DataFrame:
+    """Every row of `corpus` against every query, a pass over the corpus for each PASS_ROWS queries.
+
+    A task holds the queries of one pass, `start(batch, columns)`, and gives `step(state, part)` its rows in
+    parts of CHUNK_ROWS rows and ENTRIES entries of the list column `by_size`. Rows go to Python one by one,
+    not as blocks: Spark cuts its batches by rows, so their size has to be that of a row. Only the first row of a
+    partition carries the queries.
+    """
+    # written: each pass reads its own block
+    asked = written(packed(queries, rows, by_size, PASS_ENTRIES).withColumn("block", F.monotonically_increasing_id()))
+    names = queries.columns
+    width = len(corpus.columns)
+    at = corpus.columns.index(by_size)
+    numbered = corpus.withColumn("_no", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = kind = None
+        for batch in batches:
+            if state is None and batch.num_rows:
+                kind = batch.schema.field("chunk_id").type
+                state = start([batch.column(width + i)[0].values for i in range(len(names))])
+            own = batch.select(range(width))
+            for lo, hi in cuts(entry_counts(batch.column(at)), CHUNK_ROWS, ENTRIES):
+                step(state, own.slice(lo, hi - lo))
+        if state is not None:
+            yield from _hits(state, kind)
+
+    out = None
+    for block in sorted(r[0] for r in asked.select("block").collect()):  # a number for each PASS_ROWS queries
+        one = asked.filter(F.col("block") == block).select(*[F.col(c).alias(f"q_{c}") for c in names])
+        first = [F.when(F.col("_no") == 0, F.col(f"q_{c}")).alias(f"q_{c}") for c in names]
+        hits = numbered.join(F.broadcast(one)).select(*corpus.columns, *first).mapInArrow(run, schema)
+        out = hits if out is None else out.unionByName(hits)
+    return corpus.sparkSession.createDataFrame([], schema) if out is None else out
+
+
 class Best:
     """The k best (score, id) of each query of one block: score first, then the smaller id."""
 
@@ -66,24 +113,36 @@ class Best:
 
 
 class Queries:
-    """A block of sparse queries: ids, sources, terms and weights as a matrix (terms x queries)."""
+    """A block of sparse queries. `slices`: source, members, and their entries (term, place among the members, weight)."""
 
-    def __init__(self, ids: pa.Array, sources: list, norms: np.ndarray, terms: pa.ListArray, weights: pa.ListArray, k: int):
-        self.ids, self.sources, self.norms = ids, sources, norms
+    def __init__(self, columns: list[pa.Array], k: int):
+        self.ids, sources, norms, terms, weights = columns
+        self.sources, self.norms = sources.to_pylist(), norms.to_numpy(zero_copy_only=False)
         flat = terms.flatten()
         self.vocabulary = pc.unique(flat)
-        of = np.repeat(np.arange(len(ids)), np.diff(terms.offsets.to_numpy()))
-        self.weights = np.zeros((len(self.vocabulary), len(ids)))
         code = pc.index_in(flat, value_set=self.vocabulary).to_numpy(zero_copy_only=False)
-        np.add.at(self.weights, (code, of), weights.flatten().to_numpy(zero_copy_only=False))
-        self.by_source: dict = {}
-        for i, s in enumerate(sources):
-            self.by_source.setdefault(s, []).append(i)
-        self.best = Best(len(ids), k)
-
-
-def _lists(batch: pa.RecordBatch, name: str, row: int) -> pa.Array:
-    return batch.column(name)[row].values
+        weight = weights.flatten().to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(self.ids)), np.diff(terms.offsets.to_numpy()))
+        by_source: dict = {}
+        for i, s in enumerate(self.sources):
+            by_source.setdefault(s, []).append(i)
+        place = np.empty(len(self.ids), np.int64)  # slice of QUERY_ROWS members, and the place in it
+        self.slices: dict = {}
+        count = 0
+        for source, members in by_source.items():
+            parts = [np.array(members[lo : lo + QUERY_ROWS]) for lo in range(0, len(members), QUERY_ROWS)]
+            for i, part in enumerate(parts):
+                place[part] = (count + i) * QUERY_ROWS + np.arange(len(part))
+            self.slices[source] = [(count + i, part) for i, part in enumerate(parts)]
+            count += len(parts)
+        order = np.argsort(place[of] // QUERY_ROWS, kind="stable")
+        code, weight, spot = code[order], weight[order], place[of][order]
+        edges = np.searchsorted(spot // QUERY_ROWS, np.arange(count + 1))
+        for source, parts in self.slices.items():
+            self.slices[source] = [
+                (part, code[edges[i] : edges[i + 1]], spot[edges[i] : edges[i + 1]] % QUERY_ROWS, weight[edges[i] : edges[i + 1]]) for i, part in parts
+            ]
+        self.best = Best(len(self.ids), k)
 
 
 def sparse_topk(
@@ -95,51 +154,33 @@ def sparse_topk(
 
     A score is the sum over common terms of the query's weight times value(values, norm of the row, norm of
     the query). Rows and queries meet if their sources are equal; a query of `all_source` meets all rows.
-    Both sides are packed into blocks, so that the pairs that are joined are pairs of blocks. A block's
-    largest value of each term bounds what its rows can score: queries whose k-th score is above that
-    bound are left out of the block's product. Each task gives k rows a query.
+    Parts of rows meet blocks of queries inside the tasks (`in_passes`). A part's largest value of each term
+    bounds what its rows can score: queries whose k-th score is above that bound are left out of the part's
+    product. Each task gives k rows a query.
     """
-    # written: the planner sees their size and sends the smaller side to the other
-    asked = written(packed(queries.select("query_id", "source", "norm", "terms", "weights"), QUERY_ROWS, "terms").withColumn("block", F.monotonically_increasing_id()))
-    held = packed(corpus.select("source", "chunk_id", "norm", "terms", "values"), CHUNK_ROWS, "terms")
-    asked = asked.select(F.col("block"), *[F.col(c).alias(f"q_{c}") for c in ("query_id", "source", "norm", "terms", "weights")])
-    pairs = held.join(asked)
     id_type, chunk_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (corpus, "chunk_id")))
+    return in_passes(
+        corpus.select("source", "chunk_id", "norm", "terms", "values"), queries.select("query_id", "source", "norm", "terms", "weights"),
+        "terms", PASS_ROWS, lambda columns: Queries(columns, k), lambda block, part: _block_scores(part, block, value, all_source),
+        f"query_id {id_type}, source string, chunk_id {chunk_type}, score double",
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, Queries] = {}
-        kind = pa.int64()
-        for batch in batches:
-            kind = batch.schema.field("chunk_id").type.value_type
-            for row in range(batch.num_rows):
-                number = batch.column("block")[row].as_py()
-                block = blocks.get(number)
-                if block is None:
-                    block = blocks[number] = Queries(
-                        _lists(batch, "q_query_id", row), _lists(batch, "q_source", row).to_pylist(),
-                        _lists(batch, "q_norm", row).to_numpy(zero_copy_only=False), _lists(batch, "q_terms", row), _lists(batch, "q_weights", row), k,
-                    )
-                _block_scores(batch, row, block, value, all_source)
-        yield from _hits(blocks.values(), kind)
-
-    schema = f"query_id {id_type}, source string, chunk_id {chunk_type}, score double"
-    return pairs.mapInArrow(run, schema)
-
-
-def _block_scores(batch: pa.RecordBatch, row: int, block: Queries, value, all_source: str | None) -> None:
-    terms, values = _lists(batch, "terms", row), _lists(batch, "values", row)
+
+def _block_scores(batch: pa.RecordBatch, block: Queries, value, all_source: str | None) -> None:
+    terms, values = batch.column("terms"), batch.column("values")
     code = pc.index_in(terms.flatten(), value_set=block.vocabulary)
     known = code.is_valid().to_numpy(zero_copy_only=False)
     if not known.any():
         return
-    of = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))[known]
+    of = np.repeat(np.arange(len(terms)), entry_counts(terms))[known]
     code = code.drop_null().to_numpy(zero_copy_only=False)
     amount = values.flatten().to_numpy(zero_copy_only=False)[known].astype(np.float64)
-    norms = _lists(batch, "norm", row).to_numpy(zero_copy_only=False)
+    norms = batch.column("norm").to_numpy(zero_copy_only=False)
+    least = block.best.least
     sources = ids = None
-    for source, members in block.by_source.items():
+    for source, slices in block.slices.items():
         if source != all_source or source is None:
-            sources = _lists(batch, "source", row).to_pylist() if sources is None else sources
+            sources = np.array(batch.column("source").to_pylist(), dtype=object) if sources is None else sources
             own = np.array([s == source for s in sources])
             if not own.any():
                 continue
@@ -151,27 +192,31 @@ def _block_scores(batch: pa.RecordBatch, row: int, block: Queries, value, all_so
         rows, r = np.unique(r, return_inverse=True)
         if not len(rows):
             continue
-        members = np.array(members)
-        weights = block.weights[np.ix_(present, members)]
         # queries of one source have the same norm
         table = np.zeros((len(rows), len(present)))
-        table[r, c] = value(a, norms[rows][r], float(block.norms[members[0]]))
-        bound = table.max(axis=0) @ np.maximum(weights, 0)
-        live = np.flatnonzero(bound >= block.best.least[members] - 1e-5)
-        if not len(live):
-            continue
-        ids = _lists(batch, "chunk_id", row).to_pylist() if ids is None else ids
-        scores = np.round(table @ weights[:, live], DIGITS)
-        for j, q in enumerate(members[live]):
-            good = np.flatnonzero(scores[:, j] > 0)
-            block.best.add(q, scores[good, j], ids, rows[good])
+        table[r, c] = value(a, norms[rows][r], float(block.norms[slices[0][0][0]]))
+        most = table.max(axis=0)
+        column = np.full(len(block.vocabulary), -1)
+        column[present] = np.arange(len(present))
+        for members, term, place, weight in slices:
+            col = column[term]
+            met = col >= 0
+            cell = col[met] * len(members) + place[met]
+            weights = np.bincount(cell, weight[met], len(present) * len(members)).reshape(len(present), len(members))
+            live = np.flatnonzero(most @ np.maximum(weights, 0) >= least[members] - 1e-5)
+            if not len(live):
+                continue
+            scores = np.round(table @ weights[:, live], DIGITS)
+            top = scores.max(axis=0)
+            for j in np.flatnonzero((top > 0) & (top >= least[members[live]])):
+                ids = batch.column("chunk_id").to_pylist() if ids is None else ids
+                good = np.flatnonzero(scores[:, j] > 0)
+                block.best.add(members[live[j]], scores[good, j], ids, rows[good])
 
 
-def _hits(blocks, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    for block in blocks:
-        counts = [len(h) for h in block.best.hits]
-        if not sum(counts):
-            continue
+def _hits(block, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    counts = [len(h) for h in block.best.hits]
+    if sum(counts):
         of = np.repeat(np.arange(len(counts)), counts)
         yield pa.RecordBatch.from_arrays(
             [
@@ -196,53 +241,44 @@ def _matrix(column: pa.Array) -> np.ndarray:
 class VectorQueries:
     """A block of query vectors."""
 
-    def __init__(self, ids: pa.Array, sources: list, vectors: pa.ListArray, k: int):
-        self.ids, self.sources = ids, sources
+    def __init__(self, columns: list[pa.Array], k: int):
+        self.ids, sources, vectors = columns
+        self.sources = sources.to_pylist()
         self.matrix = _matrix(vectors)
         self.by_source: dict = {}
-        for i, s in enumerate(sources):
+        for i, s in enumerate(self.sources):
             self.by_source.setdefault(s, []).append(i)
-        self.best = Best(len(ids), k)
+        self.best = Best(len(self.ids), k)
 
 
 def vector_topk(
-    corpus: DataFrame, queries: DataFrame, k: int, all_source: str | None = None, query_rows: int = QUERY_ROWS
+    corpus: DataFrame, queries: DataFrame, k: int, all_source: str | None = None, query_rows: int = PASS_ROWS
 ) -> DataFrame:
     """corpus(source, chunk_id, vector), queries(query_id, source, vector) -> (query_id, source, chunk_id, score).
 
-    Cosine of array vectors, rounded; otherwise like `sparse_topk`. Rows with a null id or vector, or with a
-    null in the vector, take no part.
+    Cosine of array vectors, rounded; otherwise like `sparse_topk`, in passes of at most `query_rows` queries.
+    Rows with a null id or vector, or with a null in the vector, take no part.
     """
 
     def whole(df: DataFrame, key: str) -> DataFrame:
         v = F.col("vector")
         return df.filter(v.isNotNull() & ~F.exists(v, lambda x: x.isNull()) & F.col(key).isNotNull()).select(key, "source", "vector")
 
-    asked = written(packed(whole(queries, "query_id"), query_rows, "vector").withColumn("block", F.monotonically_increasing_id()))
-    asked = asked.select("block", *[F.col(c).alias(f"q_{c}") for c in ("query_id", "source", "vector")])
-    pairs = packed(whole(corpus, "chunk_id"), CHUNK_ROWS, "vector").join(asked)
-    id_type, chunk_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (corpus, "chunk_id")))
+    def step(block: VectorQueries, part: pa.RecordBatch) -> None:
+        ids, matrix = part.column("chunk_id").to_pylist(), _matrix(part.column("vector"))
+        sources = np.array(part.column("source").to_pylist(), dtype=object)
+        for source, members in block.by_source.items():
+            rows = np.arange(len(ids)) if source == all_source and source is not None else np.flatnonzero(sources == source)
+            if not len(rows):
+                continue
+            for lo in range(0, len(members), QUERY_ROWS):
+                some = np.array(members[lo : lo + QUERY_ROWS])
+                scores = np.round(block.matrix[some] @ matrix[rows].T, DIGITS)
+                for j in np.flatnonzero(scores.max(axis=1) >= block.best.least[some]):
+                    block.best.add(some[j], scores[j], ids, rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, VectorQueries] = {}
-        kind = pa.int64()
-        for batch in batches:
-            kind = batch.schema.field("chunk_id").type.value_type
-            for row in range(batch.num_rows):
-                number = batch.column("block")[row].as_py()
-                block = blocks.get(number)
-                if block is None:
-                    block = blocks[number] = VectorQueries(
-                        _lists(batch, "q_query_id", row), _lists(batch, "q_source", row).to_pylist(), _lists(batch, "q_vector", row), k
-                    )
-                ids, matrix = _lists(batch, "chunk_id", row).to_pylist(), _matrix(_lists(batch, "vector", row))
-                sources = np.array(_lists(batch, "source", row).to_pylist(), dtype=object)
-                for source, members in block.by_source.items():
-                    rows = np.arange(len(ids)) if source == all_source and source is not None else np.flatnonzero(sources == source)
-                    if len(rows):
-                        scores = np.round(block.matrix[members] @ matrix[rows].T, DIGITS)
-                        for j, q in enumerate(members):
-                            block.best.add(q, scores[j], ids, rows)
-        yield from _hits(blocks.values(), kind)
-
-    return pairs.mapInArrow(run, f"query_id {id_type}, source string, chunk_id {chunk_type}, score double")
+    id_type, chunk_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (corpus, "chunk_id")))
+    return in_passes(
+        whole(corpus, "chunk_id"), whole(queries, "query_id"), "vector", query_rows, lambda columns: VectorQueries(columns, k), step,
+        f"query_id {id_type}, source string, chunk_id {chunk_type}, score double",
+    )

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.vectors import hashed_vector
-from .blocks import QUERY_ROWS, sparse_topk, vector_topk
+from .blocks import PASS_ROWS, sparse_topk, vector_topk
 from .lexical import top_k
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, query_rows: int = QUERY_ROWS) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, query_rows: int = PASS_ROWS) -> DataFrame:
     """Exact cosine top-k. queries(query_id, embedding), corpus(vec_id, embedding).
 
     Rows with a null id or vector, or with a null in the vector, take no part. Any number of queries takes

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens, value_counts
 from ..functions.vectors import HASH_DIGITS
 from ..session import written
-from .blocks import sparse_topk
+from .blocks import cuts, entry_counts, sparse_topk
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -89,8 +89,8 @@ def term_rows(chunks: DataFrame, text: Column | None = None, digits: int = HASH_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for start, end in cuts(entry_counts(batch.column(2)), 1000, 500_000):
+                part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *_counted(part.column(2), digits)], names=names)
 
     lists = "dl int, terms array<string>, tfs array<int>, dims array<int>, weights array<double>"

@@ -313,3 +313,24 @@ def test_rrf_method_and_chunk_text(spark):
     index = search_index(chunks, lexical_text=chunk_text({c: F.col(c) for c in chunks.columns}))
     hits = search(queries, index, 2, group=False, expand=False, method="rrf").collect()
     assert next(h.chunk_id for h in hits if h["rank"] == 1) == 1
+
+
+def test_rows_go_to_scoring_one_by_one(spark, monkeypatch):
+    """Spark cuts Arrow batches by rows: a row that holds a block of chunks makes batches of gigabytes."""
+    from pyspark.sql import DataFrame
+
+    from attesta.operators import blocks
+    from attesta.operators.lexical import bm25_candidates
+
+    chunks = spark.createDataFrame([("s", i, f"a w{i % 7} w{i % 11}") for i in range(300)], "source string, chunk_id long, text string")
+    queries = spark.createDataFrame([(i, f"a w{i} w{i + 1}") for i in range(40)], "query_id long, text string")
+    index = lexical_index(chunks)
+    want = sorted(bm25_search(queries, index, 3).collect())
+    given, plain = [], type(chunks).mapInArrow
+    monkeypatch.setattr(type(chunks), "mapInArrow", lambda self, *a, **k: given.append(self.schema) or plain(self, *a, **k))
+    monkeypatch.setattr(blocks, "PASS_ROWS", 8)
+    hits = bm25_search(queries, index, 3)
+    kinds = [s["terms"].dataType.simpleString() for s in given if "terms" in s.names and "chunk_id" in s.names]
+    assert kinds and set(kinds) == {"array<string>"}
+    assert sorted(hits.collect()) == want
+    assert bm25_candidates(queries, index, 3).count() and isinstance(hits, DataFrame)
