@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import BATCH_ROWS, written
 
 CHUNK_ROWS, QUERY_ROWS = 512, 256
 ENTRIES = 100_000  # list entries of a block, unless a single row has more
@@ -58,8 +58,8 @@ def in_passes(
 
     A task holds the queries of one pass, `start(batch, columns)`, and gives `step(state, part)` its rows in
     parts of CHUNK_ROWS rows and ENTRIES entries of the list column `by_size`. Rows go to Python one by one,
-    not as blocks: Spark cuts its batches by rows, so their size has to be that of a row. Only the first row of a
-    partition carries the queries.
+    not as blocks: Spark cuts its batches by rows, so their size has to be that of a row; BATCH_ROWS at once, so
+    the hits are written here. Only the first row of a partition carries the queries.
     """
     # written: each pass reads its own block
     asked = written(packed(queries, rows, by_size, PASS_ENTRIES).withColumn("block", F.monotonically_increasing_id()))
@@ -86,7 +86,7 @@ def in_passes(
         first = [F.when(F.col("_no") == 0, F.col(f"q_{c}")).alias(f"q_{c}") for c in names]
         hits = numbered.join(F.broadcast(one)).select(*corpus.columns, *first).mapInArrow(run, schema)
         out = hits if out is None else out.unionByName(hits)
-    return corpus.sparkSession.createDataFrame([], schema) if out is None else out
+    return corpus.sparkSession.createDataFrame([], schema) if out is None else written(out, BATCH_ROWS)
 
 
 class Best:

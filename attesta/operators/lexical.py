@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens, value_counts
 from ..functions.vectors import HASH_DIGITS
-from ..session import written
+from ..session import BATCH_ROWS, written
 from .blocks import cuts, entry_counts, sparse_topk
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -136,7 +136,7 @@ def lexical_index(chunks: DataFrame, text: Column | None = None, all_source: str
     With `all_source` the statistics of all sources are added up under that name, and nothing is stored twice;
     chunk ids then have to differ between sources.
     """
-    rows = written(term_rows(chunks, text, digits))
+    rows = written(term_rows(chunks, text, digits), BATCH_ROWS)
     terms, stats = statistics(written(add_up(term_counts(rows), all_source)))
     return LexicalIndex(rows, terms, stats, all_source)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lexical import LexicalIndex, add_up, lexical_index, statistics, term_counts, term_rows
-from ..session import written
+from ..session import BATCH_ROWS, row_batches, written
 
 
 @dataclass
@@ -91,7 +91,8 @@ class StoredIndex:
         """Add chunks(source, chunk_id, text, …); their ids must not be in the index."""
         version = self.version() + 1
         self._save(chunks, "chunks", version)
-        self._save(term_rows(chunks, lexical_text), "rows", version)
+        with row_batches(self.spark, BATCH_ROWS):
+            self._save(term_rows(chunks, lexical_text), "rows", version)
         rows = self.spark.read.parquet(f"{self.path}/rows/version={version}")
         self._finish(term_counts(rows).select("source", "term", "df", "cf"), version)
 

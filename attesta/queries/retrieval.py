@@ -12,7 +12,7 @@ from ..operators.expansion import expand_queries, query_features, with_domain_wo
 from ..operators.fusion import hybrid_search, rrf, rrf_two_lists, score_filter, weighted_fusion
 from ..operators.grouping import credit_relevance, group_by_credit, near_duplicates_in_table, pick_sections
 from ..operators.lexical import bm25_search, idf, lexical_index, term_rows
-from ..session import table, written
+from ..session import BATCH_ROWS, table, written
 from . import sqltext as q
 from .inputs import (
     PASSAGES_SQL, TOPIC_QUERIES_SQL, WHOLE_DOCUMENTS_SQL, WINDOW_CHUNKS_SQL, passages, topic_queries,
@@ -65,7 +65,7 @@ def bm25_topk_per_source(spark, sf):
     "SELECT query_id, chunk_id, score, rank FROM dek",
 )
 def text_dense_topk(spark, sf):
-    return text_search(passages(spark, sf), term_rows(whole_documents(spark, sf)), 10).select(HIT_COLUMNS)
+    return text_search(passages(spark, sf), written(term_rows(whole_documents(spark, sf)), BATCH_ROWS), 10).select(HIT_COLUMNS)
 
 
 # one query vector per label: the mean of its vectors

@@ -334,3 +334,30 @@ def test_rows_go_to_scoring_one_by_one(spark, monkeypatch):
     assert kinds and set(kinds) == {"array<string>"}
     assert sorted(hits.collect()) == want
     assert bm25_candidates(queries, index, 3).count() and isinstance(hits, DataFrame)
+
+
+def test_workers_get_few_rows_at_once(spark):
+    """Spark's default of 10,000 rows of words, or a session's larger one, would fill the Python workers."""
+    import pyarrow as pa
+
+    from attesta.operators.lexical import bm25_candidates
+    from attesta.session import ARROW_ROWS, BATCH_ROWS, written
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    counted = spark.range(0, 3500, 1, 1).mapInArrow(sizes, "n long")
+    before = spark.conf.get(ARROW_ROWS)
+    assert [r.n for r in written(counted).collect()] == [3500]
+    for own, want in (("100000", BATCH_ROWS), ("0", BATCH_ROWS), ("500", 500)):
+        spark.conf.set(ARROW_ROWS, own)
+        try:
+            got = [r.n for r in written(counted, BATCH_ROWS).collect()]
+            assert max(got) == want and sum(got) == 3500 and spark.conf.get(ARROW_ROWS) == own
+        finally:
+            spark.conf.set(ARROW_ROWS, before)
+    chunks = spark.createDataFrame([("s", i, f"a w{i % 7}") for i in range(30)], "source string, chunk_id long, text string")
+    hits = bm25_candidates(spark.createDataFrame([(1, "w3")], "query_id long, text string"), lexical_index(chunks), 3)
+    # the scoring is done, within that bound, when the hits are returned
+    assert "MapInArrow" not in hits._jdf.queryExecution().toString() and hits.count() > 0
