@@ -183,12 +183,12 @@ def _meetings(batches: Iterator[pa.RecordBatch], points: bool = False) -> Iterat
         yield from found(*complete(held_k, held_v, np.array([len(held_k)])))
 
 
-def _spanning(bits: np.ndarray, most64: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _spanning(bits: np.ndarray, segments: np.ndarray, most64: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (u, v) of links that connect all rows of `bits` (n x 4 words) which a chain of near rows connects.
 
-    Near: at most `most64` differing bits in the first word and `most` in all four. Every row that was reached
-    is compared with all that were not, so nothing is left out; a group of n near rows costs about n comparisons
-    and gives n - 1 links.
+    Near: at most `most64` differing bits in the first word and `most` in all four, and a common point, which is
+    at most 2 differing bits in one of the `segments`. Every row that was reached is compared with all that were
+    not, so nothing is left out; a group of n near rows costs about n comparisons and gives n - 1 links.
     """
     left = np.arange(len(bits))
     us, vs = [], []
@@ -199,7 +199,8 @@ def _spanning(bits: np.ndarray, most64: int, most: int) -> tuple[np.ndarray, np.
             near = np.bitwise_count(bits[left, 0] ^ bits[one, 0]) <= most64
             at = np.flatnonzero(near)
             far = np.bitwise_count(bits[left[at]] ^ bits[one]).sum(axis=1, dtype=np.int64) > most
-            near[at[far]] = False
+            apart = (np.bitwise_count(segments[left[at]] ^ segments[one]) > 2).all(axis=1)
+            near[at[far | apart]] = False
             found = left[near]
             us += [one] * len(found)
             vs += found.tolist()
@@ -208,23 +209,36 @@ def _spanning(bits: np.ndarray, most64: int, most: int) -> tuple[np.ndarray, np.
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
+def _crowds(met: DataFrame) -> DataFrame:
+    """(point, node) of what `_meetings` tells of crowded points: those with the same first node are one crowd,
+    named by that node, and a node is in it once.
+
+    A group of copies crowds nearly all points of its nodes, and most have the same first one: a row per point and
+    node would repeat the same nodes by their number of points.
+    """
+    crowded = met.filter("point IS NOT NULL")
+    return crowded.select(F.col("u").alias("point"), F.col("v").alias("node")).union(crowded.select("u", "u")).distinct()
+
+
 def _crowd_links(crowds: DataFrame, nodes: DataFrame, most64: int, most: int) -> DataFrame:
-    """(u, v) of crowds(point, node): links that leave all nodes of a point connected that its near pairs connect."""
-    own = crowds.join(nodes.select("node", "f0", "f1", "f2", "f3"), "node").select("point", "node", "f0", "f1", "f2", "f3")
+    """(u, v) of crowds(point, node): links that leave all nodes of a crowd connected that its near pairs connect."""
+    words = ["f0", "f1", "f2", "f3"]
+    own = crowds.join(nodes.select("node", *words, "segments"), "node").select("point", "node", *words, "segments")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the nodes of one point
+        held: list[np.ndarray] = []  # the nodes of one crowd
 
         def linked() -> pa.RecordBatch:
             rows = np.concatenate(held)
-            u, v = _spanning(np.ascontiguousarray(rows[:, 2:]).view(np.uint64), most64, most)
+            u, v = _spanning(np.ascontiguousarray(rows[:, 2:6]).view(np.uint64), rows[:, 6:], most64, most)
             a, b = rows[u, 1], rows[v, 1]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
 
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            if not len(rows):
+            if not batch.num_rows:
                 continue
+            plain = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]], axis=1)
+            rows = np.hstack((plain, batch.column(6).flatten().to_numpy().reshape(len(plain), -1)))
             for part in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
                 if held and held[0][0, 0] != part[0, 0]:
                     yield linked()
@@ -238,8 +252,8 @@ def _crowd_links(crowds: DataFrame, nodes: DataFrame, most64: int, most: int) ->
 
 def links(nodes: DataFrame, width: int, similarity: float, slack: float = 1.25) -> DataFrame:
     """(u, v): nodes whose CHECKED bits differ in no more bits than sets of this similarity do, `slack` standard
-    deviations added. nodes(node, segments, f0..f3). Of a point that many nodes name, as many of these pairs as
-    connect what all of them connect.
+    deviations added. nodes(node, segments, f0..f3). Of points that many nodes name, as many of these pairs as
+    connect what all of them connect (`_crowds`).
 
     Candidates name a common point: their segments differ in at most 2 bits. A node names (width + 1) points a
     segment, so no point holds more than that share of the rows, however large a group of copies is.
@@ -248,8 +262,6 @@ def links(nodes: DataFrame, width: int, similarity: float, slack: float = 1.25)
     sorted_points = points.repartition("point").sortWithinPartitions("point", "node")
     every = written(sorted_points.mapInArrow(lambda batches: _meetings(batches, True), "u bigint, v bigint, point bigint"))
     met = every.filter("point IS NULL").select("u", "v").distinct()
-    crowded = every.filter("point IS NOT NULL")
-    crowds = crowded.select("point", F.col("v").alias("node")).union(crowded.select("point", F.col("u").alias("node")).distinct())
     p = bit_share(similarity)
 
     def most(bits: int, deviations: float) -> int:
@@ -267,7 +279,7 @@ def links(nodes: DataFrame, width: int, similarity: float, slack: float = 1.25)
     # 64 bits first: they leave few pairs for the others
     near = written(verified(met, ["f0"], most(64, 3.0)))
     few = verified(near, ["f0", "f1", "f2", "f3"], most(CHECKED, slack))
-    return few.union(_crowd_links(crowds, nodes, most(64, 3.0), most(CHECKED, slack))).distinct()
+    return few.union(_crowd_links(_crowds(every), nodes, most(64, 3.0), most(CHECKED, slack))).distinct()
 
 
 def near_duplicates(

@@ -156,3 +156,25 @@ def test_awkward(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted({g or 0 for g in group.values()} | {0})
     assert near_text.keep_one(empty(spark)).count() == 0
+
+
+def test_a_crowd_is_compared_once_for_all_its_points(spark, monkeypatch):
+    """Nodes that share all of their points meet in as many rows as there are nodes, not once a point."""
+    given, plain = [], near_text._crowd_links
+    monkeypatch.setattr(near_text, "_crowd_links", lambda crowds, *a: given.append(crowds.collect()) or plain(crowds, *a))
+    words = [1 << (i % 4) for i in range(50)] + [(1 << 60) - 1 - (1 << i) for i in range(20)]
+    rows = [(i, [7, 9], w, w, w, w) for i, w in enumerate(words)]
+    nodes = spark.createDataFrame(rows, "node long, segments array<long>, f0 long, f1 long, f2 long, f3 long")
+    pairs = {(r.u, r.v) for r in near_text.links(nodes, 12, 0.8).collect()}
+    assert sorted(r.node for r in given[0]) == list(range(70)) and {r.point for r in given[0]} == {0}
+    root = list(range(70))
+    for _ in range(70):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert root == [0] * 50 + [50] * 20
+
+
+def test_crowds_of_other_first_nodes_stay_apart(spark):
+    rows = [(1, 2, 10), (1, 3, 10), (1, 2, 11), (1, 4, 11), (5, 6, 12), (7, 8, None)]
+    got = near_text._crowds(spark.createDataFrame(rows, "u long, v long, point long")).collect()
+    assert sorted((r.point, r.node) for r in got) == [(1, 1), (1, 2), (1, 3), (1, 4), (5, 5), (5, 6)]
