@@ -99,11 +99,11 @@ def term_rows(chunks: DataFrame, text: Column | None = None, digits: int = HASH_
 
 def term_counts(rows: DataFrame) -> DataFrame:
     """(source, term, df, cf) of `term_rows`; the row without a term has the number of chunks and words of the source."""
-    counted = F.transform(F.arrays_zip("terms", "tfs"), lambda t: F.struct(t["terms"].alias("term"), t["tfs"].alias("n")))
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("dl").alias("n")))
-    return rows.select("source", F.explode(F.concat(counted, whole)).alias("t")).groupBy("source", "t.term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("t.n").alias("cf")
-    )
+    # no pair is built per word: the count is looked up by the word's place
+    each = rows.select("source", "tfs", F.posexplode("terms").alias("at", "term"))
+    counted = each.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.get("tfs", F.col("at"))).alias("cf"))
+    whole = rows.groupBy("source").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("cf"))
+    return counted.unionByName(whole.select("source", F.lit(None).cast("string").alias("term"), "df", "cf"))
 
 
 def add_up(counts: DataFrame, all_source: str | None) -> DataFrame:

@@ -99,8 +99,10 @@ class StoredIndex:
     def remove(self, ids: DataFrame) -> None:
         """Remove the chunks with the given (source, chunk_id); others of the ids are ignored."""
         version = self.version() + 1
-        gone = self._current("rows").join(ids.select("source", "chunk_id").distinct(), ["source", "chunk_id"], "left_semi")
-        gone = written(gone)
+        # written: few ids are sent to the rows, by their size, and the rows stay where they are
+        named = written(ids.select("source", "chunk_id").distinct())
+        counted = self._current("rows").select("source", "chunk_id", "dl", "terms", "tfs")
+        gone = written(counted.join(named, ["source", "chunk_id"], "left_semi"))
         self._save(gone.select("source", "chunk_id"), "removed", version)
         less = term_counts(gone).select("source", "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
         self._finish(less, version)

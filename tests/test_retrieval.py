@@ -361,3 +361,22 @@ def test_workers_get_few_rows_at_once(spark):
     hits = bm25_candidates(spark.createDataFrame([(1, "w3")], "query_id long, text string"), lexical_index(chunks), 3)
     # the scoring is done, within that bound, when the hits are returned
     assert "MapInArrow" not in hits._jdf.queryExecution().toString() and hits.count() > 0
+
+
+def test_removal_takes_ids_to_the_rows_and_counts_only(spark, tmp_path, monkeypatch):
+    """Vectors of removed chunks are not moved, and the ids are a table of their own, so that few of them are broadcast."""
+    from attesta.operators.lexical import term_counts
+    from attesta.plans import index as plans
+
+    rows = [("s", i, f"a a w{i % 3}") for i in range(12)] + [("t", 50, None), (None, 51, "a")]
+    store = StoredIndex(spark, str(tmp_path / "index"))
+    store.add(spark.createDataFrame(rows, "source string, chunk_id long, text string"))
+    given, plain = [], plans.written
+    monkeypatch.setattr(plans, "written", lambda df, *a: given.append(df.columns) or plain(df, *a))
+    store.remove(spark.createDataFrame([("s", 1), ("s", 4), ("zz", 5)], "source string, chunk_id long"))
+    assert given == [["source", "chunk_id"], ["source", "chunk_id", "dl", "terms", "tfs"]]
+    counts = term_counts(store.read().lexical.rows)
+    assert "arrays_zip" not in counts._jdf.queryExecution().toString()
+    got = {(r.source, r.term): (r.df, r.cf) for r in counts.collect()}
+    # words of a single letter are no terms
+    assert got == {("s", None): (10, 10), ("s", "w0"): (4, 4), ("s", "w1"): (2, 2), ("s", "w2"): (4, 4), ("t", None): (1, 0), (None, None): (1, 0)}
