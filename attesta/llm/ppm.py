@@ -9,12 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import BATCH_ROWS, written
 from .common import map_batches, shared
 
 END = 10  # the byte that ends a document; words are followed by a space
 LANE = 256
-HELD = 1 << 20
+HELD = 1 << 17
+PIECE = 1 << 19  # bytes of text scored at once: a string of 8 bytes, a number and their temporaries for each
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
@@ -327,7 +328,8 @@ def score(
     rank = counts.orderBy(F.col("n").desc(), "word").limit(frequent).toArrow()
     common = dict(zip(rank["word"].to_pylist(), (np.log10(rank["n"].to_numpy() + 1.0) - floor).tolist()))
     learned = F.coalesce(train, F.lit(False)).alias("learned")
-    grams = written(gram_scores(written(_gram_counts(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), learned), order)), order))
+    counted = written(_gram_counts(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), learned), order), BATCH_ROWS)
+    grams = written(gram_scores(counted, order))
     # the least number of occurrences broadcast, from a histogram of bounded size (64 steps per doubling)
     step = F.floor(F.log2("times") * 64)
     room, least = hot, None
@@ -372,7 +374,8 @@ def score(
         f"doc_id {kind}, text_key bigint, n_tokens bigint, n_known bigint, base double, hot double, rare array<struct<word: binary, times: bigint>>, "
         "grams array<bigint>, gram_times array<bigint>"
     )
-    scored = written(map_batches(rows.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run, schema, lambda: (words.value, held())))
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    scored = written(map_batches(keyed, run, schema, lambda: (words.value, held()), PIECE), BATCH_ROWS)
     keys = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
     tokens = scored.select(*keys, F.inline("rare"))
     strings = scored.select(*keys, F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("gram_times").alias("seen"))))

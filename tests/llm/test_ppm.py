@@ -124,3 +124,13 @@ def test_query_scores_match_brute_force(spark, sf):
     assert len(counts) * (len(counts[b""]) + 1) > 5_000_000
     got = queries.QUERIES["op4_ppm_scores"](spark, sf).filter("held_out or doc_id % 20 = 0").collect()
     assert got and all(close(r.score, brute_score(docs[r.doc_id], counts, 5)) for r in got)
+
+
+def test_pieces_of_text_are_bounded(spark):
+    """A worker's arrays are many times the text scored at once; the caller bounds it."""
+    from attesta.llm.common import map_batches
+
+    docs = spark.range(0, 300, 1, 1).selectExpr("repeat('ab ', 100) AS text")
+    sizes = [r.n for r in map_batches(docs, lambda cols, _: [[sum(map(len, cols[0]))]], "n bigint", piece_bytes=1000).collect()]
+    assert max(sizes) <= 1000 and sum(sizes) == 300 * 300
+    assert ppm.PIECE < 1 << 20
