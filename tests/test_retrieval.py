@@ -363,6 +363,30 @@ def test_workers_get_few_rows_at_once(spark):
     assert "MapInArrow" not in hits._jdf.queryExecution().toString() and hits.count() > 0
 
 
+def test_workers_get_few_bytes_at_once(spark):
+    """1,000 long texts would fill the Python workers, as 10,000 shorter ones do; a row above the bound comes alone."""
+    import pyarrow as pa
+
+    from attesta.session import ARROW_BYTES, BATCH_BYTES, BATCH_ROWS, written
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    row = 1 << 20
+    texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("w "), row // 2).alias("text")).mapInArrow(sizes, "n long, size long")
+    before = spark.conf.get(ARROW_BYTES)
+    for own, most in (("64m", BATCH_BYTES), ("3m", 3 * row)):
+        spark.conf.set(ARROW_BYTES, own)
+        try:
+            got = written(texts, BATCH_ROWS).collect()
+            assert max(r["size"] for r in got) <= most + 2 * row and sum(r.n for r in got) == 40 and spark.conf.get(ARROW_BYTES) == own
+        finally:
+            spark.conf.set(ARROW_BYTES, before)
+    longer = spark.range(0, 3, 1, 1).select(F.repeat(F.lit("w "), BATCH_BYTES).alias("text")).mapInArrow(sizes, "n long, size long")
+    assert [r.n for r in written(longer, BATCH_ROWS).collect()] == [1, 1, 1]
+
+
 def test_removal_takes_ids_to_the_rows_and_counts_only(spark, tmp_path, monkeypatch):
     """Vectors of removed chunks are not moved, and the ids are a table of their own, so that few of them are broadcast."""
     from attesta.operators.lexical import term_counts
