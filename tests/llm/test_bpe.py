@@ -61,3 +61,16 @@ def test_tables(tools, spark):
     ids = {r.doc_id: r.ids for r in bpe.encode(docs, tokenizer_path()).collect()}
     assert ids[4] == [] and ids[8] == library.encode("один два три \U0001f600 é", add_special_tokens=False).ids
     assert bpe.digests(empty(spark), tokenizer_path()).count() == 0
+
+
+def test_frequent_runs_stay_cached(tools, monkeypatch):
+    """A full cache drops what was not read lately; it used to be emptied, frequent runs included."""
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 64)
+    library = tools[0]
+    own = bpe.ForcedBpe(library.to_str())
+    worked, run = [], own.run
+    monkeypatch.setattr(own, "run", lambda raw: worked.append(raw) or run(raw))
+    texts = [f"Frequent word{i} other{i}, frequent" for i in range(200)]
+    same((library, own), texts)
+    assert worked.count(b"Frequent") == worked.count(b"frequent") == 1
+    assert len(own.runs) + len(own.old_runs) <= 64 and len(own.fragments) + len(own.old_fragments) <= 64
