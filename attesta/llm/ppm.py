@@ -234,16 +234,20 @@ class Hot:
     def of(cls, grams: np.ndarray, logp: np.ndarray) -> Hot:
         size = 1 << max(2, (2 * len(grams)).bit_length())
         out = cls(np.full(size, EMPTY), np.full(size, np.nan))
-        at = cls.place(grams, size)
+        for lo in range(0, len(grams), HELD):
+            out._put(grams[lo : lo + HELD], logp[lo : lo + HELD])
+        return out
+
+    def _put(self, grams: np.ndarray, logp: np.ndarray) -> None:
+        at = self.place(grams, len(self.keys))
         while len(grams):
-            free = np.flatnonzero(out.keys[at] == EMPTY)
+            free = np.flatnonzero(self.keys[at] == EMPTY)
             spots, first = np.unique(at[free], return_index=True)
             took = free[first]
-            out.keys[spots], out.values[spots] = grams[took], logp[took]
+            self.keys[spots], self.values[spots] = grams[took], logp[took]
             rest = np.ones(len(grams), bool)
             rest[took] = False
-            grams, logp, at = grams[rest], logp[rest], (at[rest] + 1) & (size - 1)
-        return out
+            grams, logp, at = grams[rest], logp[rest], (at[rest] + 1) & (len(self.keys) - 1)
 
     def find(self, grams: np.ndarray) -> np.ndarray:
         """The values of the strings, NaN for those not held."""
@@ -260,6 +264,12 @@ class Hot:
         return out
 
 
+def _hot_of(rows: DataFrame) -> Hot:
+    """The table of rows(gram, logp); what is collected for it is let go with the call."""
+    top = rows.toArrow()
+    return Hot.of(top["gram"].to_numpy().view(np.uint64), top["logp"].to_numpy())
+
+
 def fit(texts: DataFrame, order: int = 5, cells: int = 5_000_000) -> Trie | None:
     """A trie from all texts (column text) of a table; None without rows.
 
@@ -339,9 +349,8 @@ def score(
             break
         least = r["bin"]
     often = F.lit(False) if least is None else step >= F.lit(least)
-    top = grams.filter(often).select("gram", "logp").toArrow()
     words = docs.sparkSession.sparkContext.broadcast(common)
-    held = shared(docs, Hot.of(top["gram"].to_numpy().astype(np.uint64), top["logp"].to_numpy()))
+    held = shared(docs, _hot_of(grams.filter(often).select("gram", "logp")))
     end_score = float(np.log10(ends + 1) - floor)
     kind = rows.schema["doc_id"].dataType.simpleString()
 

@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from attesta.llm import ppm, queries
@@ -134,3 +136,16 @@ def test_pieces_of_text_are_bounded(spark):
     sizes = [r.n for r in map_batches(docs, lambda cols, _: [[sum(map(len, cols[0]))]], "n bigint", piece_bytes=1000).collect()]
     assert max(sizes) <= 1000 and sum(sizes) == 300 * 300
     assert ppm.PIECE < 1 << 20
+
+
+def test_driver_fills_the_broadcast_table_in_parts():
+    """The temporaries of the driver's table have the size of a part, not of all strings."""
+    grams = np.unique(np.random.default_rng(1).integers(0, 1 << 46, 500_000)).astype(np.uint64)
+    logp = -np.arange(len(grams), dtype=np.float64)
+    tracemalloc.start()
+    hot = ppm.Hot.of(grams, logp)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak - hot.keys.nbytes - hot.values.nbytes < 12_000_000
+    assert (hot.find(grams) == logp).all()
+    assert np.isnan(hot.find(grams + np.uint64(1 << 47))).all()
