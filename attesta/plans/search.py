@@ -12,6 +12,7 @@ from ..operators.expansion import search_queries, with_domain_word, with_synonym
 from ..operators.fusion import rrf, rrf_two_lists, score_filter, weighted_fusion
 from ..operators.grouping import dedupe_and_group
 from ..operators.lexical import bm25_search
+from ..operators.skew import join_to_unique
 from ..session import written
 from .index import SearchIndex
 
@@ -129,6 +130,8 @@ def search(
             vectors, alike = index.lexical.rows.select("source", "chunk_id", vector.alias("vector")), sparse_dot
         else:
             vectors, alike = index.vectors, cosine
+        # few rows are hits: the vectors of the others are not moved
+        vectors = vectors.join(kept.select("chunk_id").distinct(), "chunk_id", "left_semi")
         grouped = dedupe_and_group(
             at_hits(found, vectors, everywhere, "left"), ["query_id"], top_credits, max(2, k // top_credits), "vector", alike, similarity
         )
@@ -136,6 +139,24 @@ def search(
     return at_hits(cut, index.chunks.select("source", "chunk_id", "text"), everywhere)
 
 
+def search_once(queries: DataFrame, index: SearchIndex, k: int = 5, **options) -> DataFrame:
+    """`search`, with equal questions asked once: query ids whose rows are the same share the hits of one search.
+
+    The work is distinct questions times rows, not query ids times rows; no hit depends on the id itself. All
+    rows of an id are its question, as often as they come: ids may repeat or be null.
+    """
+    said = [c for c in ("text", "used_sources", "vector") if c in queries.columns]
+    rows = queries.groupBy("query_id", *said).agg(F.count(F.lit(1)).alias("_times"))
+    by_id = written(rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*said, "_times"))).alias("question")))
+    # written: the numbers stay as they are
+    asked = written(by_id.groupBy("question").agg(F.count(F.lit(1)).alias("ids")).withColumn("no", F.monotonically_increasing_id()))
+    numbered = join_to_unique(by_id, asked, "question", "ids", ["query_id"]).select("query_id", "no")
+    each = asked.select("no", F.explode("question").alias("row"))
+    again = F.explode(F.array_repeat(F.lit(0), F.col("row._times").cast("int")))
+    hits = search(each.select(F.col("no").alias("query_id"), "row.*", again).select("query_id", *said), index, k, **options)
+    return numbered.join(hits.withColumnRenamed("query_id", "no"), "no").select(*hits.columns)
+
+
 def credit_queries(projects: DataFrame, pattern: str = "%s credit requirements for %s projects") -> DataFrame:
     """One query per project and target credit: projects(project_id, project_type, target_credits)."""
     return projects.select(
@@ -148,9 +169,12 @@ def credit_queries(projects: DataFrame, pattern: str = "%s credit requirements f
 
 
 def analyze_projects(projects: DataFrame, index: SearchIndex, k: int = 3, **options) -> DataFrame:
-    """Relevant chunks per project and target credit; the status always asks for a review."""
+    """Relevant chunks per project and target credit; the status always asks for a review.
+
+    Projects of one type ask the same for the same credit: each such question is searched once.
+    """
     asked = credit_queries(projects)
-    hits = search(asked.select("query_id", "text"), index, k, **options)
+    hits = search_once(asked.select("query_id", "text"), index, k, **options)
     return asked.withColumnRenamed("text", "query").join(hits, "query_id", "left").withColumn(
         "compliance_status", F.lit("needs_review")
     )

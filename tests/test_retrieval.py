@@ -13,7 +13,7 @@ from attesta.operators.fusion import rrf, rrf_two_lists, score_filter, weighted_
 from attesta.operators.grouping import group_by_credit, near_duplicates_in_lists, near_duplicates_in_table, pick_sections
 from attesta.operators.lexical import bm25_search, lexical_index
 from attesta.plans.index import StoredIndex, read_index, search_index, with_all_source, write_index
-from attesta.plans.search import route_sources, search
+from attesta.plans.search import analyze_projects, credit_queries, route_sources, search, search_once
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -404,3 +404,47 @@ def test_removal_takes_ids_to_the_rows_and_counts_only(spark, tmp_path, monkeypa
     got = {(r.source, r.term): (r.df, r.cf) for r in counts.collect()}
     # words of a single letter are no terms
     assert got == {("s", None): (10, 10), ("s", "w0"): (4, 4), ("s", "w1"): (2, 2), ("s", "w2"): (4, 4), ("t", None): (1, 0), (None, None): (1, 0)}
+
+
+def _project_chunks(spark):
+    words = ["EA", "WE", "credit", "requirements", "projects", "NC", "CS", "prerequisite"]
+    rng = random.Random(9)
+    rows = [("all", i, " ".join(rng.choices(words, k=8)), f"C{i % 5}", "requirements", f"d{i}", 1, 1, None) for i in range(60)]
+    return spark.createDataFrame(rows, META).drop("vector")
+
+
+def test_equal_questions_of_projects_are_searched_once(spark, monkeypatch):
+    """Projects of one type ask the same: the search is given each question once, however many projects there are."""
+    from attesta.plans import search as plans
+
+    index = search_index(_project_chunks(spark))
+    rows = [(i, "NC" if i % 3 else "CS", ["EA", "WE"] if i % 2 else ["EA"]) for i in range(200)] + [(500, "own type", ["EA"]), (501, None, ["WE"])]
+    projects = spark.createDataFrame(rows, "project_id long, project_type string, target_credits array<string>")
+    asked = credit_queries(projects)
+    given, plain = [], plans.search
+    want = asked.withColumnRenamed("text", "query").join(plain(asked.select("query_id", "text"), index, 3), "query_id", "left")
+    monkeypatch.setattr(plans, "search", lambda queries, *a, **o: given.append(queries.count()) or plain(queries, *a, **o))
+    got = analyze_projects(projects, index, 3)
+    assert given == [5]  # EA and WE for NC, EA and WE for CS, EA for the own type
+    assert sorted(map(repr, got.drop("compliance_status").collect())) == sorted(map(repr, want.collect()))
+    assert got.filter("chunk_id IS NOT NULL").select("query_id").distinct().count() == asked.count()
+
+
+def test_ids_with_several_rows_or_none_keep_their_hits(spark):
+    """All rows of a query id are one question; the id may be null, and so may its text."""
+    index = search_index(_project_chunks(spark))
+    a, b = "EA requirements", "WE credit projects"
+    rows = [("1", a), ("2", a), ("3", a), ("3", b), ("4", b), ("4", a), ("5", a), ("5", a), ("6", a), ("6", a), ("7", b), (None, b), (None, a), ("8", None), ("9", None), ("9", a), ("10", "")]
+    queries = spark.createDataFrame(rows, "query_id string, text string").repartition(4)
+    for options in ({}, {"group": False, "expand": False}):
+        want, got = (sorted(map(repr, f(queries, index, 4, **options).collect())) for f in (search, search_once))
+        assert got == want and got
+    routed = queries.withColumn("used_sources", F.when(F.col("text") == a, F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("none"))))
+    want, got = (sorted(map(repr, f(routed, index, 4).collect())) for f in (search, search_once))
+    assert got == want and got
+
+
+def test_only_vectors_of_hits_are_shuffled(spark):
+    index = search_index(_project_chunks(spark))
+    hits = search(spark.createDataFrame([(1, "EA requirements")], "query_id long, text string"), index, 3).select("chunk_id", "score")
+    assert "left semi" in hits._jdf.queryExecution().toString().lower().replace("leftsemi", "left semi")
